@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality, sharding, sql, suffixdedup
+from . import htmlextract, minhash, packing, quality, sharding, sql, suffixdedup
 from .util import table
 
 
@@ -17,6 +17,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.cut_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
