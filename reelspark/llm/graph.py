@@ -18,9 +18,9 @@ def _star(scratch: Scratch, edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = scratch.save(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+    least = scratch.save(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     near = near.where("b > a") if large else near.unionByName(near.select("a", F.col("a").alias("b")))
-    tied = scratch.save(near).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    tied = near.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.where("a <> b").distinct()
 
 

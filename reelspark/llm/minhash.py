@@ -96,9 +96,8 @@ def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for b in batches:
         for i in range(0, b.num_rows, 500):
             part = b.slice(i, 500)
-            sets = [np.sort(_hashes(t, width)) for t in part.column(1).to_pylist()]
-            f1, f2 = zip(*map(_sums, sets))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "f1", "f2", "set"])
+            sets = [np.sort(_hashes(t, width)).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
 
 def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,61 +118,79 @@ def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-class Linker:
-    """Confirms candidate pairs; ``sets`` has (id, n, short, set), short being 15 bits of each coordinate."""
+#: So many ids of documents to compare are sent to every executor; more are joined by a shuffle.
+SENT = 1_000_000
+_WORDS = [f"w{i}" for i in range(K // 8)]
 
-    def __init__(self, scratch: Scratch, sets: DataFrame, percent: int):
-        self.scratch, self.sets, self.percent = scratch, sets, percent
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        signs = self.sets.select("id", "n", "short")
-        one, two = (signs.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("short").alias(f"s_{x}")) for x in "ab")
-        pairs = self.scratch.save(pairs)
-        met = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
-        same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
-        met = self.scratch.save(met.where(same >= MATCHES).select("a", "b"))
-        one, two = (self.sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        full = met.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-        return self.scratch.save(full.mapInArrow(partial(_confirm, self.percent), "a long, b long"))
+def _packed(pairs: str) -> list:
+    """A byte of each coordinate, eight to a long."""
+    one = "cast(0 as bigint)"
+    for_word = lambda i: " | ".join(f"shiftleft(shiftright({pairs}[{8 * i + j}], 24) & 255, {8 * j})" for j in range(8)) or one
+    return [F.expr(for_word(i)).alias(w) for i, w in enumerate(_WORDS)]
 
 
-def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, percent: int, pivots: int = 3) -> DataFrame:
+def _alike(x: str, y: str, percent: int) -> str:
+    """Whether sizes and coordinates of x and y allow a link; a byte that differs leaves a bit in its lowest place."""
+    terms = []
+    for w in _WORDS:
+        v = f"({x}.{w} ^ {y}.{w})"
+        for n in (4, 2, 1):
+            v = f"({v} | shiftrightunsigned({v}, {n}))"
+        terms.append(f"bit_count({v} & {0x0101010101010101}L)")
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {' + '.join(terms)} <= {K - MATCHES}"
+
+
+def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    pairs = scratch.save(pairs.select("a", "b").distinct())
+    ids = scratch.save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    sent = F.broadcast(ids) if ids.count() <= SENT else ids
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sent, "id", "left_semi")
+    sets = scratch.save(texts.mapInArrow(partial(_sets, width), "id long, set binary"))
+    one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
+    found = scratch.save(full.mapInArrow(partial(_confirm, percent), "a long, b long"))
+    scratch.drop(sets, ids, pairs)
+    return found
+
+
+def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, percent: int, pivots: int = 2) -> DataFrame:
     """(a, b): confirmed links between class representatives that connect what is similar."""
-    pairs = signed.where("n > 0 AND doc_id = rep").select(F.col("doc_id").alias("id"), F.explode("pairs").alias("pair"))
+    reps = signed.where("n > 0 AND doc_id = rep")
+    pairs = reps.select(F.col("doc_id").alias("id"), F.explode("pairs").alias("pair"))
     common = scratch.save(pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = pairs.join(common, "pair").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("p"))
     # pairs that nobody else posts come first in the order: only what is left of the prefix is posted
-    left = F.size("p") - (K - (K - MATCHES + 1))
+    left = F.size("p") - (MATCHES - 1)
     posted = shared.where(left > 0).select("id", F.explode(F.slice("p", F.lit(1), left)).alias("p")).select("id", "p.pair")
     posted = scratch.save(posted)
-    met = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least")).where("c > 1").select("pair")
-    met = scratch.save(met)
-    posted = scratch.save(posted.join(met, "pair"))
-    ids = scratch.save(posted.select("id").distinct())
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").mapInArrow(partial(_sets, width), "id long, f1 long, f2 long, set binary")
-    signs = signed.where("doc_id = rep").select(F.col("doc_id").alias("id"), "n", "f1", "f2", F.transform("pairs", lambda x: F.shiftright(x, 6).bitwiseAND(32767).cast("short")).alias("short"))
-    linker = Linker(scratch, scratch.save(signs.join(texts, ["id", "f1", "f2"]).dropDuplicates(["id", "f1", "f2"]).drop("f1", "f2")), percent)
+    met = scratch.save(posted.groupBy("pair").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("pair"))
+    signs = scratch.save(reps.select(F.col("doc_id").alias("id"), "n", *_packed("pairs")))
+    placed = scratch.save(posted.join(met, "pair").join(signs, "id").withColumn("component", F.col("id")))
+    scratch.drop(posted, met, signs, common)
 
     found = None
-    placed = posted.withColumn("component", F.col("id"))
     for i in range(pivots):
         # a pivot of each posting list: the smallest id first, then others by hash, so that lists of the same documents take the same one
-        order = F.struct((F.col("id") if i == 0 else F.xxhash64("id", F.lit(i))).alias("o"), "id", "component")
-        heads = scratch.save(placed.groupBy("pair").agg(F.min(order).alias("h")).select("pair", F.col("h.id").alias("pivot"), F.col("h.component").alias("at")))
-        tries = placed.join(heads, "pair").where("id <> pivot AND component <> at")
-        tries = tries.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        new = linker(tries)
+        order = F.struct((F.col("id") if i == 0 else F.xxhash64("id", F.lit(i))).alias("o"), "id", "component", "n", *_WORDS)
+        heads = scratch.save(placed.groupBy("pair").agg(F.min(order).alias("h")).select("pair", "h.*"))
+        near = F.expr(f"x.component <> h.component AND {_alike('x', 'h', percent)}")
+        tries = placed.alias("x").join(heads.alias("h"), (F.col("x.pair") == F.col("h.pair")) & near)
+        tries = tries.select(F.least("x.id", "h.id").alias("a"), F.greatest("x.id", "h.id").alias("b"))
+        new = _confirmed(scratch, docs, tries, width, percent)
         found = new if found is None else found.unionByName(new)
         comps = components(scratch, found)
-        joined = posted.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # lists whose members are all in one component are done with
-        joined = scratch.save(joined)
-        open_ = scratch.save(joined.groupBy("pair").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("pair"))
-        placed = scratch.save(joined.join(open_, "pair"))
-    one = placed.select("pair", F.col("id").alias("a"), F.col("component").alias("ca"))
-    two = placed.select("pair", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = one.join(two, "pair").where("a < b AND ca <> cb").select("a", "b").distinct()
-    return found.unionByName(linker(rest))
+        moved = scratch.save(placed.drop("component").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        open_ = scratch.save(moved.groupBy("pair").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("pair"))
+        scratch.drop(placed, heads)
+        placed = scratch.save(moved.join(open_, "pair"))
+        scratch.drop(moved)
+    near = F.expr(f"x.id < y.id AND x.component <> y.component AND {_alike('x', 'y', percent)}")
+    rest = placed.alias("x").join(placed.alias("y"), (F.col("x.pair") == F.col("y.pair")) & near)
+    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return found.unionByName(_confirmed(scratch, docs, rest, width, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
