@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspark.llm import quality
+from reelspark.llm import decontam, minhash, packing, quality, suffixdedup
+from reelspark.llm.util import Scratch, table
+
+#: Repeated passages of so many bytes go: fewer than fifty words have in the languages at hand.
+PASSAGE_BYTES = 240
 
 
 def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,4 +17,42 @@ def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.reject_low_quality(docs)
 
 
-STAGES = [("quality rules", keep_good_text)]
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: shingles of five words, similarity 0.8."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes passages out of the texts that stand anywhere else too; every document stays."""
+    return suffixdedup.drop_repeats(docs, PASSAGE_BYTES)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all that is left into sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", keep_good_text),
+    ("MinHash near-dedup", keep_one_of_each),
+    ("suffix-array dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
+
+#: SQL can't express MinHash groups or tokenizing; the tests hold each stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents``; what each stage leaves is written to the shared folder."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import htmlextract, langid, minhash, packing, quality, sharding, sql, suffixdedup, toxicity
+from . import decontam, htmlextract, langid, minhash, packing, quality, sharding, sql, suffixdedup, toxicity, urlfilter
 from .util import table
 
 
@@ -29,10 +31,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages carry no fetch time and come without a list: both follow from a rule."""
+    pages = table(spark, sf_dir, "pages")
+    out = urlfilter.evaluate(urlfilter.capture_days(pages), urlfilter.sample_list(pages))
+    return out.withColumns({c: F.unix_seconds(c) for c in ("fetched", "rule_since")})
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -42,8 +55,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {k: v for k, v in globals().items() if k.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.QUALITY}
+    return {"op1_quality_rules": sql.QUALITY, "op6_decontamination": sql.DECONTAMINATION, "op8_url_filters": sql.URL_FILTERS}

@@ -39,3 +39,53 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 FROM ruled JOIN verdicts USING (host)
 """
 )
+
+#: Every document laid over every item along every diagonal with an equal token.
+CONTAMINATED = r"""
+doc_words AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM {documents}),
+item_words AS (SELECT min(item_id) AS item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) GROUP BY w),
+doc_tokens AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM doc_words),
+item_tokens AS (SELECT item_id, n, unnest(w) AS t, unnest(range(len(w))) AS q FROM item_words WHERE n >= 6),
+equal AS (SELECT doc_id, item_id, n, p - q AS diag, q FROM doc_tokens JOIN item_tokens USING (t)),
+spans AS (SELECT doc_id, item_id, n, diag, lead(q, 9) OVER (PARTITION BY doc_id, item_id, diag ORDER BY q) - q AS span FROM equal),
+diagonals AS (SELECT doc_id, item_id, n, diag, count(*) AS eq, coalesce(bool_or(span < 12), false) AS near FROM spans GROUP BY ALL),
+found AS (SELECT doc_id, item_id, max(eq) AS eq FROM diagonals WHERE CASE WHEN n < 12 THEN eq = n ELSE near END GROUP BY ALL),
+told AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(eq) AS n_equal FROM found GROUP BY doc_id)
+"""
+
+DECONTAMINATION = (
+    "WITH "
+    + CONTAMINATED.replace("{documents}", "documents")
+    + """
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, '') AS items, coalesce(n_equal, 0)::BIGINT AS n_equal
+FROM documents LEFT JOIN told USING (doc_id)
+"""
+)
+
+#: Every capture against every interval of its keys.
+URL_FILTERS = r"""
+WITH parsed AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(((page_id * 7919) % 730)::INT) AS fetched,
+         regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)(?::[0-9]*)?([^?#]*)', 1)), '\.$', '') AS host,
+         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)(?::[0-9]*)?([^?#]*)', 2) AS path
+  FROM pages),
+hosts AS (SELECT DISTINCT host AS h, ('0x' || substr(md5(host), 1, 4))::BIGINT AS k FROM parsed WHERE host <> ''),
+dated AS (
+  SELECT 'domain' AS kind, regexp_replace(h, '^[^.]*\.', '') AS value, 'block' AS action, k % 400 AS d FROM hosts WHERE k % 3 = 0
+  UNION ALL SELECT 'host', h, 'block', k % 500 FROM hosts WHERE k % 4 = 1
+  UNION ALL SELECT 'host', h, 'remove', k % 500 + 120 FROM hosts WHERE k % 4 = 1
+  UNION ALL SELECT 'host', h, 'allow', k % 450 FROM hosts WHERE k % 5 = 2
+  UNION ALL SELECT 'host', h, 'remove', k % 450 + 200 FROM hosts WHERE k % 5 = 2
+  UNION ALL SELECT 'path', h || '/en', 'block', k % 600 FROM hosts WHERE k % 2 = 0),
+once AS (SELECT kind, value, d, max(action) AS action FROM dated GROUP BY ALL),
+held AS (SELECT *, lead(d) OVER (PARTITION BY kind, value ORDER BY d) AS u FROM once),
+active AS (SELECT kind, value, action, TIMESTAMP '2024-01-01' + to_days(d::INT) AS since, TIMESTAMP '2024-01-01' + to_days(u::INT) AS until FROM held WHERE action <> 'remove'),
+hits AS (
+  SELECT page_id, kind, value, action, since,
+         row_number() OVER (PARTITION BY page_id ORDER BY CASE kind WHEN 'path' THEN 0 WHEN 'host' THEN 1 ELSE 2 END, length(value) DESC) AS r
+  FROM parsed JOIN active ON (kind = 'host' AND value = host OR kind = 'domain' AND (value = host OR ends_with(host, '.' || value))
+                              OR kind = 'path' AND (value = host || path OR starts_with(host || path, value || '/')))
+  WHERE since <= fetched AND (until IS NULL OR fetched < until))
+SELECT p.page_id, p.url, p.host, epoch(p.fetched)::BIGINT AS fetched, coalesce(action = 'block', false) AS blocked, kind AS rule_kind, value AS rule_value, action AS rule_action, epoch(since)::BIGINT AS rule_since
+FROM parsed p LEFT JOIN (SELECT * FROM hits WHERE r = 1) USING (page_id)
+"""

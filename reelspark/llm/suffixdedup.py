@@ -3,7 +3,8 @@
 Texts are cut into phrases where the hash of a window of 16 bytes triggers. A trigger
 depends on these bytes only, so equal strings are cut alike, and where a string of
 ``length`` bytes starts inside a phrase says how far its first trigger is. Starts are
-therefore grouped into blocks of up to 128 at fixed distances before a trigger:
+therefore grouped into blocks of up to 128 (a third of ``length`` if that is less) at fixed
+distances before a trigger:
 
 1. the ``core`` is what all strings that start in a block share. A block with a core of
    its own repeats nothing; most text ends here;
@@ -16,7 +17,7 @@ suffixes, which the dictionary's and the parse's suffix arrays would give, isn't
 the rule asks only which starts agree for ``length`` bytes, and the order would bring a
 hot phrase's suffixes together in one place.
 
-Where no trigger comes within 384 bytes a start is a block of its own.
+Where no trigger comes within ``length`` bytes a start is a block of its own.
 """
 
 from __future__ import annotations
@@ -31,12 +32,16 @@ from pyspark.sql import functions as F
 
 from .util import Scratch, typed
 
-GRAM, BLOCK, LEAD = 16, 128, 384
+GRAM = 16
 #: A trigger in so many places on average.
 EVERY = 64
 _BLOCKS = "doc_id long, fp int, first int, last int, core long, reach long"
 
 
+def _block(length: int) -> int:
+    return min(128, length // 3)
+
+
 def triggers(data: bytes):
     """Ascending places of the windows of 16 bytes whose hash is a trigger."""
     import numpy as np
@@ -56,19 +61,19 @@ def blocks(data: bytes, length: int) -> Iterator[tuple[int, int, int]]:
     end = len(data) - length
     if end < 0:
         return
-    at = 0
+    at, lead, block = 0, length - GRAM, _block(length)
     for t in [*triggers(data).tolist(), None]:
-        if t is None or t - at >= LEAD:  # too far off
-            stop = min(end + 1, t - LEAD + 1 if t is not None else end + 1)
+        if t is None or t - at >= lead:  # too far off
+            stop = min(end + 1, t - lead + 1 if t is not None else end + 1)
             for p in range(at, stop):
                 yield p, p, -1
             at = max(at, stop)
             if t is None:
                 return
-        q = t - (t - at) // BLOCK * BLOCK
+        q = t - (t - at) // block * block
         while q <= t and at <= end:
             yield at, min(q, end), q
-            at, q = q + 1, q + BLOCK
+            at, q = q + 1, q + block
         if at > end:
             return
 
@@ -80,7 +85,7 @@ def _signed(x: int) -> int:
 def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_64_intdigest as digest
 
-    core_n = length - BLOCK + 1
+    core_n = length - _block(length) + 1
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for b in batches:
@@ -137,8 +142,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
     fp is the CRC-32 of the text as a signed int; with doc_id it names a text.
     """
-    if length < LEAD + GRAM:
-        raise ValueError(f"length must be at least {LEAD + GRAM}")
+    if length < 4 * GRAM:
+        raise ValueError(f"length must be at least {4 * GRAM}")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select("doc_id", "fp", "text").where(F.octet_length("text") >= length)
@@ -169,23 +174,34 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans
 
 
+def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """The bytes outside these ascending runs."""
+    kept, at = [], 0
+    for a, e in [*runs, (len(data), len(data))]:
+        kept.append(data[at:a])
+        at = e
+    return b"".join(kept)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for doc, text, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
             data = (text or "").encode("utf-8", "replace")
             runs = merged([(s["start"], s["end"]) for s in spans or []])
-            kept, at = [], 0
-            for a, e in [*runs, (len(data), len(data))]:
-                kept.append(data[at:a])
-                at = e
-            rest = b"".join(kept)
+            rest = without(data, runs)
             rows.append((doc, len(data), sum(e - a for a, e in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         cols = list(zip(*rows)) or [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
+def _named(doc_id: str, text: str) -> list:
+    """What names a text: _id and fp."""
+    fp = F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))) - F.lit(2**31)
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("_id"), fp.cast("int").alias("fp")]
+
+
 def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes: one row for each row of ``docs``.
 
@@ -194,8 +210,40 @@ def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     row is an occurrence of its own. Other columns are ignored. What is left may not
     be UTF-8 where a cut splits a character. An empty table gives an empty result.
     """
-    fp = (F.crc32(F.coalesce("text", F.lit(""))) - F.lit(2**31)).cast("int")
-    docs = typed(docs, doc_id="long", text="string").select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), fp.alias("fp"))
+    docs = typed(docs, doc_id="long", text="string").select("doc_id", "text", *_named("doc_id", "text"))
     spans = repeated_spans(docs.select(F.col("_id").alias("doc_id"), "fp", "text"), length)
     joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), ["_id", "fp"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+
+
+def _retext(text: int, n_chars: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        last = b.num_columns - 1
+        cols = [b.column(i) for i in range(last)]
+        out = []
+        for t, spans in zip(cols[text].to_pylist(), b.column(last).to_pylist()):
+            if spans:
+                t = without(t.encode("utf-8", "replace"), merged([(s["start"], s["end"]) for s in spans])).decode("utf-8", "ignore")
+            out.append(t)
+        cols[text] = pa.array(out, cols[text].type)
+        if n_chars is not None:
+            cols[n_chars] = pa.array([None if t is None else len(t) for t in out], cols[n_chars].type)
+        yield pa.RecordBatch.from_arrays(cols, b.schema.names[:last])
+
+
+def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of text and n_chars counted anew.
+
+    Every row stays, a text that is repeated as a whole becomes empty, null stays null.
+    A character that a cut splits goes.
+    """
+    by = {c.lower(): c for c in docs.columns}
+    texts = docs.select(*[F.col(f"`{by[c]}`").cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"))])
+    spans = repeated_spans(texts.select(*_named("doc_id", "text"), "text").withColumnRenamed("_id", "doc_id"), length)
+    spans = spans.select(F.col("doc_id").alias("_key_id"), F.col("fp").alias("_key_fp"), F.col("spans").alias("_spans"))
+    key_id, key_fp = _named(f"`{by['doc_id']}`", f"`{by['text']}`")
+    left = docs.select("*", key_id.alias("_own_id"), key_fp.alias("_own_fp"))
+    joined = left.join(spans, (F.col("_own_id") == F.col("_key_id")) & (F.col("_own_fp") == F.col("_key_fp")), "left")
+    at = [c.lower() for c in docs.columns]
+    cut = partial(_retext, at.index("text"), at.index("n_chars") if "n_chars" in at else None)
+    return joined.select(*[f"`{c}`" for c in docs.columns], "_spans").mapInArrow(cut, docs.schema)
