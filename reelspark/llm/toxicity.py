@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted one after the other. Each model sees which words and word
-beginnings a text holds, and the log-odds of the categories before it; for training
-those are out-of-fold predictions, so a later model learns how far to trust them.
+beginnings a text holds, which beginnings it holds more than once, and the log-odds of the
+categories before it; for training those are out-of-fold predictions, so a later model
+learns how far to trust them.
 Models are logistic with an L1 penalty, fitted on a bounded sample of labelled documents;
 every document is scored by its whole text.
 """
@@ -28,9 +29,14 @@ FOLDS = 4
 
 
 def features(text: str | None) -> set[str]:
-    """The text's words and their beginnings (a beginning ends in a star)."""
-    words = set(_WORD.findall((text or "").lower()))
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+    """The text's words, their beginnings (ending in a star), and those of two words or more (ending in two)."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    stems: Counter = Counter()
+    for w, c in words.items():
+        for n in STEMS:
+            if len(w) > n:
+                stems[w[:n]] += c
+    return words.keys() | {s + "*" for s in stems} | {s + "**" for s, c in stems.items() if c > 1}
 
 
 def _sigmoid(x):
@@ -50,8 +56,11 @@ class Linear:
         return self.bias + sum(map(get, found & self.weights.keys())) + sum(a * b for a, b in zip(self.extra, numbers))
 
 
-def fit_linear(rows: list[set[str]], numbers: list[list[float]], labels: list[bool], most: int = 3000, penalty: float = 0.001, steps: int = 150) -> Linear:
-    """Accelerated proximal gradient over the ``most`` names whose counts differ most between the classes."""
+def fit_linear(rows: list[set[str]], numbers: list[list[float]], labels: list[bool], most: int = 2000, penalty: float = 0.001, steps: int = 200) -> Linear:
+    """Accelerated proximal gradient over the ``most`` names whose counts differ most between the classes.
+
+    A name weighs the more in the fit the rarer it is, so rare telling ones are learned as fast as common ones.
+    """
     import numpy as np
 
     n, y = len(rows), np.array(labels, float)
@@ -73,8 +82,9 @@ def fit_linear(rows: list[set[str]], numbers: list[list[float]], labels: list[bo
     col = np.concatenate(cols) if cols else np.zeros(0, np.int64)
     dense = np.array(numbers, float).reshape(n, width) / 10
     m = len(names)
-    forward = lambda w: np.bincount(row, w[:m][col], n) + dense @ w[m:-1] + w[-1]
-    backward = lambda r: np.concatenate([np.bincount(col, r[row], m), dense.T @ r, [r.sum()]])
+    scale = np.array([min(3.0, (n / every[k]) ** 0.5 / 2) for k in names])
+    forward = lambda w: np.bincount(row, (w[:m] * scale)[col], n) + dense @ w[m:-1] + w[-1]
+    backward = lambda r: np.concatenate([np.bincount(col, r[row], m) * scale, dense.T @ r, [r.sum()]])
     v = np.ones(m + width + 1)
     for _ in range(15):
         v = backward(forward(v))
@@ -90,7 +100,7 @@ def fit_linear(rows: list[set[str]], numbers: list[list[float]], labels: list[bo
         new[:m] = np.sign(new[:m]) * np.maximum(np.abs(new[:m]) - rate * penalty, 0)
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead, w, t = new + (t - 1) / s * (new - w), new, s
-    return Linear({k: float(x) for k, x in zip(names, w) if x}, (w[m:-1] / 10).tolist(), float(w[-1]))
+    return Linear({k: float(x) for k, x in zip(names, w[:m] * scale) if x}, (w[m:-1] / 10).tolist(), float(w[-1]))
 
 
 class Chain:
