@@ -10,10 +10,11 @@ document is posted only under its rarest pairs, and skips pairs that nobody else
 A true link at similarity 0.8 has fewer than 33 of 64 equal coordinates once in two
 million times.
 
-Documents with equal sets stand for each other. Only what joins components matters, so in
-a posting list a few pivots are compared with every other member first; then all pairs
-are compared that are still in different components. No list is expanded into
-pairs of documents already known to belong together.
+Documents with equal sets stand for each other. Only what joins components matters, so a
+few times each posting list takes a pivot, and every document is compared with the pivot of
+its lists that agrees with it in most coordinates: one pair for each document and time. Then
+all pairs are compared that are still in different components, each in the first list
+that both share. No list is expanded into pairs of documents already known to belong together.
 """
 
 from __future__ import annotations
@@ -130,15 +131,20 @@ def _packed(pairs: str) -> list:
     return [F.expr(for_word(i)).alias(w) for i, w in enumerate(_WORDS)]
 
 
-def _alike(x: str, y: str, percent: int) -> str:
-    """Whether sizes and coordinates of x and y allow a link; a byte that differs leaves a bit in its lowest place."""
+def _differ(x: str, y: str) -> str:
+    """How many coordinates of x and y differ; a byte that differs leaves a bit in its lowest place."""
     terms = []
     for w in _WORDS:
         v = f"({x}.{w} ^ {y}.{w})"
         for n in (4, 2, 1):
             v = f"({v} | shiftrightunsigned({v}, {n}))"
         terms.append(f"bit_count({v} & {0x0101010101010101}L)")
-    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {' + '.join(terms)} <= {K - MATCHES}"
+    return " + ".join(terms)
+
+
+def _alike(x: str, y: str, percent: int) -> str:
+    """Whether sizes and coordinates of x and y allow a link."""
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {_differ(x, y)} <= {K - MATCHES}"
 
 
 def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -155,7 +161,7 @@ def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int,
     return found
 
 
-def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, percent: int, pivots: int = 2) -> DataFrame:
+def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, percent: int, pivots: int = 3) -> DataFrame:
     """(a, b): confirmed links between class representatives that connect what is similar."""
     reps = signed.where("n > 0 AND doc_id = rep")
     pairs = reps.select(F.col("doc_id").alias("id"), F.explode("pairs").alias("pair"))
@@ -163,12 +169,12 @@ def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, perc
     shared = pairs.join(common, "pair").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("p"))
     # pairs that nobody else posts come first in the order: only what is left of the prefix is posted
     left = F.size("p") - (MATCHES - 1)
-    posted = shared.where(left > 0).select("id", F.explode(F.slice("p", F.lit(1), left)).alias("p")).select("id", "p.pair")
-    posted = scratch.save(posted)
+    lists = scratch.save(shared.where(left > 0).select("id", F.transform(F.slice("p", F.lit(1), left), lambda p: p["pair"]).alias("posted")))
+    posted = lists.select("id", F.explode("posted").alias("pair"))
     met = scratch.save(posted.groupBy("pair").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("pair"))
     signs = scratch.save(reps.select(F.col("doc_id").alias("id"), "n", *_packed("pairs")))
     placed = scratch.save(posted.join(met, "pair").join(signs, "id").withColumn("component", F.col("id")))
-    scratch.drop(posted, met, signs, common)
+    scratch.drop(met, signs, common)
 
     found = None
     for i in range(pivots):
@@ -177,7 +183,9 @@ def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, perc
         heads = scratch.save(placed.groupBy("pair").agg(F.min(order).alias("h")).select("pair", "h.*"))
         near = F.expr(f"x.component <> h.component AND {_alike('x', 'h', percent)}")
         tries = placed.alias("x").join(heads.alias("h"), (F.col("x.pair") == F.col("h.pair")) & near)
-        tries = tries.select(F.least("x.id", "h.id").alias("a"), F.greatest("x.id", "h.id").alias("b"))
+        # of the pivots of its lists each document tries the one with most equal coordinates
+        nearest = F.min(F.struct(F.expr(_differ("x", "h")).alias("d"), F.col("h.id").alias("to"))).alias("m")
+        tries = tries.groupBy(F.col("x.id").alias("id")).agg(nearest).select(F.least("id", "m.to").alias("a"), F.greatest("id", "m.to").alias("b"))
         new = _confirmed(scratch, docs, tries, width, percent)
         found = new if found is None else found.unionByName(new)
         comps = components(scratch, found)
@@ -187,7 +195,8 @@ def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, perc
         scratch.drop(placed, heads)
         placed = scratch.save(moved.join(open_, "pair"))
         scratch.drop(moved)
-    near = F.expr(f"x.id < y.id AND x.component <> y.component AND {_alike('x', 'y', percent)}")
+    placed = scratch.save(placed.join(lists, "id"))
+    near = F.expr(f"x.id < y.id AND x.component <> y.component AND {_alike('x', 'y', percent)} AND x.pair = array_min(array_intersect(x.posted, y.posted))")
     rest = placed.alias("x").join(placed.alias("y"), (F.col("x.pair") == F.col("y.pair")) & near)
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     return found.unionByName(_confirmed(scratch, docs, rest, width, percent))
