@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from .util import Scratch, typed
 
 GRAM = 16
-#: A trigger in so many places on average.
-EVERY = 64
 _BLOCKS = "doc_id long, fp int, first int, last int, core long, reach long"
 
 
@@ -42,7 +40,12 @@ def _block(length: int) -> int:
     return min(128, length // 3)
 
 
-def triggers(data: bytes):
+def _every(length: int) -> int:
+    """A trigger in so many places on average: few starts have none within ``length``."""
+    return min(64, length // 6)
+
+
+def triggers(data: bytes, every: int):
     """Ascending places of the windows of 16 bytes whose hash is a trigger."""
     import numpy as np
 
@@ -53,7 +56,7 @@ def triggers(data: bytes):
     h = view[:n] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     h = (h + view[8:]) * np.uint64(0xD6E8FEB86659FD93)
-    return np.flatnonzero((h >> np.uint64(40)) < np.uint64((1 << 24) // EVERY))
+    return np.flatnonzero((h >> np.uint64(40)) < np.uint64((1 << 24) // every))
 
 
 def blocks(data: bytes, length: int) -> Iterator[tuple[int, int, int]]:
@@ -62,7 +65,7 @@ def blocks(data: bytes, length: int) -> Iterator[tuple[int, int, int]]:
     if end < 0:
         return
     at, lead, block = 0, length - GRAM, _block(length)
-    for t in [*triggers(data).tolist(), None]:
+    for t in [*triggers(data, _every(length)).tolist(), None]:
         if t is None or t - at >= lead:  # too far off
             stop = min(end + 1, t - lead + 1 if t is not None else end + 1)
             for p in range(at, stop):
