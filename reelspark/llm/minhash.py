@@ -14,7 +14,8 @@ Documents with equal sets stand for each other. Only what joins components matte
 few times each posting list takes a pivot, and every document is compared with the pivot of
 its lists that agrees with it in most coordinates: one pair for each document and time. Then
 all pairs are compared that are still in different components, each in the first list
-that both share. No list is expanded into pairs of documents already known to belong together.
+that both share, unless their parity sketches differ in more bits than two sets so similar
+can differ in members: each member flips one bit, so that test never loses a link. No list is expanded into pairs of documents already known to belong together.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .graph import components
 from .util import Scratch, typed
 
 K, MATCHES = 64, 33
+#: Longs of a parity sketch.
+PARITY = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -65,8 +68,16 @@ def _sums(h) -> tuple[int, int]:
     return tuple(both.view(np.int64).tolist())
 
 
+def _parity(h):
+    """Longs whose bits tell whether an odd number of hashes falls on them."""
+    import numpy as np
+
+    odd = np.bincount(((h ^ (h >> np.uint64(31))) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sign(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, f1, f2, pairs): set size, two sums that stand for the set, and a long for each coordinate and value."""
+    """(doc_id, n, f1, f2, pairs, odd): set size, two sums that stand for the set, a long for each coordinate and value, a parity sketch."""
     import numpy as np
 
     mul, add = _family()
@@ -74,10 +85,11 @@ def _sign(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
-            n, f1, f2, sigs = [], [], [], []
+            n, f1, f2, sigs, odd = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 h = _hashes(text, width)
                 n.append(len(h))
+                odd.append(_parity(h))
                 for to, x in zip((f1, f2), _sums(h)):
                     to.append(x)
                 sig = np.full(K, 2**64 - 1, np.uint64)
@@ -86,8 +98,9 @@ def _sign(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 sigs.append((sig & ~low) | each)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sigs).view(np.int64)), K).cast(pa.list_(pa.int64()))],
-                ["doc_id", "n", "f1", "f2", "pairs"],
+                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sigs).view(np.int64)), K).cast(pa.list_(pa.int64())),
+                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(odd)), PARITY).cast(pa.list_(pa.int64()))],
+                ["doc_id", "n", "f1", "f2", "pairs", "odd"],
             )
 
 
@@ -147,6 +160,12 @@ def _alike(x: str, y: str, percent: int) -> str:
     return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {_differ(x, y)} <= {K - MATCHES}"
 
 
+def _near_sets(x: str, y: str, percent: int) -> str:
+    """Whether the parity sketches of x and y allow a link."""
+    bits = " + ".join(f"bit_count({x}.odd[{i}] ^ {y}.odd[{i}])" for i in range(PARITY))
+    return f"{100 + percent} * ({bits}) <= {100 - percent} * ({x}.n + {y}.n)"
+
+
 def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     pairs = scratch.save(pairs.select("a", "b").distinct())
@@ -161,7 +180,7 @@ def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int,
     return found
 
 
-def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, percent: int, pivots: int = 3) -> DataFrame:
+def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, percent: int, pivots: int = 2) -> DataFrame:
     """(a, b): confirmed links between class representatives that connect what is similar."""
     reps = signed.where("n > 0 AND doc_id = rep")
     pairs = reps.select(F.col("doc_id").alias("id"), F.explode("pairs").alias("pair"))
@@ -195,8 +214,9 @@ def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, perc
         scratch.drop(placed, heads)
         placed = scratch.save(moved.join(open_, "pair"))
         scratch.drop(moved)
-    placed = scratch.save(placed.join(lists, "id"))
-    near = F.expr(f"x.id < y.id AND x.component <> y.component AND {_alike('x', 'y', percent)} AND x.pair = array_min(array_intersect(x.posted, y.posted))")
+    odd = reps.select(F.col("doc_id").alias("id"), "odd")
+    placed = scratch.save(placed.join(lists, "id").join(odd, "id"))
+    near = F.expr(f"x.id < y.id AND x.component <> y.component AND {_alike('x', 'y', percent)} AND {_near_sets('x', 'y', percent)} AND x.pair = array_min(array_intersect(x.posted, y.posted))")
     rest = placed.alias("x").join(placed.alias("y"), (F.col("x.pair") == F.col("y.pair")) & near)
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     return found.unionByName(_confirmed(scratch, docs, rest, width, percent))
@@ -213,7 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = typed(docs, doc_id="long", text="string")
-    signed = scratch.save(docs.mapInArrow(partial(_sign, width), "doc_id long, n long, f1 long, f2 long, pairs array<long>"))
+    signed = scratch.save(docs.mapInArrow(partial(_sign, width), "doc_id long, n long, f1 long, f2 long, pairs array<long>, odd array<long>"))
     classes = scratch.save(signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     signed = signed.join(classes, ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     signed = scratch.save(signed)
