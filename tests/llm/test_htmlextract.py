@@ -1,3 +1,5 @@
+import pytest
+
 from reelspark.llm import htmlextract
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t = "<p>no</p>";</script></head><body><nav><ul><li><a href="/">Menu</a></li></ul></nav>
@@ -14,6 +16,24 @@ def test_plain_layout():
     assert htmlextract.extract(page) == "Of moths\n\nMoths fly by night and rest by day on the bark of trees.\n\nTheir larvae feed on leaves."
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="a hidden place"', "title='role=menu hidden'", 'data-id="ad-12" data-class="menu"', 'data-hidden aria-hidden="false"', "data-x=hidden", 'onclick="this.id=\'ad\'"', "title = 'class=ad'", 'x="1"class="story"title="hidden"'])
+def test_values_of_other_attributes(attrs):
+    plain = "<body><article><h1>Of moths</h1><div%s><p>Moths fly by night and rest by day.</p></div><p>They feed on leaves.</p></article></body>"
+    assert htmlextract.extract(plain % (" " + attrs)) == htmlextract.extract(plain % "") == "Of moths\n\nMoths fly by night and rest by day.\n\nThey feed on leaves."
+
+
+@pytest.mark.parametrize("href", ['"/hidden-river"', '"/story?id=ad-12"', "/a/hidden", "'/x?class=menu&role=search'"])
+def test_words_of_links(href):
+    page = f"<article><p>Boats were moved to <a href={href}>the old harbour</a> in the night.</p></article>"
+    assert htmlextract.extract(page) == "Boats were moved to the old harbour in the night."
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'HIDDEN=""', 'title="a" hidden', 'aria-hidden="true"', "class=ad", 'style="x"class="ad"', "data-x='y' ID = 'ad-12'", 'role="menu"'])
+def test_still_passed_over(attrs):
+    page = f"<article><p>Boats were moved in the night.</p><div {attrs}><p>Buy this</p></div></article>"
+    assert htmlextract.extract(page) == "Boats were moved in the night."
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (3, "u", "<", 1), (4, "u", "no tags", 1), (5, "u", PAGE, 1), (5, "u", PAGE, 1), (6, "u", "<article>" + "<p>word " * 20000, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
