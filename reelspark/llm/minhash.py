@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .util import Scratch, typed
+from .util import Scratch, fingerprint, gapless, typed
 
 K, MATCHES = 64, 33
 #: Longs of a parity sketch.
@@ -245,7 +245,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _own_ids(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(id, h1, h2, own) for texts whose id is null or names other texts too, and (own) of texts that stand in several rows.
+
+    own is a number that no other text has as its id; any other text's own is its id. None stands for no rows.
+    """
+    named = typed(docs, doc_id="long", text="string").select(F.col("doc_id").alias("id"), *fingerprint("text"))
+    keys = scratch.save(named.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")))
+    shared = keys.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    odd = scratch.save(keys.where("id IS NULL").unionByName(keys.join(shared, "id", "left_semi")))
+    rows = odd.count()
+    lo, hi = keys.agg(F.min("id"), F.max("id")).first()
+    if lo is None or hi + rows < 2**63:
+        first = 0 if lo is None else hi + 1
+    elif lo - rows >= -(2**63):
+        first = lo - rows
+    else:  # no such stretch of numbers is free, so all texts are numbered anew
+        odd, rows, first = keys, keys.count(), 0
+    if rows:
+        own = (F.col("_rank") + F.lit(first).cast("long")).alias("own")
+        odd = scratch.save(gapless(scratch, odd, [], [], ["id", "h1", "h2"], rows, "_rank").select("id", "h1", "h2", own))
+    else:
+        odd = None
+    many = keys.where("n > 1")
+    if not many.limit(1).count():
+        return odd, None
+    if odd is None:
+        return odd, scratch.save(many.select(F.col("id").alias("own")))
+    left, right = many.alias("l"), odd.alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ("id", "h1", "h2")]
+    return odd, scratch.save(left.join(right, same, "left").select(F.coalesce("r.own", "l.id").alias("own")))
+
+
+def _with_own(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """``docs`` and each row's _own, see _own_ids()."""
+    by = {c.lower(): f"`{c}`" for c in docs.columns}
+    id_ = F.col(by["doc_id"]).cast("long")
+    if odd is None:
+        return docs.withColumn("_own", id_)
+    h1, h2 = fingerprint(by["text"])
+    left = docs.select("*", id_.alias("_own_id"), h1.alias("_own_h1"), h2.alias("_own_h2"))
+    right = odd.select(F.col("id").alias("_odd_id"), F.col("h1").alias("_odd_h1"), F.col("h2").alias("_odd_h2"), F.col("own").alias("_odd_own"))
+    same = [F.col(f"_own_{k}").eqNullSafe(F.col(f"_odd_{k}")) for k in ("id", "h1", "h2")]
+    return left.join(right, same, "left").select(*[f"`{c}`" for c in docs.columns], F.coalesce("_odd_own", "_own_id").alias("_own"))
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with all its columns."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each component, with all its columns.
+
+    Here each text is a document of its own: ids may be null or name several texts, and of
+    rows with equal ids and texts one stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    odd, many = _own_ids(scratch, docs)
+    rows = _with_own(docs, odd)
+    texts = rows.select(F.col("_own").alias("doc_id"), F.col("`" + next(c for c in docs.columns if c.lower() == "text") + "`").cast("string").alias("text"))
+    kept = near_duplicates(scratch.save(texts) if odd is not None else texts, **options).where("kept").select(F.col("doc_id").alias("_own")).distinct()
+    left = rows.join(kept, "_own", "left_semi")
+    if many is not None:
+        twice = many.withColumnRenamed("own", "_own")
+        left = left.join(twice, "_own", "left_anti").unionByName(left.join(twice, "_own", "left_semi").dropDuplicates(["_own"]))
+    return left.select(*[f"`{c}`" for c in docs.columns])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Scratch, typed
+from .util import Scratch, fingerprint, typed
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -52,7 +52,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [measure(t) for t in b.column(2).to_pylist()]
         cols = list(zip(*rows)) or [()] * len(COUNTS)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "host", *COUNTS])
+        more = [b.column(i) for i in range(3, b.num_columns)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols), *more], ["doc_id", "host", *COUNTS, *b.schema.names[3:]])
 
 
 def with_rules(df: DataFrame) -> DataFrame:
@@ -92,6 +93,20 @@ def host_verdicts(measured: DataFrame, max_rate: float = 0.5) -> DataFrame:
     return hosts.withColumn("rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_rate)
 
 
+def _host(name: str):
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("-"))
+
+
+def _judged(docs: DataFrame, host: str, max_rate: float, *more) -> DataFrame:
+    """doc_id, host, the counts, the rules, host_rejected, kept and ``more``, columns of longs: one row for each row of ``docs``."""
+    scratch = Scratch(docs.sparkSession)
+    rows = typed(docs, doc_id="long", **{host: "string"}, text="string")
+    rows = rows.select("doc_id", _host(host).alias("host"), "text", *more)
+    measured = with_rules(scratch.save(rows.mapInArrow(_measure, ", ".join([_OUT, *(f"{c} long" for c in rows.columns[3:])]))))
+    verdicts = scratch.save(host_verdicts(measured, max_rate).select("host", F.col("rejected").alias("host_rejected")))
+    return measured.join(verdicts, "host", "left").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+
+
 def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """doc_id, the counts, base_failed, host_rejected, kept: one row for each row of ``docs``.
 
@@ -99,17 +114,19 @@ def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = 0.5)
     Repeated rows and equal ids are kept as they are; other columns are ignored.
     An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    rows = typed(docs, doc_id="long", **{host: "string"}, text="string")
-    rows = rows.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-")).alias("host"), "text")
-    measured = with_rules(scratch.save(rows.mapInArrow(_measure, _OUT)))
-    verdicts = scratch.save(host_verdicts(measured, max_rate).select("host", "rejected"))
-    joined = measured.join(verdicts, "host", "left")
-    return joined.select("doc_id", *COUNTS, "base_failed", F.col("rejected").alias("host_rejected"), (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))
+    return _judged(docs, host, max_rate).select("doc_id", *COUNTS, "base_failed", "host_rejected", "kept")
 
 
-def reject_low_quality(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    verdict = quality_rules(docs, **options).select("doc_id", "kept").groupBy("doc_id").agg(F.min("kept").alias("_kept"))
-    return docs.join(verdict.where("_kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+def reject_low_quality(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """The rows that pass, with all their columns.
+
+    Each row is judged by its own text and host, whatever its id: ids may repeat or be null.
+    """
+    by = {c.lower(): f"`{c}`" for c in docs.columns}
+    judged = _judged(docs, host, max_rate, *fingerprint("text"))
+    # text and host tell the verdict; the id only deals copies of a text over the tasks
+    passed = judged.where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_pass_id"), F.col("host").alias("_pass_host"), F.col("h1").alias("_pass_h1"), F.col("h2").alias("_pass_h2")).distinct()
+    h1, h2 = fingerprint(by["text"])
+    own = docs.select("*", F.coalesce(F.col(by["doc_id"]).cast("long"), F.lit(0)).alias("_own_id"), _host(by[host.lower()]).alias("_own_host") if host.lower() in by else F.lit("-").alias("_own_host"), h1.alias("_own_h1"), h2.alias("_own_h2"))
+    same = [F.col(f"_own_{k}") == F.col(f"_pass_{k}") for k in ("id", "host", "h1", "h2")]
+    return own.join(passed, same, "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -56,6 +56,12 @@ def typed(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
+def fingerprint(text: str) -> list[Column]:
+    """h1 and h2, two longs that together stand for a text; null differs from the empty text."""
+    value = F.col(text).cast("string")
+    return [F.xxhash64(value).alias("h1"), F.coalesce(F.crc32(value), F.lit(-1)).cast("long").alias("h2")]
+
+
 def blocks_for(rows: int, per_block: int = 2000) -> int:
     return max(1, -(-rows // per_block))
 

@@ -31,3 +31,26 @@ def test_stages(spark, tmp_path):
     assert {x.doc_id for x in pieces} == set(ids[3])
     assert sum(x.length for x in pieces) == sum({x.doc_id: x.doc_tokens for x in pieces}.values())
     assert corpus_pipeline.ORACLE_SQL is None and minhash.K == 64
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Repeated rows, null ids and ids that name several texts."""
+    r = rng(13)
+    t = [words(r, 120, 10**5) for _ in range(9)]
+    bad = "too short"
+    rows = [(1, t[0]), (1, t[0]), (2, t[1]), (None, t[2]), (None, t[2]), (None, t[3]), (None, bad), (3, t[4]), (3, bad), (4, t[5]), (4, t[6]), (5, t[7]), (5, t[8]), (6, t[8] + " more"), (None, t[1] + " more"), *[(10 + i, words(r, 120, 10**5)) for i in range(9)]]
+    rows += [(2**63 - 1, words(r, 120, 10**5))]
+    spark.createDataFrame([(1, words(r, 30, 10**5))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for extra in ([], [(-(2**63), words(r, 120, 10**5))]):
+        docs, good = frame(spark, rows + extra, sources=["a"]), sorted(x[1] for x in rows + extra if x[1] != bad)
+        first = corpus_pipeline.keep_good_text(spark, docs, str(tmp_path))
+        assert first.columns == docs.columns and sorted(x.text for x in first.collect()) == good
+        left = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, str(tmp_path))
+            got = [x.text for x in left.collect()]
+            if name != "quality rules":
+                # one row of each text, one of the two texts that are nearly equal, and no text cut
+                assert len(got) == len(set(got)) == len(set(good)) - 2, name
+                assert set(good) - {t[1], t[8], t[1] + " more", t[8] + " more"} < set(got), name
+                assert len({t[1], t[1] + " more"} & set(got)) == len({t[8], t[8] + " more"} & set(got)) == 1
