@@ -1,8 +1,10 @@
 """Balanced label propagation over equal texts.
 
 Documents with the same text are linked. Every document starts in a shard by the hash
-of its id; then, a few times, documents move to the shard where most of their copies
-are, as far as that shard's quota has room for linked documents. Moves are joins of
+of its id; then, until nothing moves, documents move to the shard where most of their copies
+are, or where that is full to the best one with room, as far as the shard's quota has room
+for linked documents. No document moves to where fewer of its copies are, so each round
+brings more of them together. Moves are joins of
 (group, shard) counts with the documents, so a group is never held in one place. At last
 the shards' row counts are made at most one apart, unlinked documents being the first to
 leave a full shard.
@@ -22,34 +24,67 @@ def _counts(placed: DataFrame, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def _pick(values: list[int]):
-    """A column that looks up its shard's number."""
-    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("_to") + 1)
+def _pick(values: list[int], at=None):
+    """A column that looks up its shard's number, or that at place ``at``."""
+    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (F.col("_to") if at is None else at) + 1)
 
 
-def propagate(scratch: Scratch, placed: DataFrame, shards: int, quotas: list[int], rows: int) -> DataFrame:
-    """One round: the documents with the shards they are in after it."""
-    now = _counts(placed.where("linked"), shards)
+def granted(flow: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How many of the ``flow[s][t]`` documents that want to go from s to t may go.
+
+    Shard t takes ``room[t]`` more than leave it; room is below 0 where a shard is too full.
+    """
+    n = len(room)
+    flow = [list(x) for x in flow]
+    for turn in range(1001):
+        fits = True
+        for t in range(n):
+            # if it takes long to settle, nothing is lent on those that leave
+            free = max(0, room[t] + (sum(flow[t]) if turn < 1000 else 0))
+            want = sum(flow[s][t] for s in range(n))
+            if want > free:
+                fits = False
+                # in proportion, what rounding leaves going to the first, so that no room stays unused
+                upto, cut = 0, 0
+                for s in range(n):
+                    upto += flow[s][t]
+                    flow[s][t] = -(-upto * free // want) - cut
+                    cut += flow[s][t]
+        if fits:
+            break
+    return flow
+
+
+def propagate(scratch: Scratch, placed: DataFrame, shards: int, quotas: list[int], rows: int) -> tuple[DataFrame, int]:
+    """One round: the documents with the shards they are in after it, and how many moved."""
     there = scratch.save(placed.where("linked").groupBy("g1", "g2", "size", "shard").agg(F.count(F.lit(1)).alias("n")))
-    open_ = [s for s in range(shards) if now[s] < quotas[s]]
-    # a full shard can take a document for each one that leaves it, so every shard is a goal;
-    # a group whose best shard keeps no room falls back to the best one with room
+    now = {r["shard"]: r["n"] for r in there.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    room = [quotas[s] - now.get(s, 0) for s in range(shards)]
+    open_ = [s for s in range(shards) if room[s] > 0]
+    # a group goes to its best shard with room; if none of its shards has any, to its best,
+    # which can take a document for each one that leaves it
     best = F.struct("n", F.xxhash64("g1", "shard").alias("h"), F.col("shard").alias("s"))
     goals = there.groupBy("g1", "g2", "size").agg(F.max(best).alias("best"), F.max(F.when(F.col("shard").isin(open_), best)).alias("room"))
-    goals = goals.select("g1", "g2", "size", F.col("best.s").alias("_best"), F.col("best.n").alias("_best_n"), F.col("room.s").alias("_room"), F.col("room.n").alias("_room_n"))
-    crowded = F.col("_best_n") >= F.element_at(F.array(*[F.lit(q).cast("long") for q in quotas]), F.col("_best") + 1)
-    to = F.when(crowded, F.coalesce("_room", "_best")).otherwise(F.col("_best"))
-    goals = scratch.save(goals.withColumn("_to", to).withColumn("_to_n", F.when(F.col("_to") == F.col("_best"), F.col("_best_n")).otherwise(F.col("_room_n"))).select("g1", "g2", "size", "_to", "_to_n", "_best"))
-    here = there.withColumnRenamed("n", "_here")
-    want = here.join(goals, ["g1", "g2", "size"]).where((F.col("shard") != F.col("_to")) & (F.col("shard") != F.col("_best"))).select("g1", "g2", "size", "shard", "_to")
-    want = scratch.save(want)
-    movers = scratch.save(placed.where("linked").join(want, ["g1", "g2", "size", "shard"]))
-    leaving = {r["shard"]: r["count"] for r in movers.groupBy("shard").count().collect()}
-    room = [max(0, quotas[s] - now[s] + leaving.get(s, 0)) for s in range(shards)]
-    ranked = gapless(scratch, movers, ["_to"], [], ["row"], rows, "_rank")
-    moved = ranked.select("row", F.when(F.col("_rank") < _pick(room), F.col("_to")).alias("_new"))
+    to = F.coalesce("room", "best")
+    goals = goals.select("g1", "g2", "size", to["s"].alias("_to"), to["n"].alias("_to_n"))
+    want = there.join(goals, ["g1", "g2", "size"]).where("shard <> _to AND n <= _to_n")
+    want = scratch.save(want.select("g1", "g2", "size", "shard", "_to", "n"))
+    flow = [[0] * shards for _ in range(shards)]
+    for r in want.groupBy("shard", "_to").agg(F.sum("n").alias("n")).collect():
+        flow[r["shard"]][r["_to"]] = r["n"]
+    go = granted(flow, room)
+    moving = sum(map(sum, go))
+    if not moving:
+        scratch.drop(there, want)
+        return placed, 0
+    movers = scratch.save(placed.where("linked").join(want.drop("n"), ["g1", "g2", "size", "shard"]))
+    ranked = gapless(scratch, movers, ["shard", "_to"], [], ["row"], rows, "_rank")
+    may = _pick([x for line in go for x in line], F.col("shard") * shards + F.col("_to"))
+    moved = ranked.where(F.col("_rank") < may).select("row", F.col("_to").alias("_new"))
     out = placed.join(moved, "row", "left").withColumn("shard", F.coalesce("_new", "shard")).drop("_new")
-    return scratch.save(out.select(*placed.columns))
+    out = scratch.save(out.select(*placed.columns))
+    scratch.drop(there, want, movers, placed)
+    return out, moving
 
 
 def even_out(scratch: Scratch, placed: DataFrame, shards: int, quotas: list[int], rows: int) -> DataFrame:
@@ -69,12 +104,13 @@ def even_out(scratch: Scratch, placed: DataFrame, shards: int, quotas: list[int]
     return scratch.save(stay.drop("_rank", "_to").select(*placed.columns).unionByName(spread.select(*placed.columns)))
 
 
-def shard(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row for each row of ``docs``.
 
     The law is ``rows``: the shards' row counts differ by at most one. size is the UTF-8
     bytes of the text plus 8; a null text has no bytes and the checksum 0, and is linked
-    with nothing. Rows may repeat, ids too. An empty table gives an empty result.
+    with nothing. ``rounds`` is the most rounds of moves; without it they go on until no
+    document moves. Rows may repeat, ids too. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -90,8 +126,10 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
     )
     placed = scratch.save(placed)
     quotas = [rows // shards + (s < rows % shards) for s in range(shards)]
-    for _ in range(rounds):
-        placed = propagate(scratch, placed, shards, quotas, rows)
+    moved, done = 1, 0
+    while moved and (rounds is None or done < rounds):
+        placed, moved = propagate(scratch, placed, shards, quotas, rows)
+        done += 1
     placed = even_out(scratch, placed, shards, quotas, rows)
     out = gapless(scratch, placed, ["shard"], [], ["row"], rows, "slot")
     return out.select("doc_id", "size", F.col("g2").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -36,3 +36,36 @@ def test_few_rows(spark):
     docs = frame(spark, [(1, "a"), (1, "a"), (None, None)])
     held(sharding.shard(docs, shards=24).collect(), 24, 3)
     assert sharding.shard(docs.limit(0)).count() == 0
+
+
+def test_together_beside_a_hot_group(spark):
+    """One text in a third of all rows, and pairs: the pairs end up whole, the hot text in few shards."""
+    r = rng(5)
+    n, shards = 4800, 12
+    texts = ["hot"] * (n // 3)
+    for _ in range(n // 20):
+        texts += [words(r, 20, 10**5)] * 2
+    texts += [f"other {i}" for i in range(n - len(texts))]
+    r.shuffle(texts)
+    rows = sharding.shard(frame(spark, texts), shards=shards).collect()
+    held(rows, shards, n)
+    shards_of = {}
+    for x in rows:
+        shards_of.setdefault(texts[x.doc_id], []).append(x.shard)
+    hot = Counter(shards_of.pop("hot"))
+    assert sum(len(set(x)) > 1 for x in shards_of.values()) <= n // 20 // 200
+    # a third of the rows fill four shards of twelve; with the pairs in them, five hold all but a few
+    assert sum(c for _, c in hot.most_common(5)) >= 0.98 * n // 3
+
+
+def test_granted_keeps_the_room():
+    r = rng(6)
+    for _ in range(200):
+        k = r.randrange(2, 7)
+        flow = [[0 if s == t else r.randrange(50) for t in range(k)] for s in range(k)]
+        room = [r.randrange(-30, 30) for _ in range(k)]
+        go = sharding.granted(flow, room)
+        for t in range(k):
+            came, left = sum(x[t] for x in go), sum(go[t])
+            assert came <= max(0, room[t] + left) and all(0 <= go[t][u] <= flow[t][u] for u in range(k))
+    assert sharding.granted([[0, 5], [5, 0]], [0, 0]) == [[0, 5], [5, 0]]
