@@ -20,9 +20,17 @@ from pyspark.sql import DataFrame
 
 from .util import typed
 
-_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|title|button|datalist|head"
+#: Elements whose content is raw text up to their end tag.
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "textarea", "title")}
+#: Elements passed over with all that is in them.
+_UNSEEN = frozenset("noscript template svg math iframe object canvas audio video select button datalist head".split())
+_END = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in _UNSEEN}
+#: An article in one of these is passed over too.
+_SEALED = _UNSEEN - {"select", "button", "datalist", "head"}
+_IN_HEAD = frozenset("head base basefont bgsound link meta noscript script style template title noframes".split())
+_TEXT = re.compile("[^<]*")
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<bad>{'|'.join([*_RAW, *sorted(_UNSEEN)])})(?=[\s/>])[^>]*>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 #: One attribute with its value, so that nothing is looked for inside values or longer names.
@@ -64,6 +72,14 @@ def _names(attrs: str) -> tuple[frozenset[str], bool]:
     return frozenset(found), hidden
 
 
+def _next(known: dict[str, int], name: str, pattern: re.Pattern, source: str, pos: int) -> int:
+    """Where the first match of ``pattern`` from pos on begins, -1 if there is none; looked for once for each place."""
+    if name not in known or 0 <= known[name] < pos:
+        m = pattern.search(source, pos)
+        known[name] = m.start() if m else -1
+    return known[name]
+
+
 class Page:
     """items: ("t", tag) or ("w", place, block number, words) in page order; texts of blocks are joined later."""
 
@@ -72,11 +88,19 @@ class Page:
         self.labels: list[bool] = []
         inside_label = False
         stack: list[tuple[str, bool, bool]] = []  # name, passed over, of reader comments
-        passed = main = links = 0
+        passed = main = links = unseen = 0
         block = 0
         any_main = False
-        for m in _TOKEN.finditer(source):
-            text, name = m["text"], m["name"]
+        at_end: dict[str, int] = {}  # where the next end tag of a name is, as far as known
+        pos = 0
+        while m := _TOKEN.match(source, pos):
+            pos = m.end()
+            text, name = m["text"], m["name"] or m["bad"]
+            # a head without its end tag ends where something begins that can't stand in it
+            if stack and stack[-1][0] == "head" and (text.strip() if text is not None else name and not m["close"] and name.lower() not in _IN_HEAD):
+                _, p, _ = stack.pop()
+                passed -= p
+                unseen -= p
             if text is not None:
                 if not passed:
                     words = entities.unescape(text)
@@ -91,12 +115,21 @@ class Page:
                     inside_label = m[0] == "<!--main-->"
                 continue
             name = name.lower()
+            attrs = m["attrs"] or ""
+            if name in _RAW:
+                if not m["close"] and not (attrs.endswith("/") and any(x in ("svg", "math") for x, _, _ in stack)):
+                    end = _next(at_end, name, _RAW[name], source, pos)
+                    # only a title is taken to be short if its end tag is missing
+                    pos = _RAW[name].match(source, end).end() if end >= 0 else _TEXT.match(source, pos).end() if name == "title" else len(source)
+                continue
+            if name in _UNSEEN and not m["close"] and name != "head" and _next(at_end, name, _END[name], source, pos) < 0:
+                continue
             if name == "br":
                 if not passed:
                     self.items.append(("w", None, block, " "))
                     self.labels.append(inside_label)
                 continue
-            if name in BLOCKS:
+            if name in BLOCKS and not unseen:
                 block += 1
             popped: list[tuple[str, bool, bool]] = []
             if m["close"]:
@@ -105,7 +138,13 @@ class Page:
                         popped.append(stack.pop())
                         if popped[-1][0] == name:
                             break
-            else:
+            elif name in ("select", "button") and any(s[0] == name for s in stack):
+                # the one before was left open
+                while True:
+                    popped.append(stack.pop())
+                    if popped[-1][0] == name:
+                        break
+            elif not unseen:
                 # a paragraph ends where a block begins; likewise list items, cells and so on
                 for opener, closes in (("p", BLOCKS), ("li", ("li",)), ("td", ("td", "th", "tr")), ("th", ("td", "th", "tr")), ("tr", ("tr",)), ("dd", ("dd", "dt")), ("dt", ("dd", "dt"))):
                     if name in closes:
@@ -115,22 +154,24 @@ class Page:
                             del stack[at:]
             for n, p, _ in popped:
                 passed -= p
+                unseen -= p and n in _UNSEEN
                 main -= n in _MAIN
                 links -= n == "a"
             if not m["close"]:
-                names, hidden = _names(m["attrs"]) if m["attrs"] else (frozenset(), False)
-                over = hidden or name in _PASSED or name == "header" and not main or not names.isdisjoint(_NAMES) and names.isdisjoint(_LAYOUT) or any(x.startswith("role:") for x in names)
+                names, hidden = _names(attrs) if attrs else (frozenset(), False)
+                over = hidden or name in _PASSED or name in _UNSEEN or name == "header" and not main or not names.isdisjoint(_NAMES) and names.isdisjoint(_LAYOUT) or any(x.startswith("role:") for x in names)
                 over = over and name not in ("html", "body")
-                if name in _MAIN and passed and not over and not any(c for _, _, c in stack):
+                if name in _MAIN and passed and not over and not any(c or p and n in _SEALED for n, p, c in stack):
                     # the article isn't part of a menu or advert that was left open
-                    passed, stack = 0, [(n, False, c) for n, _, c in stack]
-                if name not in VOID and not m["attrs"].endswith("/"):
+                    passed, unseen, stack = 0, 0, [(n, False, c) for n, _, c in stack]
+                if name not in VOID and not attrs.endswith("/"):
                     stack.append((name, over, over and not names.isdisjoint(_COMMENTS)))
                     passed += over
+                    unseen += name in _UNSEEN
                     main += name in _MAIN
                     links += name == "a"
                 any_main |= name in _MAIN and not passed
-            if not passed:
+            if not passed and name not in _UNSEEN:
                 self.items.append(("t", name))
                 self.labels.append(inside_label)
         if not any_main:

@@ -34,6 +34,21 @@ def test_still_passed_over(attrs):
     assert htmlextract.extract(page) == "Boats were moved in the night."
 
 
+BODY = "<h1>Of moths</h1><p>Moths fly by night and rest by day.</p><p>They feed on leaves.</p>"
+TEXT = "Of moths\n\nMoths fly by night and rest by day.\n\nThey feed on leaves."
+
+
+@pytest.mark.parametrize("before", ["<head><title>T</title><meta charset=utf-8>", "<head><title>T</title><body>", "<head><style>p{}</style><script>'<p>'</script>", "<head><title>T", "<svg class=x />", "<math/>", '<svg width="1"/><svg><title/><path d="M0"/></svg>', "<button>", "<select>", "<button><button>Go</button>", "<head><noscript><img src=x></noscript>", "<video src=x>"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_end_tags_left_out(before, tag):
+    assert htmlextract.extract(f"<html>{before}<{tag}>{BODY}</{tag}></html>").replace("T\n\n", "") == TEXT
+
+
+@pytest.mark.parametrize("inside", ["<svg><title>a</title><text>b</text></svg>", "<button><div>a</div></button>", "<select><option>a<option>b</select>", "<noscript><p>a</p></noscript>", "<template><article><p>a</p></article></template>", "<script>'</p>'</script>", "<textarea><p>a</textarea>", "<video><p>a</p></video>", "<math><mi>a</mi></math>"])
+def test_whole_elements_passed_over(inside):
+    assert htmlextract.extract(f"<article>{BODY.replace('by night', 'by' + inside + ' night')}</article>") == TEXT
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (3, "u", "<", 1), (4, "u", "no tags", 1), (5, "u", PAGE, 1), (5, "u", PAGE, 1), (6, "u", "<article>" + "<p>word " * 20000, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
