@@ -128,31 +128,35 @@ def _best_cut(logits: list[float], labels: list[bool]) -> float:
     return best[1]
 
 
-def fit_chain(texts: list[str], labels: list[list[bool]]) -> Chain:
-    """labels: one list for each category, in the order of the chain."""
+def fit_chain(texts: list[str], labels: list[list[bool | None]]) -> Chain:
+    """labels: one list for each category, in the order of the chain; a category learns nothing from its Nones."""
     rows = [features(t) for t in texts]
     numbers: list[list[float]] = [[] for _ in rows]
     fold = [i % FOLDS for i in range(len(rows))]
     models, cuts = [], []
     for own in labels:
-        models.append(fit_linear(rows, numbers, own))
+        known = [i for i in range(len(rows)) if own[i] is not None]
+        models.append(fit_linear([rows[i] for i in known], [numbers[i] for i in known], [own[i] for i in known]))
         out = [0.0] * len(rows)
         for k in range(FOLDS):
-            rest = [i for i in range(len(rows)) if fold[i] != k]
+            rest = [i for i in known if fold[i] != k]
             part = fit_linear([rows[i] for i in rest], [numbers[i] for i in rest], [own[i] for i in rest])
             for i in range(len(rows)):
                 if fold[i] == k:
                     out[i] = part.logit(rows[i], numbers[i])
-        cuts.append(_best_cut(out, own))
+        cuts.append(_best_cut([out[i] for i in known], [own[i] for i in known]))
         numbers = [[*a, b] for a, b in zip(numbers, out)]
     return Chain(models, cuts)
 
 
 def sample(docs: DataFrame, labels: DataFrame, rule: Column, positive: int, negative: int, longest: int) -> DataFrame:
-    """Labelled documents of at most ``longest`` characters: so many that meet the rule and that don't, by the hash of their id."""
+    """Labelled documents of at most ``longest`` characters: so many that meet the rule and that don't, by the hash of their id.
+
+    Where labels leave the rule open, ``negative`` more are taken of those, so they take no other's place.
+    """
     known = labels.join(docs.where(F.length("text") <= longest).select("doc_id").distinct(), "doc_id")
     pick = lambda part, n: part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = pick(known.where(rule), positive).unionByName(pick(known.where(~rule), negative))
+    ids = pick(known.where(rule), positive).unionByName(pick(known.where(~rule), negative)).unionByName(pick(known.where(rule.isNull()), negative))
     return docs.where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id")
 
 
@@ -170,19 +174,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CA
     """doc_id, p_<category> and <category> for each: one row for each row of ``docs``.
 
     Trained on at most ``positive`` + ``negative`` labelled documents of at most ``longest``
-    characters. Null and empty texts are scored as texts without words. Rows of labels
-    with a null label, or repeated, don't count twice; without examples of both kinds a
+    characters, and on at most ``negative`` more whose label of ``main`` is null. A null
+    label is left out of its own category only. Null and empty texts are scored as texts
+    without words. Repeated rows of labels don't count twice; without examples of both kinds a
     category has the labels' base rate and is never flagged. Other columns are ignored.
     """
     docs = typed(docs, doc_id="long", text="string")
-    known = typed(labels, doc_id="long", quality="int", toxic="int").dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = typed(labels, doc_id="long", quality="int", toxic="int").dropna("all", subset=["quality", "toxic"]).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     train = sample(docs.where("text IS NOT NULL"), known, F.expr(categories[main]), positive, negative, longest)
     picked = train.select("doc_id", "text", *[F.expr(r).alias(c) for c, r in categories.items()]).dropDuplicates(["doc_id"]).collect()
     picked.sort(key=lambda r: r["doc_id"])
     names = list(categories)
     chain = fit_chain([r["text"] for r in picked], [[r[c] for r in picked] for c in names])
     for i, c in enumerate(names):
-        if len({r[c] for r in picked}) < 2:
+        if len({r[c] for r in picked} - {None}) < 2:
             chain.cuts[i] = float("inf")
     out = "doc_id long, " + ", ".join(f"p_{n} double" for n in names) + ", " + ", ".join(f"{n} boolean" for n in names)
     return docs.mapInArrow(partial(_score, chain, names), out)

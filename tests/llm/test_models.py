@@ -41,3 +41,15 @@ def test_toxicity_without_labels(spark):
     one = spark.createDataFrame([(3, 1, 1), (3, 1, 1), (4, None, 0)], "doc_id long, quality int, toxic int")
     assert not any(x.toxic for x in toxicity.toxicity(docs, one).collect())
     assert toxicity.toxicity(docs.limit(0), one).count() == 0
+
+
+def test_toxicity_learns_from_rows_with_one_label(spark):
+    """No document has both labels; each category learns from its own."""
+    r = rng(21)
+    bad = [i % 2 == 0 for i in range(160)]
+    docs = frame(spark, [words(r, 40) + (" vile filth" if b else " mild grace") for b in bad])
+    labels = [(i, None, int(b)) if i % 4 < 2 else (i, int(not b), None) for i, b in enumerate(bad)]
+    got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(bad) and sum(x.toxic == bad[x.doc_id] for x in got) >= 150
+    other = next(c for c in toxicity.CATEGORIES if c != "toxic")
+    assert {x[other] for x in got} == {True, False}
