@@ -11,17 +11,19 @@ A true link at similarity 0.8 has fewer than 33 of 64 equal coordinates once in
 million times.
 
 Documents with equal sets stand for each other. Only what joins components matters, so a
-few times each posting list takes a pivot, and every document is compared with the pivot of
-its lists that agrees with it in most coordinates: one pair for each document and time. Then
-all pairs are compared that are still in different components, each in the first list
-that both share, unless their parity sketches differ in more bits than two sets so similar
-can differ in members: each member flips one bit, so that test never loses a link. No list is expanded into pairs of documents already known to belong together.
+few times each posting list takes a head. A document's lists are merged and the collisions
+with each head counted; it is compared with the head it collides with most, and takes that
+head's label if they are similar. Lists whose members all have one label are skipped from then
+on. At last all pairs in the open lists are compared whose labels differ, unless their
+signatures or parity sketches rule out a link: each member of a set flips one bit of its
+sketch, so two sketches never differ in more bits than the sets in members. No list is
+expanded into pairs of documents already known to belong together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,51 +78,75 @@ def _parity(h):
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _signature(h, family):
+    """A long for each coordinate and its least value."""
+    import numpy as np
+
+    mul, add = family
+    sig = np.full(K, 2**64 - 1, np.uint64)
+    for j in range(0, len(h), 4096):
+        sig = np.minimum(sig, (h[j : j + 4096, None] * mul + add).min(0))
+    return (sig & ~np.uint64(K - 1)) | np.arange(K, dtype=np.uint64)
+
+
 def _sign(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, f1, f2, pairs, odd): set size, two sums that stand for the set, a long for each coordinate and value, a parity sketch."""
+    """(doc_id, n, f1, f2, pairs): set size, two sums that stand for the set, the signature."""
     import numpy as np
 
-    mul, add = _family()
-    low, each = np.uint64(K - 1), np.arange(K, dtype=np.uint64)
+    family = _family()
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
-            n, f1, f2, sigs, odd = [], [], [], [], []
+            n, f1, f2, sigs = [], [], [], []
             for text in part.column(1).to_pylist():
                 h = _hashes(text, width)
                 n.append(len(h))
-                odd.append(_parity(h))
                 for to, x in zip((f1, f2), _sums(h)):
                     to.append(x)
-                sig = np.full(K, 2**64 - 1, np.uint64)
-                for j in range(0, len(h), 4096):
-                    sig = np.minimum(sig, (h[j : j + 4096, None] * mul + add).min(0))
-                sigs.append((sig & ~low) | each)
+                sigs.append(_signature(h, family))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sigs).view(np.int64)), K).cast(pa.list_(pa.int64())),
-                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(odd)), PARITY).cast(pa.list_(pa.int64()))],
-                ["doc_id", "n", "f1", "f2", "pairs", "odd"],
+                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sigs).view(np.int64)), K).cast(pa.list_(pa.int64()))],
+                ["doc_id", "n", "f1", "f2", "pairs"],
             )
 
 
-def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_WORDS = [f"w{i}" for i in range(K // 8)]
+_FACTS = "id long, n long, " + ", ".join(f"{w} long" for w in _WORDS) + ", odd array<long>, set binary"
+
+
+def _facts(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set size, a byte of each coordinate (eight to a long), parity sketch and sorted set."""
     import numpy as np
 
+    family = _family()
     for b in batches:
         for i in range(0, b.num_rows, 500):
             part = b.slice(i, 500)
-            sets = [np.sort(_hashes(t, width)).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            n, words, odd, sets = [], [], [], []
+            for text in part.column(1).to_pylist():
+                h = _hashes(text, width)
+                n.append(len(h))
+                words.append((_signature(h, family) >> np.uint64(24)).astype(np.uint8).view(np.int64))
+                odd.append(_parity(h))
+                sets.append(np.sort(h).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), *map(pa.array, np.array(words, np.int64).reshape(-1, len(_WORDS)).T),
+                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(odd)), PARITY).cast(pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                ["id", "n", *_WORDS, "odd", "set"],
+            )
+
+
+_PAIRS = "a long, b long, la long, lb long"
 
 
 def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough, with their labels."""
     import numpy as np
 
     for b in batches:
         keep = []
-        for x, y in zip(b.column(2), b.column(3)):
+        for x, y in zip(b.column(4), b.column(5)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             small, large = sorted((x, y), key=len)
             if 100 * len(small) < percent * len(large):
@@ -129,19 +155,11 @@ def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             at = np.minimum(np.searchsorted(large, small), len(large) - 1)
             both = int((large[at] == small).sum())
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], ["a", "b", "la", "lb"]).filter(pa.array(keep, pa.bool_()))
 
 
 #: So many ids of documents to compare are sent to every executor; more are joined by a shuffle.
 SENT = 1_000_000
-_WORDS = [f"w{i}" for i in range(K // 8)]
-
-
-def _packed(pairs: str) -> list:
-    """A byte of each coordinate, eight to a long."""
-    one = "cast(0 as bigint)"
-    for_word = lambda i: " | ".join(f"shiftleft(shiftright({pairs}[{8 * i + j}], 24) & 255, {8 * j})" for j in range(8)) or one
-    return [F.expr(for_word(i)).alias(w) for i, w in enumerate(_WORDS)]
 
 
 def _differ(x: str, y: str) -> str:
@@ -166,60 +184,50 @@ def _near_sets(x: str, y: str, percent: int) -> str:
     return f"{100 + percent} * ({bits}) <= {100 - percent} * ({x}.n + {y}.n)"
 
 
-def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    pairs = scratch.save(pairs.select("a", "b").distinct())
-    ids = scratch.save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    sent = F.broadcast(ids) if ids.count() <= SENT else ids
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sent, "id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(partial(_sets, width), "id long, set binary"))
-    one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    full = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-    found = scratch.save(full.mapInArrow(partial(_confirm, percent), "a long, b long"))
-    scratch.drop(sets, ids, pairs)
-    return found
+def _confirmed(scratch: Scratch, facts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, la, lb) whose full sets are similar enough."""
+    one, two = (facts.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb", "set_a", "set_b")
+    return scratch.save(full.mapInArrow(partial(_confirm, percent), _PAIRS))
 
 
 def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, percent: int, pivots: int = 2) -> DataFrame:
-    """(a, b): confirmed links between class representatives that connect what is similar."""
-    reps = signed.where("n > 0 AND doc_id = rep")
-    pairs = reps.select(F.col("doc_id").alias("id"), F.explode("pairs").alias("pair"))
+    """(a, b): edges between class representatives that connect what is similar, and nothing else."""
+    pairs = signed.where("n > 0 AND doc_id = rep").select(F.col("doc_id").alias("id"), F.explode("pairs").alias("pair"))
     common = scratch.save(pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = pairs.join(common, "pair").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("p"))
     # pairs that nobody else posts come first in the order: only what is left of the prefix is posted
     left = F.size("p") - (MATCHES - 1)
     lists = scratch.save(shared.where(left > 0).select("id", F.transform(F.slice("p", F.lit(1), left), lambda p: p["pair"]).alias("posted")))
-    posted = lists.select("id", F.explode("posted").alias("pair"))
-    met = scratch.save(posted.groupBy("pair").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("pair"))
-    signs = scratch.save(reps.select(F.col("doc_id").alias("id"), "n", *_packed("pairs")))
-    placed = scratch.save(posted.join(met, "pair").join(signs, "id").withColumn("component", F.col("id")))
-    scratch.drop(met, signs, common)
+    scratch.drop(common)
+    ids = lists.select("id")
+    sent = F.broadcast(ids) if ids.count() <= SENT else ids
+    facts = scratch.save(docs.select(F.col("doc_id").alias("id"), "text").join(sent, "id", "left_semi").mapInArrow(partial(_facts, width), _FACTS))
 
-    found = None
+    placed, found = lists.select("id", F.col("id").alias("label"), F.explode("posted").alias("pair")), []
     for i in range(pivots):
-        # a pivot of each posting list: the smallest id first, then others by hash, so that lists of the same documents take the same one
-        order = F.struct((F.col("id") if i == 0 else F.xxhash64("id", F.lit(i))).alias("o"), "id", "component", "n", *_WORDS)
-        heads = scratch.save(placed.groupBy("pair").agg(F.min(order).alias("h")).select("pair", "h.*"))
-        near = F.expr(f"x.component <> h.component AND {_alike('x', 'h', percent)}")
-        tries = placed.alias("x").join(heads.alias("h"), (F.col("x.pair") == F.col("h.pair")) & near)
-        # of the pivots of its lists each document tries the one with most equal coordinates
-        nearest = F.min(F.struct(F.expr(_differ("x", "h")).alias("d"), F.col("h.id").alias("to"))).alias("m")
-        tries = tries.groupBy(F.col("x.id").alias("id")).agg(nearest).select(F.least("id", "m.to").alias("a"), F.greatest("id", "m.to").alias("b"))
-        new = _confirmed(scratch, docs, tries, width, percent)
-        found = new if found is None else found.unionByName(new)
-        comps = components(scratch, found)
-        # lists whose members are all in one component are done with
-        moved = scratch.save(placed.drop("component").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        open_ = scratch.save(moved.groupBy("pair").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("pair"))
-        scratch.drop(placed, heads)
-        placed = scratch.save(moved.join(open_, "pair"))
-        scratch.drop(moved)
-    odd = reps.select(F.col("doc_id").alias("id"), "odd")
-    placed = scratch.save(placed.join(lists, "id").join(odd, "id"))
-    near = F.expr(f"x.id < y.id AND x.component <> y.component AND {_alike('x', 'y', percent)} AND {_near_sets('x', 'y', percent)} AND x.pair = array_min(array_intersect(x.posted, y.posted))")
-    rest = placed.alias("x").join(placed.alias("y"), (F.col("x.pair") == F.col("y.pair")) & near)
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return found.unionByName(_confirmed(scratch, docs, rest, width, percent))
+        # the smallest id first, then others by hash, so that lists of the same documents take the same head
+        head = F.struct((F.col("id") if i == 0 else F.xxhash64("id", F.lit(i))).alias("o"), F.col("id").alias("to"), F.col("label").alias("lb"))
+        heads = placed.groupBy("pair").agg(F.min(head).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        met = scratch.save(placed.join(heads.where("lo <> hi").select("pair", "h.to", "h.lb"), "pair"))
+        hits = met.where("label <> lb").groupBy("id", "to").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("la"), F.min("lb").alias("lb"))
+        best = F.max(F.struct("c", (-F.col("to")).alias("o"), F.struct("to", "la", "lb").alias("t"))).alias("m")
+        tries = hits.groupBy("id").agg(best).select(F.col("id").alias("a"), F.col("m.t.to").alias("b"), "m.t.la", "m.t.lb")
+        new = _confirmed(scratch, facts, tries, percent)
+        found.append(new.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        # labels move to smaller ones that they are tied to, two steps at once
+        moves = scratch.save(new.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("m")))
+        further = moves.join(moves.select(F.col("label").alias("m"), F.col("m").alias("n")), "m", "left").select("label", F.coalesce("n", "m").alias("m"))
+        placed = scratch.save(met.select("id", "label", "pair").join(further, "label", "left").select("id", F.coalesce("m", "label").alias("label"), "pair"))
+        scratch.drop(met)
+    open_ = placed.groupBy("pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("pair")
+    rows = scratch.save(placed.join(open_, "pair", "left_semi").join(facts.select("id", "n", *_WORDS, "odd"), "id"))
+    near = F.expr(f"x.id < y.id AND x.label <> y.label AND {_alike('x', 'y', percent)} AND {_near_sets('x', 'y', percent)}")
+    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.pair") == F.col("y.pair")) & near)
+    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+    found.append(_confirmed(scratch, facts, rest, percent).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    scratch.drop(rows, facts, placed, lists)
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -227,22 +235,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Links are sets of ``width``-word shingles with 100 * intersection >= percent * union.
     component_id is the smallest doc_id reachable over links; null texts and texts without
-    words are linked with nothing. Rows with equal ids count as one document. Other
-    columns are ignored. An empty table gives an empty result.
+    words are linked with nothing. Rows with equal ids count as one document. A row without
+    an id is linked with equal sets only; its component_id is theirs or null, and it is kept
+    if that is null. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = typed(docs, doc_id="long", text="string")
-    signed = scratch.save(docs.mapInArrow(partial(_sign, width), "doc_id long, n long, f1 long, f2 long, pairs array<long>, odd array<long>"))
-    classes = scratch.save(signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
-    signed = signed.join(classes, ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    signed = scratch.save(signed)
+    signed = scratch.save(docs.mapInArrow(partial(_sign, width), "doc_id long, n long, f1 long, f2 long, pairs array<long>"))
+    same = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    signed = scratch.save(signed.join(same, ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id")))
     again = signed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     found = links(scratch, docs, signed, width, percent).unionByName(again)
     comps = components(scratch, found)
     out = signed.select("doc_id", "rep", "n").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _own_ids(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:

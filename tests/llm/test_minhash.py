@@ -1,6 +1,8 @@
 import pytest
 
 from reelspark.llm import minhash
+from reelspark.llm.graph import components
+from reelspark.llm.util import Scratch
 from tests.llm.fixtures import ODD, frame, rng, words
 
 
@@ -62,3 +64,41 @@ def test_empty_and_kept_columns(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
     out = minhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns and out.count() == len(ODD) - 1
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_in_one_task_and_by_joins(spark, few):
+    r = rng(9)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(400, 450)] + [(7, 7)]
+    ids = sorted({x for p in pairs if p[0] != p[1] for x in p})
+    least = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    scratch = Scratch(spark)
+    got = components(scratch, spark.createDataFrame(pairs, "a long, b long"), few=few).collect()
+    assert sorted((x.id, x.component) for x in got) == [(i, least[i]) for i in ids]
+    assert components(scratch, spark.createDataFrame([], "a long, b long"), few=few).count() == 0
+
+
+def test_rows_without_ids_join_equal_sets(spark):
+    r = rng(10)
+    a, b = words(r, 60, 10**5), words(r, 60, 10**5)
+    rows = [(3, a), (None, a), (None, b), (None, b.upper()), (None, None), (5, None)]
+    got = minhash.near_duplicates(frame(spark, rows), width=2).collect()
+    assert sorted((x.doc_id or -1, x.component_id or -1, x.kept) for x in got) == [(-1, -1, True), (-1, -1, True), (-1, -1, True), (-1, 3, False), (3, 3, True), (5, 5, True)]
+
+
+def test_hot_group_of_edited_copies(spark):
+    """Copies of one text with more and more words changed: many are candidates of each other, fewer are linked."""
+    r = rng(11)
+    base = words(r, 150, 10**6).split()
+    texts = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(k // 5):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = minhash.near_duplicates(frame(spark, texts), width=2).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == plain(list(enumerate(texts)), 2)
