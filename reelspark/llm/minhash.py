@@ -78,63 +78,42 @@ def _parity(h):
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _signature(h, family):
-    """A long for each coordinate and its least value."""
-    import numpy as np
-
-    mul, add = family
-    sig = np.full(K, 2**64 - 1, np.uint64)
-    for j in range(0, len(h), 4096):
-        sig = np.minimum(sig, (h[j : j + 4096, None] * mul + add).min(0))
-    return (sig & ~np.uint64(K - 1)) | np.arange(K, dtype=np.uint64)
-
-
 def _sign(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, f1, f2, pairs): set size, two sums that stand for the set, the signature."""
+    """(doc_id, n, f1, f2, pairs, odd): set size, two sums that stand for the set, a long for each coordinate and value, a parity sketch."""
     import numpy as np
 
-    family = _family()
+    mul, add = _family()
+    low, each = np.uint64(K - 1), np.arange(K, dtype=np.uint64)
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
-            n, f1, f2, sigs = [], [], [], []
+            n, f1, f2, sigs, odd = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 h = _hashes(text, width)
                 n.append(len(h))
+                odd.append(_parity(h))
                 for to, x in zip((f1, f2), _sums(h)):
                     to.append(x)
-                sigs.append(_signature(h, family))
+                sig = np.full(K, 2**64 - 1, np.uint64)
+                for j in range(0, len(h), 4096):
+                    sig = np.minimum(sig, (h[j : j + 4096, None] * mul + add).min(0))
+                sigs.append((sig & ~low) | each)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sigs).view(np.int64)), K).cast(pa.list_(pa.int64()))],
-                ["doc_id", "n", "f1", "f2", "pairs"],
+                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sigs).view(np.int64)), K).cast(pa.list_(pa.int64())),
+                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(odd)), PARITY).cast(pa.list_(pa.int64()))],
+                ["doc_id", "n", "f1", "f2", "pairs", "odd"],
             )
 
 
-_WORDS = [f"w{i}" for i in range(K // 8)]
-_FACTS = "id long, n long, " + ", ".join(f"{w} long" for w in _WORDS) + ", odd array<long>, set binary"
-
-
-def _facts(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size, a byte of each coordinate (eight to a long), parity sketch and sorted set."""
+def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
-    family = _family()
     for b in batches:
         for i in range(0, b.num_rows, 500):
             part = b.slice(i, 500)
-            n, words, odd, sets = [], [], [], []
-            for text in part.column(1).to_pylist():
-                h = _hashes(text, width)
-                n.append(len(h))
-                words.append((_signature(h, family) >> np.uint64(24)).astype(np.uint8).view(np.int64))
-                odd.append(_parity(h))
-                sets.append(np.sort(h).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), *map(pa.array, np.array(words, np.int64).reshape(-1, len(_WORDS)).T),
-                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(odd)), PARITY).cast(pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                ["id", "n", *_WORDS, "odd", "set"],
-            )
+            sets = [np.sort(_hashes(t, width)).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
 
 _PAIRS = "a long, b long, la long, lb long"
@@ -160,6 +139,12 @@ def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 #: So many ids of documents to compare are sent to every executor; more are joined by a shuffle.
 SENT = 1_000_000
+_WORDS = [f"w{i}" for i in range(K // 8)]
+
+
+def _packed(pairs: str) -> list:
+    """A byte of each coordinate, eight to a long."""
+    return [F.expr(" | ".join(f"shiftleft(shiftright({pairs}[{8 * i + j}], 24) & 255, {8 * j})" for j in range(8))).alias(w) for i, w in enumerate(_WORDS)]
 
 
 def _differ(x: str, y: str) -> str:
@@ -184,11 +169,17 @@ def _near_sets(x: str, y: str, percent: int) -> str:
     return f"{100 + percent} * ({bits}) <= {100 - percent} * ({x}.n + {y}.n)"
 
 
-def _confirmed(scratch: Scratch, facts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b, la, lb) whose full sets are similar enough."""
-    one, two = (facts.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    pairs = scratch.save(pairs)
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sent = F.broadcast(ids) if ids.count() <= SENT else ids
+    sets = scratch.save(docs.select(F.col("doc_id").alias("id"), "text").join(sent, "id", "left_semi").mapInArrow(partial(_sets, width), "id long, set binary"))
+    one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     full = pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb", "set_a", "set_b")
-    return scratch.save(full.mapInArrow(partial(_confirm, percent), _PAIRS))
+    found = scratch.save(full.mapInArrow(partial(_confirm, percent), _PAIRS))
+    scratch.drop(sets, ids, pairs)
+    return found
 
 
 def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, percent: int, pivots: int = 2) -> DataFrame:
@@ -200,9 +191,9 @@ def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, perc
     left = F.size("p") - (MATCHES - 1)
     lists = scratch.save(shared.where(left > 0).select("id", F.transform(F.slice("p", F.lit(1), left), lambda p: p["pair"]).alias("posted")))
     scratch.drop(common)
-    ids = lists.select("id")
-    sent = F.broadcast(ids) if ids.count() <= SENT else ids
-    facts = scratch.save(docs.select(F.col("doc_id").alias("id"), "text").join(sent, "id", "left_semi").mapInArrow(partial(_facts, width), _FACTS))
+    signs = signed.where("n > 0 AND doc_id = rep").select(F.col("doc_id").alias("id"), "n", *_packed("pairs"), "odd")
+    signs = scratch.save(signs.join(lists.select("id"), "id", "left_semi"))
+    likely = F.expr(f"{_alike('x', 'y', percent)} AND {_near_sets('x', 'y', percent)}")
 
     placed, found = lists.select("id", F.col("id").alias("label"), F.explode("posted").alias("pair")), []
     for i in range(pivots):
@@ -213,7 +204,8 @@ def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, perc
         hits = met.where("label <> lb").groupBy("id", "to").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("la"), F.min("lb").alias("lb"))
         best = F.max(F.struct("c", (-F.col("to")).alias("o"), F.struct("to", "la", "lb").alias("t"))).alias("m")
         tries = hits.groupBy("id").agg(best).select(F.col("id").alias("a"), F.col("m.t.to").alias("b"), "m.t.la", "m.t.lb")
-        new = _confirmed(scratch, facts, tries, percent)
+        tries = tries.join(signs.alias("x"), F.col("a") == F.col("x.id")).join(signs.alias("y"), (F.col("b") == F.col("y.id")) & likely)
+        new = _confirmed(scratch, docs, tries.select("a", "b", "la", "lb"), width, percent)
         found.append(new.select(F.col("la").alias("a"), F.col("lb").alias("b")))
         # labels move to smaller ones that they are tied to, two steps at once
         moves = scratch.save(new.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("m")))
@@ -221,12 +213,11 @@ def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, perc
         placed = scratch.save(met.select("id", "label", "pair").join(further, "label", "left").select("id", F.coalesce("m", "label").alias("label"), "pair"))
         scratch.drop(met)
     open_ = placed.groupBy("pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("pair")
-    rows = scratch.save(placed.join(open_, "pair", "left_semi").join(facts.select("id", "n", *_WORDS, "odd"), "id"))
-    near = F.expr(f"x.id < y.id AND x.label <> y.label AND {_alike('x', 'y', percent)} AND {_near_sets('x', 'y', percent)}")
-    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.pair") == F.col("y.pair")) & near)
+    rows = scratch.save(placed.join(open_, "pair", "left_semi").join(signs, "id"))
+    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.pair") == F.col("y.pair")) & F.expr("x.id < y.id AND x.label <> y.label") & likely)
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    found.append(_confirmed(scratch, facts, rest, percent).select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    scratch.drop(rows, facts, placed, lists)
+    found.append(_confirmed(scratch, docs, rest, width, percent).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    scratch.drop(rows, signs, placed, lists)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -242,7 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = typed(docs, doc_id="long", text="string")
-    signed = scratch.save(docs.mapInArrow(partial(_sign, width), "doc_id long, n long, f1 long, f2 long, pairs array<long>"))
+    signed = scratch.save(docs.mapInArrow(partial(_sign, width), "doc_id long, n long, f1 long, f2 long, pairs array<long>, odd array<long>"))
     same = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     signed = scratch.save(signed.join(same, ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id")))
     again = signed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
