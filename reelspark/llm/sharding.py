@@ -4,10 +4,13 @@ Documents with the same text are linked. Every document starts in a shard by the
 of its id; then, until nothing moves, documents move to the shard where most of their copies
 are, or where that is full to the best one with room, as far as the shard's quota has room
 for linked documents. No document moves to where fewer of its copies are, so each round
-brings more of them together. Moves are joins of
-(group, shard) counts with the documents, so a group is never held in one place. At last
-the shards' row counts are made at most one apart, unlinked documents being the first to
-leave a full shard.
+brings more of them together.
+
+All copies of a text that started in one shard are alike, so what moves is a count: a cell
+(group, shard at the start, shard now, documents). Rounds are joins of the table of cells with
+itself; the documents are read twice only, to count the cells and to follow them at the end,
+and a group is never held in one place. At last the shards' row counts are made at most one
+apart, unlinked documents being the first to leave a full shard.
 """
 
 from __future__ import annotations
@@ -55,20 +58,23 @@ def granted(flow: list[list[int]], room: list[int]) -> list[list[int]]:
     return flow
 
 
-def propagate(scratch: Scratch, placed: DataFrame, shards: int, quotas: list[int], rows: int) -> tuple[DataFrame, int]:
-    """One round: the documents with the shards they are in after it, and how many moved."""
-    there = scratch.save(placed.where("linked").groupBy("g1", "g2", "size", "shard").agg(F.count(F.lit(1)).alias("n")))
+_GROUP = ["g1", "g2", "size"]
+
+
+def propagate(scratch: Scratch, cells: DataFrame, shards: int, quotas: list[int], rows: int) -> tuple[DataFrame, int]:
+    """One round over cells (g1, g2, size, start, shard, n): the cells after it, and how many documents moved."""
+    there = scratch.save(cells.groupBy(*_GROUP, "shard").agg(F.sum("n").alias("n")))
     now = {r["shard"]: r["n"] for r in there.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     room = [quotas[s] - now.get(s, 0) for s in range(shards)]
     open_ = [s for s in range(shards) if room[s] > 0]
     # a group goes to its best shard with room; if none of its shards has any, to its best,
     # which can take a document for each one that leaves it
     best = F.struct("n", F.xxhash64("g1", "shard").alias("h"), F.col("shard").alias("s"))
-    goals = there.groupBy("g1", "g2", "size").agg(F.max(best).alias("best"), F.max(F.when(F.col("shard").isin(open_), best)).alias("room"))
+    goals = there.groupBy(*_GROUP).agg(F.max(best).alias("best"), F.max(F.when(F.col("shard").isin(open_), best)).alias("room"))
     to = F.coalesce("room", "best")
-    goals = goals.select("g1", "g2", "size", to["s"].alias("_to"), to["n"].alias("_to_n"))
-    want = there.join(goals, ["g1", "g2", "size"]).where("shard <> _to AND n <= _to_n")
-    want = scratch.save(want.select("g1", "g2", "size", "shard", "_to", "n"))
+    goals = goals.select(*_GROUP, to["s"].alias("_to"), to["n"].alias("_to_n"))
+    want = there.join(goals, _GROUP).where("shard <> _to AND n <= _to_n")
+    want = scratch.save(want.select(*_GROUP, "shard", "_to", "n"))
     flow = [[0] * shards for _ in range(shards)]
     for r in want.groupBy("shard", "_to").agg(F.sum("n").alias("n")).collect():
         flow[r["shard"]][r["_to"]] = r["n"]
@@ -76,17 +82,33 @@ def propagate(scratch: Scratch, placed: DataFrame, shards: int, quotas: list[int
     moving = sum(map(sum, go))
     if not moving:
         scratch.drop(there, want)
-        return placed, 0
-    movers = scratch.save(placed.where("linked").join(want.drop("n"), ["g1", "g2", "size", "shard"]))
-    ranked = gapless(scratch, movers, ["shard", "_to"], [], ["row"], rows, "_rank")
+        return cells, 0
+    movers = scratch.save(cells.join(want.drop("n"), [*_GROUP, "shard"]))
+    ahead = gapless(scratch, movers, ["shard", "_to"], [], [*_GROUP, "start"], rows, "_ahead", "n")
     may = _pick([x for line in go for x in line], F.col("shard") * shards + F.col("_to"))
-    moved = ranked.where(F.col("_rank") < may).select("row", F.col("_to").alias("_new"))
-    out = placed.join(moved, "row", "left").withColumn("shard", F.coalesce("_new", "shard")).drop("_new")
-    out = scratch.save(out.select(*placed.columns))
-    scratch.drop(there, want, movers, placed)
+    cut = ahead.withColumn("_k", F.greatest(F.lit(0).cast("long"), F.least("n", may - F.col("_ahead"))))
+    split = cut.select(*_GROUP, "start", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("_k")).alias("n")), F.struct(F.col("_to").alias("shard"), F.col("_k").alias("n")))).alias("c"))
+    stay = cells.join(want.select(*_GROUP, "shard"), [*_GROUP, "shard"], "left_anti")
+    out = stay.select(*_GROUP, "start", "shard", "n").unionByName(split.select(*_GROUP, "start", "c.shard", "c.n").where("n > 0"))
+    out = scratch.save(out.groupBy(*_GROUP, "start", "shard").agg(F.sum("n").alias("n")))
+    scratch.drop(there, want, movers, cells)
     return out, moving
 
 
+def follow(scratch: Scratch, placed: DataFrame, cells: DataFrame, rows: int) -> DataFrame:
+    """The documents, each in the shard that a cell of its group and first shard is in."""
+    way = F.sort_array(F.collect_list(F.struct(F.col("shard").alias("to"), "n"))).alias("way")  # a shard at most once
+    routes = cells.groupBy(*_GROUP, F.col("start").alias("shard")).agg(way)
+    routed = scratch.save(placed.join(routes, [*_GROUP, "shard"], "left"))
+    whole = routed.where("way IS NULL OR size(way) = 1").withColumn("shard", F.coalesce(F.expr("way[0].to"), "shard"))
+    parted = scratch.save(routed.where("size(way) > 1"))
+    ranked = gapless(scratch, parted, [*_GROUP, "shard"], [], ["row"], rows, "_rank")
+    # the place in the route is the number of stretches that end before the rank
+    upto = "transform(sequence(1, size(way)), i -> aggregate(slice(way, 1, i), 0L, (a, c) -> a + c.n))"
+    ranked = ranked.withColumn("shard", F.expr(f"way[size(filter({upto}, e -> e <= _rank))].to"))
+    return scratch.save(whole.select(*placed.columns).unionByName(ranked.select(*placed.columns)))
+
+
 def even_out(scratch: Scratch, placed: DataFrame, shards: int, quotas: list[int], rows: int) -> DataFrame:
     """Moves surplus rows of each shard to shards that lack some; unlinked rows go first."""
     ranked = gapless(scratch, placed.withColumn("alone", ~F.col("linked")), ["shard"], ["alone"], ["row"], rows, "_rank")
@@ -126,10 +148,12 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int | None = None) -> DataF
     )
     placed = scratch.save(placed)
     quotas = [rows // shards + (s < rows % shards) for s in range(shards)]
+    cells = scratch.save(placed.where("linked").groupBy(*_GROUP, F.col("shard").alias("start"), "shard").agg(F.count(F.lit(1)).alias("n")))
     moved, done = 1, 0
     while moved and (rounds is None or done < rounds):
-        placed, moved = propagate(scratch, placed, shards, quotas, rows)
+        cells, moved = propagate(scratch, cells, shards, quotas, rows)
         done += 1
+    placed = follow(scratch, placed, cells, rows)
     placed = even_out(scratch, placed, shards, quotas, rows)
     out = gapless(scratch, placed, ["shard"], [], ["row"], rows, "slot")
     return out.select("doc_id", "size", F.col("g2").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -16,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a temporary one if all runs in one process, as in tests; else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelspark-"))
     return sc.getCheckpointDir()
 
@@ -63,28 +67,29 @@ def fingerprint(text: str) -> list[Column]:
 
 
 def blocks_for(rows: int, per_block: int = 2000) -> int:
-    return max(1, -(-rows // per_block))
+    """At most as many blocks as rows in each, beyond the first few: neither grows faster than the root of ``rows``."""
+    return max(1, -(-rows // max(per_block, math.isqrt(rows))))
 
 
-def gapless(scratch: Scratch, df: DataFrame, within: list[str], first: list[str], ties: list[str], rows: int, name: str) -> DataFrame:
-    """Adds a number from 0 without gaps inside each group of ``within``.
+def gapless(scratch: Scratch, df: DataFrame, within: list[str], first: list[str], ties: list[str], rows: int, name: str, weight: str | None = None) -> DataFrame:
+    """Adds a number from 0 without gaps inside each group of ``within``; with ``weight``, the sum of that column over the rows before.
 
     Rows with a smaller ``first`` come earlier; inside those, the order is that of a hash of ``ties``.
-    A group of any size is dealt over blocks of about 2,000 rows; only the blocks' counts
-    meet in one place. ``df`` must be a saved table, so both reads see the same rows.
+    A group of any size is dealt over blocks; only the blocks' sums meet in one place, and both
+    grow with the root of ``rows``. ``df`` must be a saved table, so both reads see the same rows.
     """
     block = F.pmod(F.xxhash64(*[F.col(c) for c in ties]), F.lit(blocks_for(rows)))
     keys = [*within, *first, "_block"]
-    df = df.withColumn("_block", block)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    df = df.withColumn("_block", block).withColumn("_weight", F.col(weight) if weight else F.lit(1).cast("long"))
+    counts = df.groupBy(*keys).agg(F.sum("_weight").alias("_n"))
     order = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    order = order.orderBy(*first, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = scratch.save(counts.withColumn("_base", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bases = scratch.save(counts.withColumn("_base", F.coalesce(F.sum("_n").over(before(order.orderBy(*first, "_block"))), F.lit(0))).drop("_n"))
     inside = Window.partitionBy(*keys).orderBy(*ties)
-    ranked = df.withColumn("_row", F.row_number().over(inside))
+    ranked = df.withColumn("_row", F.coalesce(F.sum("_weight").over(before(inside)), F.lit(0)))
     left, right = ranked.alias("l"), bases.alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    return left.join(right, same).select(*[f"l.{c}" for c in df.columns if c != "_block"], (F.col("_base") + F.col("_row") - 1).cast("long").alias(name))
+    return left.join(right, same).select(*[f"l.{c}" for c in df.columns if c not in ("_block", "_weight")], (F.col("_base") + F.col("_row")).cast("long").alias(name))
 
 
 def long_schema(**fields: T.DataType) -> T.StructType:
