@@ -9,8 +9,9 @@ If two windows of twelve tokens differ in at most two places, two of their four
 equal, and these are the blocks of some mask at some shift: so no overlap of ten equal tokens
 in twelve places is missed. Seeds of both sides are joined; around each hit the
 item is laid over the document on that diagonal, and it counts if some window of twelve
-has ten equal tokens. Items of 6 to 11 tokens must occur whole as they are. Shorter items
-tell nothing and match nothing.
+has ten equal tokens. Items of 1 to 11 tokens must occur whole as they are; where the
+benchmark has items of under six tokens, a mask as long as each such item is added for them.
+Items without a token match nothing.
 
 DataFrame functions only. The seeds of the benchmark go to every executor while there are
 at most ``SENT``; a longer list is joined by a shuffle.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .util import Scratch, typed
 
-WINDOW, EQUAL, LEAST = 12, 10, 6
+WINDOW, EQUAL = 12, 10
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11))
 #: So many seeds of 40 bytes are sent to every executor.
 SENT = 1_000_000
@@ -35,14 +36,11 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeded(df: DataFrame, keys: list[str], seed: str, at: str) -> DataFrame:
-    """A row for each seed of the token hashes ``h``: keys, the seed, where it begins.
-
-    Texts under WINDOW tokens have seeds of the first mask only.
-    """
+def _seeded(df: DataFrame, keys: list[str], masks: list[tuple], seed: str, at: str) -> DataFrame:
+    """A row for each seed of the token hashes ``h`` by each mask that fits: keys, the seed, where it begins."""
     n = F.size("h")
-    places = df.where(n >= LEAST).select(*keys, "h", F.explode(F.sequence(F.lit(0), n - LEAST)).alias(at))
-    each = [F.when(F.col(at) + m[-1] < n, F.xxhash64(F.lit(i), *[F.get("h", F.col(at) + k) for k in m])) for i, m in enumerate(MASKS)]
+    places = df.where(n > 0).select(*keys, "h", F.explode(F.sequence(F.lit(0), n - 1)).alias(at))
+    each = [F.when(F.col(at) + m[-1] < n, F.xxhash64(F.lit(len(m)), F.lit(i), *[F.get("h", F.col(at) + k) for k in m])) for i, m in enumerate(masks)]
     return places.select(*keys, at, F.explode(F.array(*each)).alias(seed)).where(F.col(seed).isNotNull())
 
 
@@ -61,11 +59,19 @@ def overlaps(scratch: Scratch, texts: DataFrame, benchmark: DataFrame) -> DataFr
     Items with the same tokens stand for each other under their smallest id.
     """
     items = typed(benchmark, item_id="long", text="string").select("item_id", token_hashes(F.coalesce("text", F.lit(""))).alias("ih"))
-    items = scratch.save(items.groupBy("ih").agg(F.min("item_id").alias("item_id")).where(F.size("ih") >= LEAST))
-    seeds = scratch.save(_seeded(items.withColumnRenamed("ih", "h"), ["item_id"], "seed", "ipos"))
+    items = scratch.save(items.groupBy("ih").agg(F.min("item_id").alias("item_id")).where(F.size("ih") > 0))
+    least = len(MASKS[0])
+    short = [r[0] for r in items.where(F.size("ih") < least).select(F.size("ih")).distinct().collect()]  # at most five lengths
+    masks = [*MASKS, *(tuple(range(n)) for n in sorted(short))]
+    own = items.withColumnRenamed("ih", "h")
+    seeds = _seeded(own.where(F.size("h") >= least), ["item_id"], masks[: len(MASKS)], "seed", "ipos")
+    if short:  # an item is told by the mask of its own length
+        whole = [F.when(F.size("h") == len(m), F.xxhash64(F.lit(len(m)), F.lit(len(MASKS) + i), *[F.get("h", F.lit(k)) for k in m])) for i, m in enumerate(masks[len(MASKS) :])]
+        seeds = seeds.unionByName(own.where(F.size("h") < least).select("item_id", F.lit(0).alias("ipos"), F.coalesce(*whole).alias("seed")))
+    seeds = scratch.save(seeds)
     n_seeds = seeds.count()
     tokens = texts.select("_id", "_fp", token_hashes(F.col("text")).alias("h"))
-    placed = _seeded(tokens, ["_id", "_fp"], "seed", "pos")
+    placed = _seeded(tokens, ["_id", "_fp"], masks, "seed", "pos")
     hits = placed.join(F.broadcast(seeds) if n_seeds <= SENT else seeds, "seed").select("_id", "_fp", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"))
     hits = scratch.save(hits.distinct())
     hit = hits.join(F.broadcast(items) if n_seeds <= SENT else items, "item_id")

@@ -45,7 +45,7 @@ CONTAMINATED = r"""
 doc_words AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM {documents}),
 item_words AS (SELECT min(item_id) AS item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) GROUP BY w),
 doc_tokens AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM doc_words),
-item_tokens AS (SELECT item_id, n, unnest(w) AS t, unnest(range(len(w))) AS q FROM item_words WHERE n >= 6),
+item_tokens AS (SELECT item_id, n, unnest(w) AS t, unnest(range(len(w))) AS q FROM item_words),
 equal AS (SELECT doc_id, item_id, n, p - q AS diag, q FROM doc_tokens JOIN item_tokens USING (t)),
 spans AS (SELECT doc_id, item_id, n, diag, lead(q, 9) OVER (PARTITION BY doc_id, item_id, diag ORDER BY q) - q AS span FROM equal),
 diagonals AS (SELECT doc_id, item_id, n, diag, count(*) AS eq, coalesce(bool_or(span < 12), false) AS near FROM spans GROUP BY ALL),

@@ -10,7 +10,7 @@ def plain(text, items):
     own, found = tok(text), set()
     for i, t in items:
         item = tok(t)
-        for d in range(-len(item), len(own)) if len(item) >= 6 else ():
+        for d in range(-len(item), len(own)) if item else ():
             eq = [q for q in range(len(item)) if 0 <= q + d < len(own) and own[q + d] == item[q]]
             near = any(b - a < 12 for a, b in zip(eq, eq[9:]))
             if len(eq) == len(item) if len(item) < 12 else near:
@@ -24,7 +24,7 @@ def test_same_as_sql(spark):
 
 def test_against_brute_force(spark):
     r = rng(4)
-    items = [(i, words(r, r.choice([3, 6, 8, 12, 14, 40]))) for i in range(12)] + [(90, None), (91, "")]
+    items = [(i, words(r, n)) for i, n in enumerate([3, 6, 8, 12, 14, 40, 5, 6, 8, 12, 14, 40])] + [(90, None), (91, "")]
     texts = list(ODD)
     for _ in range(150):
         w = r.choice(items[:12])[1].split()
@@ -54,3 +54,12 @@ def test_empty(spark):
     docs = frame(spark, ODD)
     assert not any(x.contaminated for x in decontam.contamination(docs, bench).collect())
     assert decontam.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_whole_only(spark):
+    items = [(1, "one"), (2, "two words"), (3, "a b c d e"), (4, "a b c d e f"), (5, "!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["One", "two. Words!", "two other words", "x a b c d e", "a b c d", "a b c d e f", "", None, "words two"]
+    got = {x.doc_id: x["items"] for x in decontam.contamination(frame(spark, texts), bench).collect()}
+    assert got == {0: "1", 1: "2", 2: "", 3: "3", 4: "", 5: "3,4", 6: "", 7: "", 8: ""}
+    assert all(set(filter(None, got[i].split(","))) == {str(k) for k in plain(t, items)} for i, t in enumerate(texts))
