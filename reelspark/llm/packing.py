@@ -2,20 +2,23 @@
 
 Documents wait in one queue for each source. Windows of ``window`` tokens are filled by
 deficit round-robin: every queue is owed its share of each window, and what rounding
-left it short of is carried to the next window. After k windows a queue has been served
-floor(k*window*B/T) - floor(k*window*A/T) tokens, A and B being the tokens in the queues
-before it and up to it, T all tokens. So its deficit never exceeds one token, every
-window is full, and a task can tell the windows of its documents from a few sums, as the
-deficit at any window follows from them: it is carried across partitions by arithmetic.
-
-Shares are the sources' shares of all tokens, since each token is packed once. A source
-that would be owed less than one token a window waits in a common queue with others.
+left it short of is carried to the next window. Where ``p`` of the T tokens of a phase have
+been packed, a queue has been served floor(p*B/T) - floor(p*A/T) of them, A and B being the
+tokens that the queues before it and up to it give to the phase. It is owed one token a window at least,
+so this never falls from window to window, its deficit never exceeds one token, every window is full, and a task can tell the windows of its documents from a few
+sums, as the deficit at any window follows from them: it is carried across partitions by arithmetic.
+
+Without targets there is one phase, and shares are the sources' shares of all tokens; a source
+that would be owed less than one token a window waits in a common queue with others. With
+targets a phase ends where a queue runs dry, and the queues left share the windows in the
+proportions of their targets, so every token is still packed once (see ``phases``).
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import partial
 
 import pyarrow as pa
@@ -54,24 +57,59 @@ def _tokenize(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([docs, pa.array(queues, pa.string()), pa.array([block] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "queue", "block", "at", "n", "ids"])
 
 
-def share_windows(first: int, n: int, a: int, b: int, total: int, window: int) -> Iterator[tuple[int, int, int]]:
-    """(window, tokens, place among all tokens) of tokens first..first+n of the queue between a and b."""
-    served = lambda k: (p := min(k * window, total)) * b // total - p * a // total
-    k = first * total // ((b - a) * window) if b > a else 0
+def phases(tokens: dict[str, int], targets: dict[str, float], window: int) -> list[dict[str, int]]:
+    """The tokens that each queue gives to each phase.
+
+    In a phase the queues that hold tokens are served in the proportions of their targets; it ends
+    where the first of them runs dry. A queue that is owed less than one token a window waits for
+    a phase in which it is owed more. Those left at the end, as their target is 0, come one after another.
+    """
+    share = {q: Fraction(repr(targets.get(q, 0))) for q in tokens}
+    left, out = {q: n for q, n in tokens.items() if n}, []
+    while left:
+        owed = {q: share[q] for q in left if share[q] > 0}
+        owed = {q: w for q, w in owed.items() if w * window >= sum(owed.values())} or {min(left): Fraction(1)}
+        lasts = min(Fraction(left[q]) / w for q, w in owed.items())
+        # whole tokens: what each is owed, rounded down; the one that runs dry gives all it has
+        phase = {q: int(w * lasts) for q, w in owed.items()}
+        while any(n * window < sum(phase.values()) for n in phase.values()):
+            phase = {q: n for q, n in phase.items() if n * window >= sum(phase.values())}
+        out.append(phase)
+        left = {q: n for q in left if (n := left[q] - phase.get(q, 0))}
+    return out
+
+
+def share_windows(first: int, n: int, a: int, b: int, total: int, window: int, origin: int = 0) -> Iterator[tuple[int, int, int]]:
+    """(window, tokens, place among all tokens) of tokens first..first+n of the queue between a and b, in a phase of ``total`` tokens from place ``origin`` on."""
+    at = lambda k: min(max(k * window - origin, 0), total)
+    served = lambda k: (p := at(k)) * b // total - p * a // total
+    k = (origin + first * total // (b - a)) // window if b > a else 0
     while served(k) > first:
         k -= 1
     while served(k + 1) <= first:
         k += 1
     while n > 0:
-        begin, end = k * window, min((k + 1) * window, total)
+        begin, end = at(k), at(k + 1)
         ahead = end * a // total - begin * a // total
         take = min(n, served(k + 1) - first)
         if take > 0:
-            yield k, take, begin + ahead + first - served(k)
+            yield k, take, origin + begin + ahead + first - served(k)
             first, n = first + take, n - take
         k += 1
 
 
+def in_phases(queue: str, first: int, n: int, plan: list[dict[str, int]], window: int) -> Iterator[tuple[int, int, int]]:
+    """share_windows() of tokens first..first+n of a queue, through the phases that it gives tokens to."""
+    origin, gone = 0, 0
+    for phase in plan:
+        total, own = sum(phase.values()), phase.get(queue, 0)
+        lo, hi = max(first, gone), min(first + n, gone + own)
+        if lo < hi:
+            a = sum(c for q, c in phase.items() if q < queue)
+            yield from share_windows(lo - gone, hi - lo, a, a + own, total, window, origin)
+        origin, gone = origin + total, gone + own
+
+
 def sequences(place: int, n: int, total: int, size: int) -> Iterator[tuple[int, int, int]]:
     """(sequence, offset, tokens) of n tokens from this place on.
 
@@ -96,7 +134,7 @@ def sequences(place: int, n: int, total: int, size: int) -> Iterator[tuple[int,
         place, n = place + take, n - take
 
 
-def _pieces(size: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(size: int, window: int, plan: list[dict[str, int]] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     names = [x.split()[0] for x in _PIECES.split(", ")]
@@ -105,10 +143,11 @@ def _pieces(size: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
         for i in range(0, b.num_rows, 500):
             rows = []
-            for doc, queue, at, n, raw, base, a, e, total in zip(*(c[i : i + 500] for c in cols)):
+            for doc, queue, at, n, raw, base, line, a, e, total in zip(*(c[i : i + 500] for c in cols)):
                 ids = raw[1:] if raw[:1] == b"4" else np.frombuffer(raw, "<u2", offset=1).astype("<u4").tobytes()
                 start = 0
-                for k, take, place in share_windows(base + at, n, int(a), int(e), int(total), window):
+                told = share_windows(base + at, n, int(a), int(e), int(total), window) if plan is None else in_phases(line, base + at, n, plan, window)
+                for k, take, place in told:
                     for s, o, m in sequences(place, take, int(total), size):
                         rows.append((doc, start, m, zlib.crc32(ids[4 * start : 4 * (start + m)]), n, s, o, queue, k))
                         start += m
@@ -116,15 +155,22 @@ def _pieces(size: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterat
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, window: int = 64 * 1024, source: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, window: int = 64 * 1024, source: str = "source", targets: dict[str, float] | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_queue, window_id.
 
     Null and empty texts are one token, the end mark 0. Documents without a source share
     a queue. Repeated rows and equal ids are packed once each; other columns are ignored.
     An empty table gives an empty result. ``window`` is a multiple of ``size``.
+
+    ``targets`` gives sources' shares of each window, in any unit; without it each has its share
+    of all tokens. Sources that aren't named wait in a common queue whose share is what is
+    left to 1, none if the targets come to 1 or more. If a source runs dry, those that
+    still hold tokens share the windows in the proportions of their targets.
     """
     if window % size:
         raise ValueError("window must be a multiple of size")
+    if targets is not None and (any(not 0 <= x < float("inf") for x in targets.values()) or not sum(targets.values())):
+        raise ValueError("targets must be finite, none below 0 and some above 0")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = typed(docs, doc_id="long", **{source: "string"}, text="string")
@@ -134,18 +180,25 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, window: int = 64 * 1
     total = parts.agg(F.sum("n")).first()[0] or 0
     sums = parts.groupBy("queue").agg(F.sum("n").alias("tokens"))
     small = F.col("tokens").cast("decimal(38,0)") * window < F.lit(total).cast("decimal(38,0)")
-    named = sums.withColumn("served_as", F.when(small, F.lit("")).otherwise(F.col("queue")))
+    plan = None
+    if targets is not None:
+        wanted = {f"={k}": v for k, v in targets.items()}
+        named = sums.withColumn("served_as", F.when(F.col("queue").isin(list(wanted)), F.col("queue")).otherwise(F.lit("")))
+        held_by = {r[0]: r[1] for r in named.groupBy("served_as").agg(F.sum("tokens")).collect()}  # a row for each target and one more
+        plan = phases(held_by, wanted | {"": max(0.0, 1 - sum(wanted.values()))}, window)
+    else:
+        named = sums.withColumn("served_as", F.when(small, F.lit("")).otherwise(F.col("queue")))
     # at most ``window`` queues are owed a token a window, so these sums fit one task
     lines = named.groupBy("served_as").agg(F.sum("tokens").alias("tokens"))
     least = lines.where(F.col("served_as") != "").agg(F.min(F.struct("tokens", "served_as")).alias("m")).select("m.served_as").first()
     alone = lines.where((F.col("served_as") == "") & (F.col("tokens").cast("decimal(38,0)") * window < F.lit(total).cast("decimal(38,0)"))).count()
-    if alone and least and least[0] is not None:  # even together they are owed less than a token
+    if plan is None and alone and least and least[0] is not None:  # even together they are owed less than a token
         named = named.withColumn("served_as", F.when(F.col("served_as") == "", F.lit(least[0])).otherwise(F.col("served_as")))
         lines = named.groupBy("served_as").agg(F.sum("tokens").alias("tokens"))
     upto = F.sum("tokens").over(Window.orderBy("served_as").rowsBetween(Window.unboundedPreceding, 0))
     lines = lines.withColumn("b", upto).withColumn("a", F.col("b") - F.col("tokens"))
     before = F.sum("n").over(Window.partitionBy("served_as").orderBy("queue", "block").rowsBetween(Window.unboundedPreceding, -1))
     base = parts.join(named.select("queue", "served_as"), "queue").withColumn("base", F.coalesce(before, F.lit(0)))
-    base = scratch.save(base.join(lines, "served_as").select("queue", "block", "base", "a", "b"))
-    out = held.join(base, ["queue", "block"]).select("doc_id", "queue", "at", "n", "ids", "base", "a", "b", F.lit(total).alias("total"))
-    return out.mapInArrow(partial(_pieces, size, window), _PIECES)
+    base = scratch.save(base.join(lines, "served_as").select("queue", "block", "base", "served_as", "a", "b"))
+    out = held.join(base, ["queue", "block"]).select("doc_id", "queue", "at", "n", "ids", "base", "served_as", "a", "b", F.lit(total).alias("total"))
+    return out.mapInArrow(partial(_pieces, size, window, plan), _PIECES)

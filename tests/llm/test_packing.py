@@ -6,6 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from reelspark.llm import packing
+from tests.llm.fixtures import rng
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,3 +57,37 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, source string, ids int")
     check([(d, t) for d, t, _ in docs], packing.pack(df, PATH, size=1024).collect(), 1024)
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_phases_serve_the_targets_until_a_queue_is_dry():
+    plan = packing.phases({"a": 100, "b": 1000, "c": 50, "": 70}, {"a": 0.5, "b": 0.3, "c": 0.2}, 64)
+    assert plan[0] == {"a": 100, "b": 60, "c": 40} and plan[-1] == {"": 70}
+    assert {q: sum(p.get(q, 0) for p in plan) for q in ("a", "b", "c", "")} == {"a": 100, "b": 1000, "c": 50, "": 70}
+    assert packing.phases({}, {"a": 1.0}, 64) == []
+    r = rng(3)
+    for _ in range(100):
+        held = {q: r.randrange(0, 5000) for q in "abcde"}
+        plan = packing.phases(held, {q: r.choice([0, 0.1, 0.25, 3]) for q in "abcd"}, 64)
+        assert all(sum(p.get(q, 0) for p in plan) == n for q, n in held.items()) and all(p for p in plan)
+        # every token has a place of its own
+        places = [x for q, n in held.items() for k, take, at in packing.in_phases(q, 0, n, plan, 64) for x in range(at, at + take) if k == x // 64]
+        assert sorted(places) == list(range(sum(held.values())))
+
+
+def test_windows_follow_targets_and_carry_deficits(spark):
+    docs = [(i, f"word {i} " * (i % 23), "abcd"[i % 4] if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    rows = packing.pack(df, PATH, size=64, window=256, targets={"a": 0.5, "b": 0.25, "c": 0.125, "none such": 0.0}).collect()
+    check([(d, t) for d, t, _ in docs], rows, 64)
+    got, share = defaultdict(lambda: defaultdict(int)), {"=a": 0.5, "=b": 0.25, "=c": 0.125}
+    for x in rows:
+        got[x.window_id][x.source_queue] += x.length
+    held = {q: sum(w[q] for w in got.values()) for q in share}
+    dry = min(int(held[q] / s) for q, s in share.items()) // 256  # windows until a named source runs dry
+    assert dry > 5
+    for q, s in share.items():
+        served = 0
+        for k in range(dry):
+            served += got[k][q]
+            assert abs(served - s * 256 * (k + 1)) <= 1.5, (q, k)
+    assert min(w for w in got if not got[w]["=a"]) >= dry and max(got) > dry
