@@ -2,74 +2,74 @@
 
 The kernel of two texts is the number of character n-grams (one to three characters) that
 both hold, over the square root of the product of how many each holds: a blended
-spectrum of presence. A bounded sample of labelled texts gives the landmarks of a Nyström map,
+spectrum of presence. An n-gram is known by a hash of its code points, so every script counts
+by its own characters. A bounded sample of labelled texts gives the landmarks of a Nyström map,
 and ridge regression of one language against the rest is solved on the mapped sample.
 Texts are scored in batches: presence times landmarks, then times the models, as matrix products.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .util import typed
 
-#: Characters that have a code of their own, beside the space (0) and one for all others (1).
-LETTERS = 126
 GRAMS = (1, 2, 3)
-BITS = 7
+#: n-grams have ids of so many bits.
+BITS = 22
+#: Code points from here on are no letters or marks.
+POINTS = 0x34000
 
 
-def _codes(text: str, table):
-    """Code of each character of the lower-case text; runs of what isn't a letter are one space."""
+@lru_cache(1)
+def _letters():
+    """By code point, whether it is a letter or a mark."""
     import numpy as np
 
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    codes = table[np.minimum(points, len(table) - 1)]
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    return codes[keep].astype(np.int32)
+    return np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(POINTS)] + [False])
 
 
-def _table(alphabet: str):
-    """Code by code point; letters without a code of their own share one, and so does all beyond the first plane."""
+def _points(text: str):
+    """Code points of the lower-case text; each run of what is no letter or mark is one space."""
     import numpy as np
 
-    table = np.array([1 if chr(i).isalpha() else 0 for i in range(65537)], np.uint8)
-    for i, c in enumerate(alphabet):
-        table[ord(c)] = i + 2
-    return table
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+    told = _letters()[np.minimum(points, POINTS)]
+    keep = told.copy()
+    keep[1:] |= told[:-1]
+    keep[:1] = True
+    return np.where(told, points, 32)[keep]
 
 
 class Grams:
     """Marks which n-grams a text holds, in one reused array of flags."""
 
-    def __init__(self, alphabet: str):
+    def __init__(self):
         import numpy as np
 
-        self.table = _table(alphabet)
-        self.offsets = {n: sum(1 << BITS * k for k in GRAMS if k < n) for n in GRAMS}
-        self.flags = np.zeros(sum(1 << BITS * n for n in GRAMS), bool)
+        self.flags = np.zeros(1 << BITS, bool)
 
     def found(self, text: str):
-        """(ids of the n-grams, how many there are); ids may repeat."""
+        """Ids of the n-grams, which may repeat; their flags are set."""
         import numpy as np
 
-        c = _codes(text, self.table)
+        c = _points(text).astype(np.uint32)
         out = []
         for n in GRAMS:
             if len(c) >= n:
-                code = c[: len(c) - n + 1].copy()
+                code = c[: len(c) - n + 1] + np.uint32(n << 24)
                 for k in range(1, n):
-                    code <<= BITS
-                    code |= c[k : len(c) - n + 1 + k]
-                out.append(code + self.offsets[n])
-        ids = np.concatenate(out) if out else np.zeros(0, np.int32)
+                    code = (code * np.uint32(0x9E3779B1)) ^ (code >> np.uint32(15)) ^ c[k : len(c) - n + 1 + k]
+                code = code * np.uint32(0x85EBCA6B)
+                out.append((code ^ (code >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))
+        ids = np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
         self.flags[ids] = True
         return ids
 
@@ -81,9 +81,12 @@ class Grams:
         return ids
 
 
+LANDMARKS = 96
+
+
 class Model:
-    def __init__(self, alphabet: str, grams, landmarks, weights, languages: list[str]):
-        self.alphabet, self.grams, self.landmarks, self.weights, self.languages = alphabet, grams, landmarks, weights, languages
+    def __init__(self, grams, landmarks, weights, languages: list[str]):
+        self.grams, self.landmarks, self.weights, self.languages = grams, landmarks, weights, languages
 
     def scores(self, presence, sizes):
         """presence: texts by the landmarks' n-grams; sizes: all n-grams of each text."""
@@ -93,21 +96,17 @@ class Model:
         return np.concatenate([kernel, np.ones((len(kernel), 1), np.float32)], 1) @ self.weights
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = 96, ridge: float = 1e-3) -> Model | None:
-    """Landmarks are taken in turn from the languages. None without texts."""
+def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-3) -> Model | None:
+    """Landmarks are taken in turn from the languages, one of each at least. None without texts."""
     import numpy as np
 
     if not texts:
         return None
-    counts: Counter = Counter()
-    for t in texts:
-        counts.update(c for c in t.lower() if c.isalpha() and ord(c) < 65536)
-    alphabet = "".join(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]))
-    finder = Grams(alphabet)
+    finder = Grams()
     sets = [finder.distinct(t) for t in texts]
     languages = sorted(set(langs))
     own = {g: [i for i, x in enumerate(langs) if x == g] for g in languages}
-    chosen = [own[g][k] for k in range(max(map(len, own.values()))) for g in languages if k < len(own[g])][:landmarks]
+    chosen = [own[g][k] for k in range(max(map(len, own.values()))) for g in languages if k < len(own[g])][: max(landmarks, len(languages))]
     grams = np.unique(np.concatenate([sets[i] for i in chosen]))
     rows = lambda idx: np.array([np.isin(grams, sets[i], assume_unique=True) for i in idx], np.float32).reshape(len(idx), len(grams))
     marks = rows(chosen) / np.sqrt(np.maximum([len(sets[i]) for i in chosen], 1))[:, None].astype(np.float32)
@@ -119,13 +118,13 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 96, ridge: float =
     y = np.array([[1.0 if x == g else -1.0 for g in languages] for x in langs])
     w = np.linalg.solve(z.T @ z + ridge * len(texts) / 100 * np.eye(z.shape[1]), z.T @ y)
     weights = np.concatenate([root @ w[:-1], w[-1:]]).astype(np.float32)
-    return Model(alphabet, grams, np.ascontiguousarray(marks.T), weights, languages)
+    return Model(grams, np.ascontiguousarray(marks.T), weights, languages)
 
 
 def _predict(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
-    finder = Grams(model.alphabet) if model else None
+    finder = Grams() if model else None
     for b in batches:
         for i in range(0, b.num_rows, 256):
             part = b.slice(i, 256)
@@ -149,26 +148,28 @@ def _predict(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
-def identify(docs: DataFrame, per_language: int = 300, most: int = 3000, longest: int = 20000, landmarks: int = 96) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 300, most: int = 3000, longest: int = 20000, landmarks: int = LANDMARKS) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of ``docs``.
 
     A document is held out if crc32 of its id as text leaves 2 when divided by 4. Of the
-    others at most ``most`` with a language and at most ``longest`` characters are learned
-    from, at most ``per_language`` of each, by the hash of their ids. Texts that are null or
+    others, with a language, a letter and at most ``longest`` characters, at most ``most`` are learned
+    from and at most ``per_language`` of each language, by the hash of their ids; every language has
+    one text at least, even if there are more languages than ``most``. Texts that are null or
     without a letter are ``und`` with score 0, and so is every text if there is nothing to
     learn from. Rows may repeat; other columns are ignored.
     """
     rows = typed(docs, doc_id="long", text="string", lang="string")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     usable = rows.where(~held & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
-    # the hash picks a bounded sample in steps: ids first, with partial sorting in every task
-    names = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most // 10).select("lang").collect()]
-    each = min(per_language, most // max(1, len(names)))
-    picked = []
-    ids = usable.select("doc_id", "lang")
-    for name in names:
-        picked += ids.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).collect()
-    wanted = docs.sparkSession.createDataFrame(picked or [], "doc_id long, lang string").distinct()
-    train = sorted({(r["doc_id"], r["lang"], r["text"]) for r in usable.join(F.broadcast(wanted), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()})
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    each = min(per_language, max(1, most // max(1, len(counts))))
+    # hashes below a language's limit leave about twice as many texts as are wanted, so only few are sorted
+    limits = [(g, min(1.0, (2 * each + 40) / n)) for g, n in sorted(counts.items())]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, part double")
+    low = (F.col("hash") / F.lit(2.0**64) + F.lit(0.5)) < F.col("part")
+    near = usable.withColumn("hash", F.xxhash64("doc_id")).join(F.broadcast(limits), "lang").where(low)
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id", "text")
+    picked = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).select("doc_id", "lang", "text").collect()
+    train = sorted({(r["doc_id"] if r["doc_id"] is not None else -(2**63), r["lang"], r["text"]) for r in picked})
     model = fit([t for _, _, t in train], [g for _, g, _ in train], landmarks)
     return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(partial(_predict, model), "doc_id long, held_out boolean, lang_pred string, score double")
