@@ -176,18 +176,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CA
     Trained on at most ``positive`` + ``negative`` labelled documents of at most ``longest``
     characters, and on at most ``negative`` more whose label of ``main`` is null. A null
     label is left out of its own category only. Null and empty texts are scored as texts
-    without words. Repeated rows of labels don't count twice; without examples of both kinds a
-    category has the labels' base rate and is never flagged. Other columns are ignored.
+    without words. Repeated rows of labels don't count twice; with fewer than ``FOLDS`` examples
+    of either kind a category can't be tried out of fold and is never flagged. Other columns are ignored.
     """
     docs = typed(docs, doc_id="long", text="string")
     known = typed(labels, doc_id="long", quality="int", toxic="int").dropna("all", subset=["quality", "toxic"]).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     train = sample(docs.where("text IS NOT NULL"), known, F.expr(categories[main]), positive, negative, longest)
-    picked = train.select("doc_id", "text", *[F.expr(r).alias(c) for c, r in categories.items()]).dropDuplicates(["doc_id"]).collect()
+    once = train.groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))  # of texts with one id the first
+    picked = once.select("doc_id", "text", *[F.expr(r).alias(c) for c, r in categories.items()]).collect()
     picked.sort(key=lambda r: r["doc_id"])
     names = list(categories)
     chain = fit_chain([r["text"] for r in picked], [[r[c] for r in picked] for c in names])
     for i, c in enumerate(names):
-        if len({r[c] for r in picked} - {None}) < 2:
+        if min(sum(r[c] is kind for r in picked) for kind in (True, False)) < FOLDS:
             chain.cuts[i] = float("inf")
     out = "doc_id long, " + ", ".join(f"p_{n} double" for n in names) + ", " + ", ".join(f"{n} boolean" for n in names)
     return docs.mapInArrow(partial(_score, chain, names), out)
