@@ -17,7 +17,9 @@ suffixes, which the dictionary's and the parse's suffix arrays would give, isn't
 the rule asks only which starts agree for ``length`` bytes, and the order would bring a
 hot phrase's suffixes together in one place.
 
-Where no trigger comes within ``length`` bytes a start is a block of its own.
+Where no trigger comes within ``length`` bytes a start is a block of its own. Such stretches are
+mostly runs of a short period: what repeats inside one text is told there and then, and only one start
+of each different string goes on.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .util import Scratch, typed
 
@@ -46,17 +49,20 @@ def _every(length: int) -> int:
 
 
 def triggers(data: bytes, every: int):
-    """Ascending places of the windows of 16 bytes whose hash is a trigger."""
+    """Ascending places of the windows of 16 bytes whose rolling hash is a trigger.
+
+    The hash is the polynomial of the window's bytes modulo 2**64, built for all windows at once by doubling their length.
+    """
     import numpy as np
 
-    n = len(data) - GRAM + 1
-    if n <= 0:
+    h, width, power = np.frombuffer(data, np.uint8).astype(np.uint64), 1, 0xD6E8FEB86659FD93
+    if len(h) < GRAM:
         return np.zeros(0, np.int64)
-    view = np.ndarray((n + 8,), "<u8", data, strides=(1,))
-    h = view[:n] * np.uint64(0x9E3779B97F4A7C15)
+    while width < GRAM:
+        h = h[:-width] * np.uint64(power) + h[width:]
+        width, power = 2 * width, power * power % 2**64
     h ^= h >> np.uint64(32)
-    h = (h + view[8:]) * np.uint64(0xD6E8FEB86659FD93)
-    return np.flatnonzero((h >> np.uint64(40)) < np.uint64((1 << 24) // every))
+    return np.flatnonzero((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) < np.uint64((1 << 24) // every))
 
 
 def blocks(data: bytes, length: int) -> Iterator[tuple[int, int, int]]:
@@ -85,24 +91,39 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def ranges(places: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, last) of the runs of ascending places."""
+    for i, p in enumerate(places):
+        if not i or places[i - 1] != p - 1:
+            first = p
+        if i + 1 == len(places) or places[i + 1] != p + 1:
+            yield first, p
+
+
+def parse(data: bytes, length: int) -> Iterator[tuple[int, int, int | None, int | None]]:
+    """(first, last, core, reach) of each block. core is None where starts are known to repeat inside the text."""
     from xxhash import xxh3_64_intdigest as digest
 
-    core_n = length - _block(length) + 1
+    core_n, view = length - _block(length) + 1, memoryview(data)
+    alone: dict[int, list[int]] = {}
+    for first, last, q in blocks(data, length):
+        if q < 0:
+            alone.setdefault(_signed(digest(view[first : first + length])), []).append(first)
+        else:
+            yield first, last, _signed(digest(view[q : q + core_n], 1)), _signed(digest(view[first : last + length], ((q - first) << 8) + q - last + 2))
+    for hashed, places in alone.items():
+        yield places[0], places[0], hashed, hashed
+    for first, last in ranges(sorted(p for places in alone.values() if len(places) > 1 for p in places)):
+        yield first, last, None, None
+
+
+def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for b in batches:
         out: list[tuple] = []
         for doc, fp, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-            data = (text or "").encode("utf-8", "replace")
-            triggered = memoryview(data)
-            for first, last, q in blocks(data, length):
-                if q < 0:
-                    core = reach = _signed(digest(triggered[first : first + length]))
-                else:
-                    core = _signed(digest(triggered[q : q + core_n], 1))
-                    reach = _signed(digest(triggered[first : last + length], ((q - first) << 8) + q - last + 2))
-                out.append((doc, fp, first, last, core, reach))
+            out += [(doc, fp, *block) for block in parse((text or "").encode("utf-8", "replace"), length)]
             if len(out) > 20000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                 out = []
@@ -153,6 +174,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     parsed = scratch.save(texts.mapInArrow(partial(_parse, length), _BLOCKS))
     cores = scratch.save(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
     again = scratch.save(parsed.join(cores, "core", "left_semi"))
+    known = scratch.save(parsed.where("core IS NULL").select("doc_id", "fp", F.col("first").alias("start"), (F.col("last") + length).alias("end")))
     scratch.drop(parsed, cores)
     places = F.struct("doc_id", "fp", "first", "last")
     whole = again.groupBy("core", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(places).alias("at")).where("n > 1")
@@ -171,9 +193,9 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     met = scratch.save(each.groupBy("core", "start_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "start_hash"))
     hits = each.join(met, ["core", "start_hash"], "left_semi").select("doc_id", "fp", (F.col("first") + F.col("i")).alias("start"))
     single = hits.select("doc_id", "fp", "start", (F.col("start") + length).cast("int").alias("end"))
-    spans = inside.unionByName(single).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = inside.unionByName(single).unionByName(known).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = scratch.save(spans)
-    scratch.drop(told, tried, met)
+    scratch.drop(told, tried, met, known)
     return spans
 
 
@@ -193,30 +215,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = (text or "").encode("utf-8", "replace")
             runs = merged([(s["start"], s["end"]) for s in spans or []])
             rest = without(data, runs)
-            rows.append((doc, len(data), sum(e - a for a, e in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            rows.append((doc, len(data), sum(e - a for a, e in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         cols = list(zip(*rows)) or [()] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
-def _named(doc_id: str, text: str) -> list:
-    """What names a text: _id and fp."""
+def _named(doc_id: str | None, text: str) -> list:
+    """What names a text: _id and fp. A missing id counts as null."""
     fp = F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))) - F.lit(2**31)
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("_id"), fp.cast("int").alias("fp")]
+    return [F.coalesce((F.lit(None) if doc_id is None else F.col(doc_id)).cast("long"), F.lit(-(2**63))).alias("_id"), fp.cast("int").alias("fp")]
 
 
 def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes: one row for each row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text: one row for each row of ``docs``.
 
     Each byte goes that a ``length``-byte string covers which also starts anywhere else,
     in the same or another row. Null text is empty. Matches never cross rows; a repeated
-    row is an occurrence of its own. Other columns are ignored. What is left may not
-    be UTF-8 where a cut splits a character. An empty table gives an empty result.
+    row is an occurrence of its own. Other columns are ignored. text is
+    what is left, without the characters that a cut splits; kept_sha256 is of the bytes. An empty table gives an empty result.
     """
     docs = typed(docs, doc_id="long", text="string").select("doc_id", "text", *_named("doc_id", "text"))
     spans = repeated_spans(docs.select(F.col("_id").alias("doc_id"), "fp", "text"), length)
     joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), ["_id", "fp"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def _retext(text: int, n_chars: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,15 +260,19 @@ def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with the repeated bytes taken out of text and n_chars counted anew.
 
     Every row stays, a text that is repeated as a whole becomes empty, null stays null.
-    A character that a cut splits goes.
+    A character that a cut splits goes. Other columns may have any names. A table without
+    a text is returned as it is; an empty one gives an empty result.
     """
     by = {c.lower(): c for c in docs.columns}
-    texts = docs.select(*[F.col(f"`{by[c]}`").cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"))])
-    spans = repeated_spans(texts.select(*_named("doc_id", "text"), "text").withColumnRenamed("_id", "doc_id"), length)
-    spans = spans.select(F.col("doc_id").alias("_key_id"), F.col("fp").alias("_key_fp"), F.col("spans").alias("_spans"))
-    key_id, key_fp = _named(f"`{by['doc_id']}`", f"`{by['text']}`")
-    left = docs.select("*", key_id.alias("_own_id"), key_fp.alias("_own_fp"))
-    joined = left.join(spans, (F.col("_own_id") == F.col("_key_id")) & (F.col("_own_fp") == F.col("_key_fp")), "left")
+    if "text" not in by:
+        return docs
+    spans = repeated_spans(typed(docs, doc_id="long", text="string").select(*_named("doc_id", "text"), "text").withColumnRenamed("_id", "doc_id"), length)
+    # what the join needs stands beside the row, in a struct of its own, so that no name can clash
+    row, own = F.struct(*[f"`{c}`" for c in docs.columns]), F.struct(*_named(f"`{by['doc_id']}`" if "doc_id" in by else None, f"`{by['text']}`"))
+    left = docs.select(row.alias("row"), own.alias("own")).alias("l")
+    same = (F.col("l.own._id") == F.col("r.doc_id")) & (F.col("l.own.fp") == F.col("r.fp"))
+    joined = left.join(spans.alias("r"), same, "left").select(*[F.col("l.row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("r.spans"))
     at = [c.lower() for c in docs.columns]
     cut = partial(_retext, at.index("text"), at.index("n_chars") if "n_chars" in at else None)
-    return joined.select(*[f"`{c}`" for c in docs.columns], "_spans").mapInArrow(cut, docs.schema)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema)])
+    return joined.mapInArrow(cut, plain).toDF(*docs.columns)

@@ -57,3 +57,44 @@ def test_texts_and_equal_ids(spark):
 def test_empty(spark):
     assert suffixdedup.cut_repeats(frame(spark, ["x"]).limit(0)).count() == 0
     assert suffixdedup.drop_repeats(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_rolling_hash_of_every_window():
+    r = rng(14)
+    data = bytes(r.randrange(256) for _ in range(3000))
+    got = set(suffixdedup.triggers(data, 8).tolist())
+    for i in range(len(data) - suffixdedup.GRAM + 1):
+        h = 0
+        for b in data[i : i + suffixdedup.GRAM]:  # one byte after the other
+            h = (h * 0xD6E8FEB86659FD93 + b) % 2**64
+        h ^= h >> 32
+        assert (i in got) == (h * 0x9E3779B97F4A7C15 % 2**64 >> 40 < (1 << 24) // 8)
+    assert suffixdedup.triggers(b"short", 8).size == 0
+
+
+@pytest.mark.parametrize("data", [b"a" * 100_000, b"0123456789" * 10_000, b"ab" * 50_000])
+def test_a_run_goes_on_as_few_starts(data):
+    rows = list(suffixdedup.parse(data, 400))
+    assert len(rows) < 3000
+    told = [r for r in rows if r[2] is None]
+    if told:
+        assert min(r[0] for r in told) == 0 and max(r[1] for r in told) == len(data) - 400
+
+
+def test_runs_within_and_across_rows(spark):
+    r = rng(15)
+    make = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    texts = ["a" * 401, "a" * 400, "b" * 400, "x" * 399 + "y", make(300) + "ab" * 500 + make(300), "ab" * 300, "c" * 900 + make(200), "0123456789" * 300, "z" * 399]
+    rows = suffixdedup.cut_repeats(frame(spark, texts)).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows} == dict(enumerate(plain(texts, 400)))
+    for x in rows:
+        if texts[x.doc_id].isascii():
+            assert hashlib.sha256(x.text.encode()).hexdigest() == x.kept_sha256
+
+
+def test_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "t" * 900, "u", 1, 2, 3), (2, "own text", "v", 4, 5, 6)], "doc_id long, text string, spans string, _own_id long, _key_id long, `a.b` long")
+    out = suffixdedup.drop_repeats(docs)
+    assert out.schema == docs.schema and {(x.doc_id, x.text, x["a.b"]) for x in out.collect()} == {(1, "", 3), (2, "own text", 6)}
+    assert suffixdedup.drop_repeats(docs.drop("text")).columns == docs.drop("text").columns
+    assert suffixdedup.drop_repeats(docs.drop("doc_id")).count() == 2
