@@ -101,6 +101,17 @@ def av1_preset(name: Column) -> Column:
     return out
 
 
+def quality(crf: Column, preset: Column, own_crf: Column, own_preset: Column) -> tuple[Column, Column, Column]:
+    """(rate, preset, error) on AV1's scale, of x264's rate and preset name (null: not given) and AV1's own.
+
+    x264's values are carried over; both kinds of the same value are an error, and so is an unknown name.
+    """
+    both = F.when(crf.isNotNull() & (own_crf != policy.DEFAULT_CRF), "both scales").when(preset.isNotNull() & (own_preset != policy.DEFAULT_PRESET), "both scales")
+    error = F.coalesce(both, F.when(preset.isNotNull() & av1_preset(preset).isNull(), "unknown preset"))
+    fine = error.isNull()
+    return F.when(fine, F.coalesce(av1_crf(crf), own_crf)), F.when(fine, F.coalesce(av1_preset(preset), own_preset)), error
+
+
 def stream_offset(seconds: Column, time_base: Column) -> Column:
     """Ticks, rounded half to even."""
     return F.bround(F.try_divide(seconds, time_base)).cast("long")

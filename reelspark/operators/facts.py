@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions import scalar
-from .gop import discard_count, gop_stats, leading_frames
+from .gop import decode_facts
 from .timing import timing
 
 
@@ -15,19 +15,19 @@ def measure(packets: DataFrame, drift: float = policy.THRESHOLDS.drift_frame_per
     """One row for each file: timing, keyframe intervals, discarded and leading frames.
 
     sources (file_id, source) tells files without timestamps: there fps, duration and gap are 0,
-    the rate isn't constant, and frame_count is the number of packets.
+    the rate isn't constant, and frame_count is the number of packets. The packets are
+    dealt out by file once; both orders, by decoding and by time, are windows over that.
     """
-    n = packets.groupBy("file_id").agg(F.count("*").alias("packets"))
-    src = packets.select("file_id").distinct().withColumn("source", F.lit("pts")) if sources is None else sources
-    t = timing(packets, drift)
-    out = n.join(src, "file_id").join(t, "file_id", "left").join(gop_stats(packets), "file_id").join(discard_count(packets), "file_id").join(leading_frames(packets, sources), "file_id", "left")
-    none = F.col("source") == "none"
-    zero = lambda c: F.when(none, 0.0).otherwise(F.col(c)).alias(c)
+    dealt = packets.select("file_id", "decode_order", "time", "size", "keyframe", "discard").repartition("file_id")
+    out = decode_facts(dealt).join(timing(dealt, drift), "file_id", "left")
+    out = out.withColumn("source", F.lit("pts")) if sources is None else out.join(sources, "file_id")
+    none, pick = F.col("source") == "none", lambda untimed, c: F.when(none, untimed).otherwise(F.col(c))
+    leading = pick(F.when(F.col("keyframes") > 0, F.col("before")).otherwise(0), "leading")
     return out.select(
-        "file_id", zero("duration"), zero("fps"), F.when(none, F.col("packets")).otherwise(F.col("frame_count")).alias("frame_count"),
-        F.when(none, F.lit(False)).otherwise(F.col("constant_frame_rate")).alias("constant_frame_rate"), F.when(~none, F.col("max_instantaneous_fps")).alias("max_instantaneous_fps"),
-        F.when(none, 0.0).otherwise(F.col("max_gap")).alias("max_timestamp_gap_frame_periods"), "max_keyframe_interval_frames", "max_gop_bytes", "discard_flagged_packets",
-        F.coalesce("leading_non_keyframe_frames", F.lit(0)).cast("long").alias("leading_non_keyframe_frames"), F.when(none, F.lit(None)).otherwise(F.col("error")).alias("error"),
+        "file_id", pick(0.0, "duration").alias("duration"), pick(0.0, "fps").alias("fps"), pick(F.col("packets"), "frame_count").alias("frame_count"),
+        pick(False, "constant_frame_rate").alias("constant_frame_rate"), F.when(~none, F.col("max_instantaneous_fps")).alias("max_instantaneous_fps"),
+        pick(0.0, "max_gap").alias("max_timestamp_gap_frame_periods"), "max_keyframe_interval_frames", "max_gop_bytes", F.col("discarded").alias("discard_flagged_packets"),
+        F.coalesce(leading, F.lit(0)).cast("long").alias("leading_non_keyframe_frames"), pick(None, "error").alias("error"),
     )
 
 
@@ -35,7 +35,8 @@ def facts(headers: DataFrame, packets: DataFrame, moov: DataFrame | None = None,
     """The facts table. headers as read from probe text, packets with source and time, moov (file_id, moov_at_start), identity (file_id, video_uuid, content_digest)."""
     sources = packets.groupBy("file_id").agg(F.first("source").alias("source"))  # constant in a file
     m = measure(packets.withColumn("time", F.when(F.col("source") != "none", F.col("time"))), sources=sources)
-    out = headers.drop("error").join(m.drop("error"), "file_id").join(sources, "file_id")
+    # a file without a stream, or with one time only, has no facts
+    out = headers.where("error IS NULL").drop("error").join(m.where("error IS NULL").drop("error"), "file_id").join(sources, "file_id")
     out = out.withColumn("declared_fps", F.when(F.col("source") == "none", F.col("elementary_stream_fps")).otherwise(F.col("declared_fps")))
     out = out.withColumn("timing_source", scalar.timing_source(F.col("source"), F.col("container"))).drop("source", "elementary_stream_fps", "video_position")
     out = out.join(moov, "file_id", "left") if moov is not None else out.withColumn("moov_at_start", F.lit(None).cast("boolean"))

@@ -20,6 +20,15 @@ def gop_stats(packets: DataFrame) -> DataFrame:
     return each.groupBy("file_id").agg(F.max("bytes").alias("max_gop_bytes"), F.max("frames").alias("max_keyframe_interval_frames"))
 
 
+def decode_facts(packets: DataFrame) -> DataFrame:
+    """What decode order tells of each file, by one window: gop_stats() and packets, discarded, before (its first keyframe), keyframes."""
+    each = gop_ids(packets).groupBy("file_id", "gop").agg(F.sum("size").alias("bytes"), F.count("*").alias("frames"), F.count_if("discard").alias("discarded"))
+    return each.groupBy("file_id").agg(
+        F.max("bytes").alias("max_gop_bytes"), F.max("frames").alias("max_keyframe_interval_frames"), F.sum("frames").alias("packets"),
+        F.sum("discarded").alias("discarded"), F.sum(F.when(F.col("gop") == 0, F.col("frames")).otherwise(0)).alias("before"), F.max("gop").alias("keyframes"),
+    )
+
+
 def discard_count(packets: DataFrame) -> DataFrame:
     return packets.groupBy("file_id").agg(F.count_if("discard").alias("discard_flagged_packets"))
 

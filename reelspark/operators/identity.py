@@ -52,16 +52,17 @@ def mint(packets: DataFrame, headers: DataFrame, tags: policy.Tags = policy.Tags
     content_tag, video_tag = tags.content, tags.video
     cols = [*STRINGS, *INTEGERS, *FLAGS]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or head.empty:
+            return pd.DataFrame({"file_id": [0], "video_uuid": [""], "content_digest": [""]}).iloc[:0]
         rows = rows.sort_values("decode_order")
-        head = {c: rows[c].iloc[0] for c in cols}
-        content = digest(content_input(head, list(zip(rows["size"], rows["keyframe"], rows["data_hash"])), content_tag))
-        video = digest(video_input(content, rows["supplied"].iloc[0], rows["time"].tolist(), video_tag))
-        return pd.DataFrame({"file_id": [rows["file_id"].iloc[0]], "video_uuid": [as_uuid8(video)], "content_digest": [content.hex()]})
+        content = digest(content_input(head.iloc[0].to_dict(), list(zip(rows["size"], rows["keyframe"], rows["data_hash"])), content_tag))
+        video = digest(video_input(content, head["supplied"].iloc[0], rows["time"].tolist(), video_tag))
+        return pd.DataFrame({"file_id": [key[0]], "video_uuid": [as_uuid8(video)], "content_digest": [content.hex()]})
 
-    both = packets.join(headers.select("file_id", *cols, scalar.supplied(F.col("timing_source")).alias("supplied")), "file_id")
-    both = both.select("file_id", "decode_order", "size", "keyframe", "data_hash", F.coalesce("time", F.lit(0.0)).alias("time"), *cols, "supplied")
-    return both.groupBy("file_id").applyInPandas(one, "file_id long, video_uuid string, content_digest string")
+    heads = headers.select("file_id", *cols, scalar.supplied(F.col("timing_source")).alias("supplied"))
+    rows = packets.select("file_id", "decode_order", "size", "keyframe", F.coalesce("data_hash", F.lit("")).alias("data_hash"), F.coalesce("time", F.lit(0.0)).alias("time"))
+    return rows.groupBy("file_id").cogroup(heads.groupBy("file_id")).applyInPandas(one, "file_id long, video_uuid string, content_digest string")
 
 
 def content_md5(packets: DataFrame) -> DataFrame:
@@ -71,11 +72,11 @@ def content_md5(packets: DataFrame) -> DataFrame:
     return packets.groupBy("file_id").agg(F.md5(F.array_join(F.transform(rows, lambda r: r["x"]), "|")).alias("content_digest"))
 
 
-def compare(pairs: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, fps_tolerance: float | None = None, duration_tolerance: float | None = None) -> DataFrame:
     """pairs with verdict, fps_delta, duration_delta, fps_tolerance, duration_tolerance.
 
     pairs: left_ and right_ content_digest, timing_source, fps, duration. Both tolerances come
-    from the left side, so the order matters.
+    from the left side, so the order matters, unless they are given.
     """
     side = lambda c: (F.col(f"left_{c}"), F.col(f"right_{c}"))
     (ld, rd), (lt, rt), (lf, rf), (ll, rl) = side("content_digest"), side("timing_source"), side("fps"), side("duration")
@@ -83,6 +84,7 @@ def compare(pairs: DataFrame) -> DataFrame:
     unknown = ~scalar.supplied(lt) | ~scalar.supplied(rt) | (ll <= 0)
     told = ~unminted & (ld == rd) & ~unknown
     deltas = {"fps_delta": F.abs(lf - rf), "duration_delta": F.abs(ll - rl), "fps_tolerance": scalar.timing_tolerance(lf, ll), "duration_tolerance": scalar.timing_tolerance(ll, ll)}
+    deltas |= {k: F.lit(float(v)) for k, v in (("fps_tolerance", fps_tolerance), ("duration_tolerance", duration_tolerance)) if v is not None}
     out = pairs.withColumns({k: F.when(told, v) for k, v in deltas.items()})
     within = (F.col("fps_delta") <= F.col("fps_tolerance")) & (F.col("duration_delta") <= F.col("duration_tolerance"))
     return out.withColumn("verdict", F.when(unminted, "unminted").when(ld != rd, "distinct").when(unknown, "timing_unknown").when(within, "duplicate").otherwise("different_timing"))

@@ -36,6 +36,27 @@ def uniformity(segments: DataFrame) -> DataFrame:
     return own.select("sequence_id").join(found, "sequence_id", "left").select("sequence_id", F.col("m.ordinal").alias("ordinal"), F.col("m.bad.field").alias("field"), F.col("m.bad.first").alias("first"), F.col("m.bad.other").alias("other"))
 
 
+def zipped(paths: DataFrame, facts: DataFrame | None = None, indices: DataFrame | None = None) -> DataFrame:
+    """paths (sequence_id, ordinal, path) beside the facts and the index (both by sequence_id and ordinal) of the same place, with error.
+
+    A sequence whose facts or indices aren't as many as its paths tells so in each row and gets neither; left out altogether they are no error.
+    """
+    keys = ["sequence_id", "ordinal"]
+    out = paths.withColumn("error", F.lit(None).cast("string"))
+    for what, side in (("facts", facts), ("indices", indices)):
+        if side is None:
+            continue
+        n, m = (x.groupBy("sequence_id").agg(F.count("*").alias(c)) for x, c in ((paths, "_n"), (side, "_m")))
+        lengths = n.join(m, "sequence_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
+        told = F.when(F.col("_n") != F.col("_m"), F.format_string(f"%d {what} for %d paths", "_m", "_n"))
+        out = out.join(lengths, "sequence_id").withColumn("error", F.coalesce("error", told)).drop("_n", "_m")
+        more = [c for c in side.columns if c not in keys]
+        out = out.join(side.withColumn("_there", F.lit(True)), keys, "left")
+        out = out.withColumn("error", F.coalesce("error", F.when(F.col("_there").isNull(), f"no {what} at this place"))).drop("_there")
+        out = out.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in more})
+    return out
+
+
 def with_starts(segments: DataFrame) -> DataFrame:
     """segments with start_frame: the frames of the files before."""
     w = Window.partitionBy("sequence_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)

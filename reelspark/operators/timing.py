@@ -14,16 +14,17 @@ def frames(packets: DataFrame) -> DataFrame:
 
 
 def ranked(packets: DataFrame) -> DataFrame:
-    """frames() with rank, previous time, and count, first and last time of the file."""
+    """frames() with rank, previous time, and count, first, last and first keyframe's time of the file."""
     w = Window.partitionBy("file_id")
     o = w.orderBy("time")
     return frames(packets).select(
-        "*", (F.row_number().over(o) - 1).cast("long").alias("rank"), F.lag("time").over(o).alias("previous"), F.count("*").over(w).alias("n"), F.min("time").over(w).alias("t0"), F.max("time").over(w).alias("t1")
+        "*", (F.row_number().over(o) - 1).cast("long").alias("rank"), F.lag("time").over(o).alias("previous"), F.count("*").over(w).alias("n"), F.min("time").over(w).alias("t0"), F.max("time").over(w).alias("t1"),
+        F.min(F.when(F.col("keyframe"), F.col("time"))).over(w).alias("k0"),
     )
 
 
 def timing(packets: DataFrame, drift: float = policy.THRESHOLDS.drift_frame_periods) -> DataFrame:
-    """One row for each file: frame_count, span, fps, duration, max_drift, constant_frame_rate, max_gap, max_instantaneous_fps, error.
+    """One row for each file: frame_count, span, fps, duration, max_drift, constant_frame_rate, max_gap, max_instantaneous_fps, leading (frames before the first keyframe's time), error.
 
     With fewer than two times only frame_count and error are told. Nothing is told of a
     file without times.
@@ -38,12 +39,13 @@ def timing(packets: DataFrame, drift: float = policy.THRESHOLDS.drift_frame_peri
         F.max(F.abs((F.col("time") - F.col("t0")) - F.col("rank") / fps) * fps).alias("max_drift"),
         F.max((F.col("time") - F.col("previous")) * fps).alias("max_gap"),
         F.min(F.col("time") - F.col("previous")).alias("_least"),
+        F.count_if(F.col("time") < F.col("k0")).alias("leading"),
     )
     many, constant = F.col("frame_count") > 1, F.col("max_drift") < drift
     return out.select(
         "file_id", "frame_count", F.when(many, F.col("span")).alias("span"), "fps",
         F.when(many, F.col("span") * F.col("frame_count") / (F.col("frame_count") - 1)).alias("duration"),
         "max_drift", constant.alias("constant_frame_rate"), "max_gap",
-        F.when(many & ~constant, F.lit(1.0) / F.col("_least")).alias("max_instantaneous_fps"),
+        F.when(many & ~constant, F.lit(1.0) / F.col("_least")).alias("max_instantaneous_fps"), "leading",
         F.when(~many, "fewer than two timestamps").alias("error"),
     )

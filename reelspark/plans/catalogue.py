@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import frames, policy
+from ..frames import pixels
 from ..functions import scalar
 from ..operators import delivery, facts, gop, identity, index, planner, sequence, timing, verdict
 from ..sources import driver_tables as D
 from ..sources import probe_text
+from ..streaming import gop_state
 from . import inputs as I
 from . import oracles
 
@@ -85,6 +87,36 @@ def probe_facts(spark, d):
     return facts.measure(D.packets_a(spark, d))
 
 
+def _raw_packets(spark, d):
+    return probe_text.timed(probe_text.packets(_sql(spark, d, I.PACKET_LINES)))
+
+
+def _media_facts(spark, d, identities: bool):
+    """The whole facts table, from text as probing prints it."""
+    heads, p = probe_text.headers(_sql(spark, d, I.HEADER_JSON)), _raw_packets(spark, d)
+    moov = probe_text.moov_first(_sql(spark, d, I.BOXES))
+    if not identities:
+        return facts.facts(heads, p, moov)
+    named = heads.where("error IS NULL").join(p.groupBy("file_id").agg(F.first("source").alias("source")), "file_id")
+    named = named.withColumn("timing_source", scalar.timing_source(_c("source"), _c("container")))
+    cols = [_c(x).cast("long").alias(x) if x in identity.INTEGERS else _c(x) for x in (*identity.STRINGS, *identity.INTEGERS, *identity.FLAGS)]
+    return facts.facts(heads, p, moov, identity.mint(p, named.select("file_id", *cols, "timing_source")))
+
+
+@query
+def media_facts(spark, d):
+    """The columns of the facts that another engine can tell; pixel_format and others are absent in these headers."""
+    told = "file_id container codec_name width rotation_degrees square_pixels progressive has_audio declared_frame_count declared_fps timing_source duration fps frame_count constant_frame_rate max_instantaneous_fps"
+    told += " max_timestamp_gap_frame_periods max_keyframe_interval_frames max_gop_bytes discard_flagged_packets leading_non_keyframe_frames moov_at_start pixel_format color_range coded_reordering_depth identity_scheme"
+    return _media_facts(spark, d, False).select(*told.split())
+
+
+@query
+def probe_media(spark, d):
+    """All columns of the facts, identities too."""
+    return _media_facts(spark, d, True)
+
+
 # identity and duplicates
 def _heads(spark, d):
     cols = [*identity.STRINGS, *identity.INTEGERS, *identity.FLAGS, "timing_source"]
@@ -189,7 +221,20 @@ def seek_point(spark, d):
     return D.facts(spark, d).select("file_id", index.seek_status(_c("file_id") % 3000, F.lit(5), F.least(F.lit(2500), "frame_count")).alias("status"))
 
 
+@query
+def gop_stream(spark, d):
+    """The packets as a stream in batches of files, whose last state is the batch operator's result."""
+    rows = identity.ordered(D.packets_a(spark, d)).select("file_id", _c("position").cast("long").alias("seq"), "size", "keyframe")
+    return gop_state.replayed(rows)
+
+
 # sequences of files
+@query
+def zipped_sequences(spark, d):
+    told = D.segments(spark, d).where("sequence_id % 3 > 0 OR ordinal % 5 > 0").select("sequence_id", "ordinal", "frame_count")
+    return sequence.zipped(_sql(spark, d, I.ZIPPED), told).select("sequence_id", "ordinal", "path", "error", "frame_count")
+
+
 @query
 def canonical_fps(spark, d):
     return sequence.canonical_fps(D.segments(spark, d)).select("sequence_id", F.round("fps", 6).alias("fps"))
@@ -395,8 +440,13 @@ def progress_parse(spark, d):
 @query
 def quality_map(spark, d):
     preset = scalar.av1_preset(_c("preset"))
-    error = F.when(preset.isNull(), "unknown preset").when(_c("own") != policy.DEFAULT_CRF, "both scales")
-    return _sql(spark, d, I.QUALITY).select("id", scalar.av1_crf(_c("crf")).alias("av1_crf"), preset.alias("av1_preset"), error.alias("error"))
+    return _sql(spark, d, I.QUALITY).select("id", scalar.av1_crf(_c("crf")).alias("av1_crf"), preset.alias("av1_preset"))
+
+
+@query
+def quality_errors(spark, d):
+    crf, preset, error = scalar.quality(F.when(_c("id") % 3 > 0, _c("crf")), F.when(_c("id") % 4 > 0, _c("preset")), _c("own"), F.when(_c("id") % 11 == 0, 5).otherwise(8))
+    return _sql(spark, d, I.QUALITY).select("id", crf.alias("av1_crf"), preset.alias("av1_preset"), error.alias("error"))
 
 
 @query
@@ -455,6 +505,40 @@ def probe_json(spark, d):
     return facts.as_json(_verdicts(spark, d))
 
 
+def _frames(spark, d):
+    return _sql(spark, d, I.FRAMES).withColumn("data", F.unhex("hexed")).drop("hexed")
+
+
+def _fitting(spark, d):
+    return frames.checked(_frames(spark, d), 2, 3, 3).where("error IS NULL").drop("error")
+
+
+@query
+def grey_raw(spark, d):
+    return pixels.to_grey(_fitting(spark, d)).withColumn("data", F.hex("data"))
+
+
+@query
+def first_frames(spark, d):
+    return pixels.first_frames(_fitting(spark, d)).select("file_id", "frame_index", F.hex("data").alias("data"))
+
+
+@query
+def thumbnails(spark, d):
+    return pixels.thumbnails(_fitting(spark, d), 2).withColumn("data", F.hex("data"))
+
+
+@query
+def frame_batches(spark, d):
+    b = pixels.read_batches(_fitting(spark, d), 16)
+    return b.select("file_id", "batch", F.size("indices").cast("long").alias("frames"), F.array_join(_c("indices").cast("array<string>"), ",").alias("indices"), F.hex("data").alias("data"))
+
+
+@query
+def writer_counts(spark, d):
+    return pixels.written(_frames(spark, d), 2, 3)
+
+
 @query
 def rotate_raw(spark, d):
     """Frames of 4 x 3 grey pixels cut from hashes, turned by their file's quarter turns."""

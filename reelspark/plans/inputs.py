@@ -22,7 +22,7 @@ SELECT user_id AS file_id, event_id AS line_no,
 FROM events
 """
 
-TARGETS = "SELECT l_suppkey AS file_id, l_orderkey % 300 AS rank FROM lineitem WHERE l_linenumber = 1"
+TARGETS = "SELECT l_suppkey AS file_id, l_orderkey % 300 AS rank FROM lineitem"
 GLOBAL_TARGETS = "SELECT CAST(c_nationkey AS BIGINT) AS sequence_id, c_custkey * 53 % 9000 - 20 AS global_frame FROM customer"
 OBSERVED = """
 SELECT user_id AS file_id, event_id AS obs_id, {micros} / 1e6 + CASE event_id % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 200e0 WHEN 2 THEN -700e0 ELSE 5e4 END AS time,
@@ -53,3 +53,9 @@ SELECT user_id AS run_id, event_id AS line_no, CASE WHEN user_id % 5 = 0 THEN 0e
 FROM events
 """
 ENCODER_LINES = "SELECT c_custkey AS line_no, CASE c_custkey % 4 WHEN 0 THEN ' V....D av1_nvenc NVIDIA (codec av1)' WHEN 1 THEN '------' WHEN 2 THEN ' V..... libsvtav1  SVT' ELSE ' V..... encoder' || CAST(c_custkey AS STRING) || ' x' END AS line FROM customer"
+#: Frames of 3 x 2 pixels in three channels, cut from two hashes.
+FRAMES = """
+SELECT user_id AS file_id, event_id AS frame_index, 2 AS height, 3 AS width, 3 AS channels, md5(CAST(event_id AS STRING)) || substr(md5(coalesce(props, '')), 1, CASE WHEN event_id % 97 = 5 THEN 2 ELSE 4 END) AS hexed
+FROM events
+"""
+ZIPPED = "SELECT CAST(c_nationkey AS BIGINT) AS sequence_id, c_custkey AS ordinal, 'clip' || CAST(c_custkey AS STRING) || '.mp4' AS path FROM customer"

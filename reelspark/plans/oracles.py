@@ -99,6 +99,35 @@ _OBS = f"obs AS ({I.OBSERVED.replace('{micros}', D.MICROS['A'][1])})"
 _LAND = "land AS (SELECT obs.*, (SELECT min(rank) FROM r WHERE r.file_id = obs.file_id AND r.time >= obs.time - tol AND abs(r.time - obs.time) <= tol) AS rank FROM (SELECT *, CASE WHEN fps > 0 THEN 0.5e0 / fps ELSE 0e0 END AS tol FROM obs) obs)"
 _T = _times
 
+_HEADER_PARSE = f"""{_HEADERS}, {_STREAMS}, a AS (SELECT file_id, bool_or((s->>'$.codec_type') = 'audio') AS audio FROM s GROUP BY file_id),
+hp AS (SELECT j.file_id, CASE WHEN s IS NOT NULL THEN coalesce(j.j->>'$.format.format_name', '') END AS container, CASE WHEN s IS NOT NULL THEN lower(coalesce(s->>'$.codec_name', '')) END AS codec_name, try_cast(s->>'$.width' AS INT) AS width, CASE WHEN s IS NOT NULL THEN coalesce(s->>'$.sample_aspect_ratio', '') IN ('', 'N/A', '0:1', '1:1') END AS square_pixels,
+ CASE WHEN s IS NOT NULL THEN coalesce(s->>'$.field_order', '') IN ('', 'N/A', 'progressive') END AS progressive, CASE WHEN s IS NOT NULL THEN audio END AS has_audio,
+ CASE WHEN s IS NOT NULL THEN coalesce(((round_even((s->>'$.side_data_list[0].rotation')::DOUBLE, 0)::INT % 360) + 360) % 360, 0) END AS rotation_degrees, CASE WHEN s IS NOT NULL THEN (string_split(s->>'$.avg_frame_rate', '/')[1])::DOUBLE / (string_split(s->>'$.avg_frame_rate', '/')[2])::DOUBLE END AS declared_fps,
+ CASE WHEN s IS NOT NULL THEN coalesce(try_cast(s->>'$.nb_frames' AS BIGINT), 0) END AS declared_frame_count, CASE WHEN s IS NULL THEN 'no video stream' END AS error FROM j LEFT JOIN (SELECT file_id, s FROM sel WHERE k = 1) USING (file_id) LEFT JOIN a USING (file_id))"""
+SQL_MOOV = f"WITH b AS ({I.BOXES}), g AS (SELECT file_id, min(CASE WHEN box_type = 'ftyp' THEN ordinal END) AS f, min(CASE WHEN box_type = 'moov' THEN ordinal END) AS m, min(CASE WHEN box_type = 'mdat' THEN ordinal END) AS d FROM b WHERE ordinal < 16 GROUP BY file_id) SELECT file_id, CASE WHEN f = 0 AND m IS NOT NULL THEN coalesce(m < d, true) END AS moov_at_start FROM g"
+
+_PRESET = "CASE preset WHEN 'ultrafast' THEN 13 WHEN 'fast' THEN 9 WHEN 'medium' THEN 8 WHEN 'veryslow' THEN 2 END"
+_BYTE = "('0x' || substr(hexed, {} + 1, 2))::INT"
+_FRAMES = f"WITH fr AS ({I.FRAMES}), fit AS (SELECT * FROM fr WHERE length(hexed) = 36) "
+
+
+def _media() -> str:
+    """Facts of the files that have a header and packets with times, or none at all."""
+    head = _HEADER_PARSE
+    timed = "w AS (SELECT *, CASE WHEN count(pts) OVER (PARTITION BY file_id) > 0 THEN 'pts' WHEN count(dts) OVER (PARTITION BY file_id) > 0 THEN 'dts' ELSE 'none' END AS source FROM scan), q AS (SELECT *, CASE source WHEN 'pts' THEN pts WHEN 'dts' THEN dts END AS time FROM w), z AS (SELECT * FROM q WHERE source = 'none' OR time IS NOT NULL)"
+    return f"""WITH {head}, {_LINES}, {_SCAN}, {timed}, {_times('z')}, {_LEAD}, {_GOP.format(p='z')},
+ u AS (SELECT file_id, count(*) AS packets, count(*) FILTER (discard) AS dis, count(*) FILTER (gop = 0) AS n, max(gop) AS m FROM g GROUP BY file_id), so AS (SELECT file_id, min(source) AS source FROM z GROUP BY file_id), mv AS ({SQL_MOOV})
+SELECT file_id, container, codec_name, width, rotation_degrees, square_pixels, progressive, has_audio, declared_frame_count, CASE WHEN source = 'none' THEN 0e0 ELSE declared_fps END AS declared_fps,
+ CASE WHEN source = 'none' THEN 'absent' WHEN source = 'pts' THEN 'presentation' ELSE 'decode' END AS timing_source,
+ CASE WHEN source = 'none' THEN 0e0 ELSE duration END AS duration, CASE WHEN source = 'none' THEN 0e0 ELSE fps END AS fps, CASE WHEN source = 'none' THEN packets ELSE frame_count END AS frame_count,
+ CASE WHEN source = 'none' THEN false ELSE max_drift < 0.5e0 END AS constant_frame_rate, CASE WHEN source <> 'none' AND max_drift >= 0.5e0 THEN 1e0 / least END AS max_instantaneous_fps,
+ CASE WHEN source = 'none' THEN 0e0 ELSE max_gap END AS max_timestamp_gap_frame_periods, max_keyframe_interval_frames, max_gop_bytes, dis AS discard_flagged_packets,
+ CASE WHEN source = 'none' THEN CASE WHEN m > 0 THEN n ELSE 0 END ELSE coalesce(timed, 0) END AS leading_non_keyframe_frames, moov_at_start, '' AS pixel_format, 'unknown' AS color_range, 0 AS coded_reordering_depth, '2' AS identity_scheme
+FROM hp JOIN so USING (file_id) JOIN u USING (file_id) JOIN gop USING (file_id) LEFT JOIN fit USING (file_id) LEFT JOIN lead_t USING (file_id) LEFT JOIN mv USING (file_id)
+WHERE hp.error IS NULL AND (source = 'none' OR frame_count > 1)"""
+
+_MEDIA = _media()
+
 SQL = {
     "timing_fit": f"WITH {PB}, {_T('pb')} SELECT file_id, frame_count, fps, duration FROM fit",
     "frame_drift": f"WITH {PB}, {_T('pb')} SELECT file_id, max_drift, max_drift < 0.5 AS constant_frame_rate FROM fit",
@@ -138,7 +167,7 @@ SELECT s.sequence_id, ordinal, field, (CASE field WHEN 'width' THEN hw WHEN 'hei
     "frame_window": f"WITH {PB}, {_T('pb')} SELECT file_id, rank, time FROM r WHERE rank >= 10 AND rank < 40",
     "strided_read": f"WITH {PB}, {_T('pb')} SELECT file_id, rank, time FROM r WHERE rank >= 5 AND rank < 200 AND (rank - 5) % 7 = 0",
     "read_batch": f"WITH {PB}, {_T('pb')} SELECT file_id, rank // 32 AS batch, min(rank) AS first_rank, max(rank) AS last_rank, count(*) AS frames FROM r GROUP BY ALL",
-    "sparse_read": f"WITH {PB}, {_T('pb')}, {_INDEX}, {_TARGETS} SELECT file_id, rank, time, keyframe_rank FROM pk WHERE EXISTS (SELECT 1 FROM tg WHERE tg.file_id = pk.file_id AND tg.rank = pk.rank)",
+    "sparse_read": f"WITH {PB}, {_T('pb')}, {_INDEX}, {_TARGETS} SELECT file_id, rank, time, keyframe_rank FROM pk JOIN tg USING (file_id, rank)",
     "seek_point": f"WITH {FACTS} SELECT file_id, CASE WHEN file_id % 3000 >= 5 AND file_id % 3000 < least(2500, frame_count) THEN 'ok' ELSE 'out of range' END AS status FROM facts",
     "derive_verdict": f"WITH {VERDICT} SELECT file_id, NOT hard AS playable, stream_transcode, analysis_transcode, s_reasons AS stream_reasons, a_reasons AS analysis_reasons, truncated FROM d",
     "metadata_lies": f"WITH {FACTS} SELECT file_id, {_LIES} AS lies FROM facts",
@@ -166,22 +195,26 @@ SELECT l_id AS left_file_id, file_id AS right_file_id, CASE WHEN l_src NOT IN ('
     "timing_tolerance": f"WITH {FACTS} SELECT file_id, CASE WHEN duration > 0 THEN 4e0 * fps * 0.001e0 / duration END AS fps_tolerance, CASE WHEN duration > 0 THEN 4e0 * duration * 0.001e0 / duration END AS duration_tolerance FROM facts",
     "measured_or_none": f"WITH {FACTS} SELECT file_id, CASE WHEN moov_at_start IS NOT NULL AND max_instantaneous_fps IS NOT NULL THEN fps END AS fps, CASE WHEN moov_at_start IS NOT NULL AND max_instantaneous_fps IS NOT NULL THEN width END AS width FROM facts",
     "progress_parse": f"WITH x AS ({I.PROGRESS_FIELDS}), y AS (SELECT *, try_cast(regexp_replace(trim(us), 'x$', '') AS DOUBLE) / 1e6 AS u, CASE WHEN len(string_split(ck, ':')) = 3 THEN try_cast(string_split(ck, ':')[1] AS INT) * 3600 + try_cast(string_split(ck, ':')[2] AS INT) * 60 + try_cast(string_split(ck, ':')[3] AS DOUBLE) END AS c, try_cast(regexp_replace(trim(sp), 'x$', '') AS DOUBLE) AS s FROM x) SELECT id, coalesce(u, c) AS out_time, s AS speed, CASE WHEN d > 0 THEN coalesce(u, c) / d END AS fraction FROM y",
-    "quality_map": f"WITH x AS ({I.QUALITY}) SELECT id, least(63, greatest(0, crf + 7)) AS av1_crf, CASE preset WHEN 'ultrafast' THEN 13 WHEN 'fast' THEN 9 WHEN 'medium' THEN 8 WHEN 'veryslow' THEN 2 END AS av1_preset, CASE WHEN preset = 'odd' THEN 'unknown preset' WHEN own <> 30 THEN 'both scales' END AS error FROM x",
+    "quality_map": f"WITH x AS ({I.QUALITY}) SELECT id, least(63, greatest(0, crf + 7)) AS av1_crf, {_PRESET} AS av1_preset FROM x",
+    "quality_errors": f"WITH x AS ({I.QUALITY}), y AS (SELECT id, CASE WHEN id % 3 > 0 THEN crf END AS crf, CASE WHEN id % 4 > 0 THEN preset END AS preset, own, CASE WHEN id % 11 = 0 THEN 5 ELSE 8 END AS ownp FROM x), e AS (SELECT *, CASE WHEN (crf IS NOT NULL AND own <> 30) OR (preset IS NOT NULL AND ownp <> 8) THEN 'both scales' WHEN preset = 'odd' THEN 'unknown preset' END AS error FROM y) SELECT id, CASE WHEN error IS NULL THEN coalesce(least(63, greatest(0, crf + 7)), own) END AS av1_crf, CASE WHEN error IS NULL THEN coalesce({_PRESET}, ownp) END AS av1_preset, error FROM e",
     "stream_offset": f"WITH {PA} SELECT file_id, decode_order, round_even((time - 1704067200e0) / (1e0 / 90000), 0)::BIGINT AS \"offset\" FROM pa",
     "candidate_filter": f"WITH x AS ({I.PATHS}) SELECT id, path, regexp_matches(lower(path), '[^/]\\.(mp4|m4v|mov|avi|mkv|webm|mts|m2ts|mpg|mpeg|wmv|h26l|h264|264|avc|hevc|h265|265|ogv)$') AS candidate FROM x",
-    "moov_order": f"WITH b AS ({I.BOXES}), g AS (SELECT file_id, min(CASE WHEN box_type = 'ftyp' THEN ordinal END) AS f, min(CASE WHEN box_type = 'moov' THEN ordinal END) AS m, min(CASE WHEN box_type = 'mdat' THEN ordinal END) AS d FROM b WHERE ordinal < 16 GROUP BY file_id) SELECT file_id, CASE WHEN f = 0 AND m IS NOT NULL THEN coalesce(m < d, true) END AS moov_at_start FROM g",
+    "moov_order": SQL_MOOV,
     "packet_scan": f"WITH {_LINES}, {_SCAN} SELECT * FROM scan",
     "timestamp_source": f"WITH {_LINES}, {_SCAN}, w AS (SELECT *, CASE WHEN count(pts) OVER (PARTITION BY file_id) > 0 THEN 'pts' WHEN count(dts) OVER (PARTITION BY file_id) > 0 THEN 'dts' ELSE 'none' END AS source FROM scan), z AS (SELECT file_id, decode_order, source, CASE source WHEN 'pts' THEN pts WHEN 'dts' THEN dts ELSE 0e0 END AS time FROM w) SELECT * FROM z WHERE time IS NOT NULL",
     "scan_errors": f"WITH {_LINES} SELECT file_id, CASE WHEN count(*) FILTER (len(c) >= 6 AND regexp_full_match(c[3], '[0-9]+')) > 0 THEN NULL WHEN count(*) FILTER (len(c) = 5) > 0 THEN 'no payload hashes' ELSE 'no packets' END AS error FROM sp GROUP BY file_id",
     "stream_select": f"WITH {_HEADERS}, {_STREAMS} SELECT j.file_id, pos::INT AS video_position, coalesce(cnt, 0)::INT AS video_stream_count FROM j LEFT JOIN (SELECT * FROM sel WHERE k = 1) s USING (file_id)",
-    "header_parse": f"""WITH {_HEADERS}, {_STREAMS}, a AS (SELECT file_id, bool_or((s->>'$.codec_type') = 'audio') AS audio FROM s GROUP BY file_id)
-SELECT j.file_id, CASE WHEN s IS NOT NULL THEN coalesce(j.j->>'$.format.format_name', '') END AS container, CASE WHEN s IS NOT NULL THEN lower(coalesce(s->>'$.codec_name', '')) END AS codec_name, try_cast(s->>'$.width' AS INT) AS width, CASE WHEN s IS NOT NULL THEN coalesce(s->>'$.sample_aspect_ratio', '') IN ('', 'N/A', '0:1', '1:1') END AS square_pixels,
- CASE WHEN s IS NOT NULL THEN coalesce(s->>'$.field_order', '') IN ('', 'N/A', 'progressive') END AS progressive, CASE WHEN s IS NOT NULL THEN audio END AS has_audio,
- CASE WHEN s IS NOT NULL THEN coalesce(((round_even((s->>'$.side_data_list[0].rotation')::DOUBLE, 0)::INT % 360) + 360) % 360, 0) END AS rotation_degrees, CASE WHEN s IS NOT NULL THEN (string_split(s->>'$.avg_frame_rate', '/')[1])::DOUBLE / (string_split(s->>'$.avg_frame_rate', '/')[2])::DOUBLE END AS declared_fps,
- CASE WHEN s IS NOT NULL THEN coalesce(try_cast(s->>'$.nb_frames' AS BIGINT), 0) END AS declared_frame_count, CASE WHEN s IS NULL THEN 'no video stream' END AS error FROM j LEFT JOIN (SELECT file_id, s FROM sel WHERE k = 1) USING (file_id) LEFT JOIN a USING (file_id)""",
+    "header_parse": f"WITH {_HEADER_PARSE} SELECT * FROM hp",
     "progress_blocks": f"""WITH ln AS ({I.PROGRESS_LINES}), kv AS (SELECT *, string_split(line, '=')[1] AS k, string_split(line, '=')[2] AS v FROM ln WHERE contains(line, '=')),
 b AS (SELECT *, coalesce(sum((k = 'progress')::INT) OVER w, 0)::BIGINT AS block, coalesce(max((k = 'progress' AND v = 'end')::INT) OVER w, 0) AS over_ FROM kv WINDOW w AS (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT run_id, block, max(duration) AS d, max(k = 'progress') AS closed, max(CASE WHEN k = 'out_time_us' THEN try_cast(v AS DOUBLE) END) AS us, max(CASE WHEN k = 'fps' THEN try_cast(v AS DOUBLE) END) AS fps, max(CASE WHEN k = 'speed' THEN try_cast(regexp_replace(v, 'x$', '') AS DOUBLE) END) AS speed FROM b WHERE over_ = 0 GROUP BY ALL)
 SELECT run_id, block, us / 1e6 AS out_time, fps, speed, CASE WHEN d > 0 THEN us / 1e6 / d END AS fraction FROM g WHERE closed""",
+    "gop_stream": f"WITH {PA}, {_GOP.format(p='pa')} SELECT * FROM gop",
+    "media_facts": _MEDIA,
+    "grey_raw": _FRAMES + f"SELECT file_id, frame_index, height, width, 1 AS channels, upper(array_to_string(list_transform(range(6), lambda k: lpad(to_hex((114 * {_BYTE.format('6 * k')} + 587 * {_BYTE.format('6 * k + 2')} + 299 * {_BYTE.format('6 * k + 4')} + 500) // 1000), 2, '0')), '')) AS data FROM fit",
+    "first_frames": _FRAMES + "SELECT file_id, min(frame_index) AS frame_index, upper(min_by(hexed, frame_index)) AS data FROM fit GROUP BY file_id",
+    "frame_batches": _FRAMES + ", n AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY frame_index) - 1) // 16 AS batch FROM fit) SELECT file_id, batch, count(*) AS frames, string_agg(frame_index::VARCHAR, ',' ORDER BY frame_index) AS indices, upper(string_agg(hexed, '' ORDER BY frame_index)) AS data FROM n GROUP BY ALL",
+    "writer_counts": _FRAMES + ", b AS (SELECT file_id, min(frame_index) FILTER (length(hexed) <> 36) AS first_refused FROM fr GROUP BY file_id) SELECT fr.file_id, count(*) FILTER (first_refused IS NULL OR frame_index < first_refused) AS frames_written, max(first_refused) AS first_refused FROM fr JOIN b USING (file_id) GROUP BY fr.file_id",
+    "zipped_sequences": f"WITH {SEG}, p AS ({I.ZIPPED}), f AS (SELECT sequence_id, ordinal, frame_count FROM seg WHERE sequence_id % 3 > 0 OR ordinal % 5 > 0), n AS (SELECT sequence_id, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT sequence_id, count(*) AS m FROM f GROUP BY ALL), e AS (SELECT sequence_id, CASE WHEN n <> coalesce(m, 0) THEN coalesce(m, 0) || ' facts for ' || n || ' paths' END AS error FROM n LEFT JOIN m USING (sequence_id)) SELECT p.sequence_id, p.ordinal, path, error, CASE WHEN error IS NULL THEN frame_count END AS frame_count FROM p JOIN e USING (sequence_id) LEFT JOIN f ON f.sequence_id = p.sequence_id AND f.ordinal = p.ordinal",
     "encoder_listed": f"WITH ln AS ({I.ENCODER_LINES}), n AS (SELECT unnest(['av1', 'av1_nvenc', 'libsvtav1', 'h264_nvenc', 'encoder3']) AS name) SELECT name, EXISTS (SELECT 1 FROM ln WHERE regexp_split_to_array(trim(line), '\\s+')[2] = name) AS listed FROM n",
 }

@@ -67,3 +67,24 @@ def gop_stream(packets: DataFrame) -> DataFrame:
     The result equals the batch operator's when runs is 1, in whatever order packets came.
     """
     return packets.select("file_id", "seq", "size", "keyframe").groupBy("file_id").applyInPandasWithState(_update, OUT, "runs string", "update", "NoTimeout")
+
+
+def replayed(packets: DataFrame, files: int = 4) -> DataFrame:
+    """Packets (file_id, seq, size, keyframe) of a table sent through gop_stream() in several batches: what it tells at the end.
+
+    The batches, the query's state and its output are in the folder named in spark.checkpoint.dir.
+    """
+    from pyspark.sql import functions as F
+
+    from ..live.shared import shared_folder
+
+    spark = packets.sparkSession
+    top = shared_folder(spark, "gop-stream")
+    packets.withColumn("part", F.pmod(F.xxhash64("file_id", "seq"), F.lit(files)).cast("int")).write.partitionBy("part").parquet(f"{top}/in")
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", max(1, files)).option("recursiveFileLookup", "true").parquet(f"{top}/in")
+    writer = gop_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{top}/state").trigger(availableNow=True)
+    # each batch's rows are written as they are; a file's last row is the one whose runs have all been joined
+    query = writer.foreachBatch(lambda rows, n: rows.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{top}/out/{n}")).start()
+    query.awaitTermination()
+    last = F.max_by(F.struct("max_gop_bytes", "max_keyframe_interval_frames"), "_batch").alias("m")
+    return spark.read.parquet(f"{top}/out/*").groupBy("file_id").agg(last).select("file_id", "m.max_gop_bytes", "m.max_keyframe_interval_frames")

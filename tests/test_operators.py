@@ -131,7 +131,7 @@ def test_identity_of_rewrites(spark):
 
 
 def test_sequences(spark):
-    seg = spark.createDataFrame([(1, 0, 3000, 30.0, 640, 480, 100.0), (1, 1, 250, 30.000000040365986, 640, 480, 10.0), (2, 0, 10, 30.0, 640, 480, 1.0), (2, 1, 10, 0.0, 640, 480, 1.0), (2, 2, 10, 30.0, 1, 480, 1.0)], "sequence_id long, ordinal long, frame_count long, fps double, width int, height int, duration double")
+    seg = spark.createDataFrame([(1, 0, 3000, 30.0, 640, 480, 100.0), (1, 1, 250, 30.00000021, 640, 480, 10.0), (2, 0, 10, 30.0, 640, 480, 1.0), (2, 1, 10, 0.0, 640, 480, 1.0), (2, 2, 10, 30.0, 1, 480, 1.0)], "sequence_id long, ordinal long, frame_count long, fps double, width int, height int, duration double")
     assert {r.sequence_id: (r.ordinal, r.field) for r in sequence.uniformity(seg).collect()} == {1: (None, None), 2: (1, "fps")}
     assert {r.sequence_id: r.fps for r in sequence.canonical_fps(seg).collect()}[1] == pytest.approx(3250 / 110)
     t = spark.createDataFrame([(1, 0), (1, 2999), (1, 3000), (1, 3249), (1, 3250), (1, -1)], "sequence_id long, global_frame long")
