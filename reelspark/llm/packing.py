@@ -139,11 +139,10 @@ def _pieces(size: int, window: int, plan: list[dict[str, int]] | None, batches:
 
     names = [x.split()[0] for x in _PIECES.split(", ")]
     types = [pa.string() if x.split()[1] == "string" else pa.int64() for x in _PIECES.split(", ")]
-    for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-        for i in range(0, b.num_rows, 500):
-            rows = []
-            for doc, queue, at, n, raw, base, line, a, e, total in zip(*(c[i : i + 500] for c in cols)):
+    for whole in batches:
+        for i in range(0, whole.num_rows, 500):
+            b, rows = whole.slice(i, 500), []
+            for doc, queue, at, n, raw, base, line, a, e, total in zip(*(c.to_pylist() for c in b.columns)):
                 ids = raw[1:] if raw[:1] == b"4" else np.frombuffer(raw, "<u2", offset=1).astype("<u4").tobytes()
                 start = 0
                 told = share_windows(base + at, n, int(a), int(e), int(total), window) if plan is None else in_phases(line, base + at, n, plan, window)

@@ -11,7 +11,7 @@ import json
 from array import array
 
 #: Pieces that a worker remembers; further ones are encoded each time.
-CACHED = 400_000
+CACHED = 200_000
 #: Longer pieces are encoded without being remembered.
 CACHED_CHARS = 40
 
@@ -35,15 +35,16 @@ class Encoder:
     """Little-endian unsigned 32-bit ids of a text as bytes; special tokens' strings are ordinary text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast = None
+        self.slow = self.fast = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"].get("type") == "BPE" and (pattern := _split_pattern(spec)):
             self.fast = self._by_rank(spec, pattern)
+        if self.fast is None:  # else the other isn't loaded, as a worker holds one of them for long
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(path)
+            self.slow.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
     def _by_rank(self, spec: dict, pattern: str):
