@@ -1,9 +1,11 @@
 """Main text of web pages as the maximum-scoring subsequence of their words and tags.
 
 Elements that never hold the article (scripts, menus, adverts, forms, reader comments and
-so on) are passed over. In what is left every word has a score by where it stands (inside
-an article, in a paragraph, in a link) and every tag a negative one; the contiguous run
-with the greatest sum is the content. Scores are log-odds counted on labelled pages.
+so on) are passed over: those of such a kind, and those with a class or id that says nothing
+else, like "ad-slot" or "site-footer". A class that also says something else, like "social-history",
+is only evidence. In what is left every word has a score by where it stands (inside an article, in
+a paragraph, in a link, under such a class) and every tag a negative one; the contiguous run
+with the greatest sum is the content. Scores are log-odds counted on labelled pages of several layouts.
 """
 
 from __future__ import annotations
@@ -51,14 +53,32 @@ _NAMES = frozenset(
     sidebar sidebars widget widgets footer masthead promo promotion promoted sponsor sponsored sponsorship related recommended share sharing social skip toolbar
     topbar pagination pager paging tags outbrain taboola paywall toc""".split()
 )
+#: Words that stand beside those in one class or id and say nothing else.
+_BESIDE = frozenset(
+    """area bar block body bottom box btn button buttons card col column container content desktop fixed global group header head heading icon icons inline inner item items label left link links list
+    main mobile page panel post posts primary right row secondary section site slot small sticky story stories text title top unit wrap wrapper""".split()
+)
 #: Beside one of these, such a name tells how a page is laid out.
 _LAYOUT = frozenset("layout with has no grid".split())
 _COMMENTS = frozenset("comment comments commentlist respond disqus replies reply".split())
 
 
-def _names(attrs: str) -> tuple[frozenset[str], bool]:
-    """Lower-case parts of class, id and role; whether the element is hidden."""
-    found, hidden = set(), False
+@lru_cache(20_000)
+def _token(token: str) -> tuple[frozenset[str], bool]:
+    """Of one class or id: its parts that name what isn't the article, if it says nothing else; and whether it has such parts beside others."""
+    parts = {x for x in re.split(r"[_\-]+", token) if x}
+    named = parts & _NAMES
+    if not named or parts & _LAYOUT:
+        return frozenset(), False
+    if all(x in _BESIDE or x.isdigit() for x in parts - named):
+        return named, False
+    return frozenset(), True
+
+
+@lru_cache(20_000)
+def _names(attrs: str) -> tuple[frozenset[str], bool, bool]:
+    """What class, id and role name that isn't the article; whether the element is hidden; whether a class is evidence only."""
+    found, hidden, weak = set(), False, False
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key not in _TELLING:
@@ -68,8 +88,13 @@ def _names(attrs: str) -> tuple[frozenset[str], bool]:
         elif key == "role":
             found.update("role:" + v for v in value.split() if v in _ROLES)
         else:
-            found.update(re.split(r"[\s_\-]+", value))
-    return frozenset(found), hidden
+            for token in value.split():
+                named, other = _token(token)
+                found |= named
+                weak |= other
+            if _LAYOUT.intersection(value.split()):
+                found = {x for x in found if x.startswith("role:")}
+    return frozenset(found), hidden, weak
 
 
 def _next(known: dict[str, int], name: str, pattern: re.Pattern, source: str, pos: int) -> int:
@@ -80,15 +105,78 @@ def _next(known: dict[str, int], name: str, pattern: re.Pattern, source: str, po
     return known[name]
 
 
+#: What a new element ends that was left open, by the name of the open one, and what hides it from that.
+_ENDS = {"p": BLOCKS, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
+_HIDE = ("ul", "ol", "table", "div", "article", "section", "main", "dl", "body", "td")
+_KINDS = frozenset("p li blockquote pre td".split())
+
+
+class _Open:
+    """The open elements, with what is asked about them kept up to date: each step takes the same time however many there are."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, bool, str]] = []  # name, passed over, of reader comments, weakly named, kind of the nearest block
+        self.at: dict[str, list[int]] = {}  # places in the stack by name
+        self.passed = self.unseen = self.comments = self.sealed = self.main = self.links = self.weak = 0
+        self.floor = 0  # below here nothing counts as passed over any more
+
+    def __contains__(self, name: str) -> bool:
+        return bool(self.at.get(name))
+
+    @property
+    def kind(self) -> str:
+        return self.stack[-1][4] if self.stack else "other"
+
+    def _count(self, name: str, passed: bool, comments: bool, weak: bool, by: int, counted: bool) -> None:
+        self.comments += by * comments
+        self.weak += by * weak
+        self.main += by * (name in _MAIN)
+        self.links += by * (name == "a")
+        if counted:
+            self.passed += by * passed
+            self.unseen += by * (passed and name in _UNSEEN)
+            self.sealed += by * (passed and name in _SEALED)
+
+    def push(self, name: str, passed: bool, comments: bool, weak: bool) -> None:
+        kind = self.kind if name not in BLOCKS else "h" if name in _HEADS else name if name in _KINDS else "other"
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, passed, comments, weak, kind))
+        self._count(name, passed, comments, weak, 1, True)
+
+    def pop(self) -> str:
+        name, passed, comments, weak, _ = self.stack.pop()
+        self.at[name].pop()
+        self._count(name, passed, comments, weak, -1, len(self.stack) >= self.floor)
+        self.floor = min(self.floor, len(self.stack))
+        return name
+
+    def end(self, name: str) -> None:
+        """Closes the innermost element of this name with all inside it."""
+        while self.pop() != name:
+            pass
+
+    def begins(self, name: str) -> None:
+        """Closes what the begin of such an element ends."""
+        for opener, closers in _ENDS.items():
+            if name in closers and opener in self:
+                at = self.at[opener][-1]
+                if not any(x != opener and x in self and self.at[x][-1] > at for x in _HIDE):
+                    while len(self.stack) > at:
+                        self.pop()
+
+    def seen_again(self) -> None:
+        """From here on the elements that are open count as seen."""
+        self.floor, self.passed, self.unseen, self.sealed = len(self.stack), 0, 0, 0
+
+
 class Page:
-    """items: ("t", tag) or ("w", place, block number, words) in page order; texts of blocks are joined later."""
+    """items: ("t", tag) or ("w", place, block number, words) in page order; texts of blocks are joined later. place: (where, kind of block, in a link, weakly named)."""
 
     def __init__(self, source: str, marks: bool = False):
         self.items: list[tuple] = []
         self.labels: list[bool] = []
         inside_label = False
-        stack: list[tuple[str, bool, bool]] = []  # name, passed over, of reader comments
-        passed = main = links = unseen = 0
+        open_ = _Open()
         block = 0
         any_main = False
         at_end: dict[str, int] = {}  # where the next end tag of a name is, as far as known
@@ -97,17 +185,12 @@ class Page:
             pos = m.end()
             text, name = m["text"], m["name"] or m["bad"]
             # a head without its end tag ends where something begins that can't stand in it
-            if stack and stack[-1][0] == "head" and (text.strip() if text is not None else name and not m["close"] and name.lower() not in _IN_HEAD):
-                _, p, _ = stack.pop()
-                passed -= p
-                unseen -= p
+            if open_.stack and open_.stack[-1][0] == "head" and (text.strip() if text is not None else name and not m["close"] and name.lower() not in _IN_HEAD):
+                open_.pop()
             if text is not None:
-                if not passed:
+                if not open_.passed:
                     words = entities.unescape(text)
-                    where = "main" if main else "out"
-                    kind = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "")
-                    kind = "h" if kind in _HEADS else kind if kind in ("p", "li", "blockquote", "pre", "td") else "other"
-                    self.items.append(("w", (where, kind, bool(links)), block, words))
+                    self.items.append(("w", ("main" if open_.main else "out", open_.kind, bool(open_.links), bool(open_.weak)), block, words))
                     self.labels.append(inside_label)
                 continue
             if name is None:
@@ -117,7 +200,7 @@ class Page:
             name = name.lower()
             attrs = m["attrs"] or ""
             if name in _RAW:
-                if not m["close"] and not (attrs.endswith("/") and any(x in ("svg", "math") for x, _, _ in stack)):
+                if not m["close"] and not (attrs.endswith("/") and ("svg" in open_ or "math" in open_)):
                     end = _next(at_end, name, _RAW[name], source, pos)
                     # only a title is taken to be short if its end tag is missing
                     pos = _RAW[name].match(source, end).end() if end >= 0 else _TEXT.match(source, pos).end() if name == "title" else len(source)
@@ -125,53 +208,28 @@ class Page:
             if name in _UNSEEN and not m["close"] and name != "head" and _next(at_end, name, _END[name], source, pos) < 0:
                 continue
             if name == "br":
-                if not passed:
+                if not open_.passed:
                     self.items.append(("w", None, block, " "))
                     self.labels.append(inside_label)
                 continue
-            if name in BLOCKS and not unseen:
+            if name in BLOCKS and not open_.unseen:
                 block += 1
-            popped: list[tuple[str, bool, bool]] = []
-            if m["close"]:
-                if any(s[0] == name for s in stack):
-                    while True:
-                        popped.append(stack.pop())
-                        if popped[-1][0] == name:
-                            break
-            elif name in ("select", "button") and any(s[0] == name for s in stack):
-                # the one before was left open
-                while True:
-                    popped.append(stack.pop())
-                    if popped[-1][0] == name:
-                        break
-            elif not unseen:
-                # a paragraph ends where a block begins; likewise list items, cells and so on
-                for opener, closes in (("p", BLOCKS), ("li", ("li",)), ("td", ("td", "th", "tr")), ("th", ("td", "th", "tr")), ("tr", ("tr",)), ("dd", ("dd", "dt")), ("dt", ("dd", "dt"))):
-                    if name in closes:
-                        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == opener), None)
-                        if at is not None and not any(s[0] in ("ul", "ol", "table", "div", "article", "section", "main", "dl", "body", "td") and s[0] != opener for s in stack[at + 1 :]):
-                            popped += stack[at:][::-1]
-                            del stack[at:]
-            for n, p, _ in popped:
-                passed -= p
-                unseen -= p and n in _UNSEEN
-                main -= n in _MAIN
-                links -= n == "a"
+            if m["close"] or name in ("select", "button"):
+                if name in open_:  # a select or button inside another means that one was left open
+                    open_.end(name)
+            elif not open_.unseen:
+                open_.begins(name)
             if not m["close"]:
-                names, hidden = _names(attrs) if attrs else (frozenset(), False)
-                over = hidden or name in _PASSED or name in _UNSEEN or name == "header" and not main or not names.isdisjoint(_NAMES) and names.isdisjoint(_LAYOUT) or any(x.startswith("role:") for x in names)
+                names, hidden, weak = _names(attrs) if attrs else (frozenset(), False, False)
+                over = hidden or name in _PASSED or name in _UNSEEN or name == "header" and not open_.main or bool(names)
                 over = over and name not in ("html", "body")
-                if name in _MAIN and passed and not over and not any(c or p and n in _SEALED for n, p, c in stack):
+                if name in _MAIN and open_.passed and not over and not open_.comments and not open_.sealed:
                     # the article isn't part of a menu or advert that was left open
-                    passed, unseen, stack = 0, 0, [(n, False, c) for n, _, c in stack]
+                    open_.seen_again()
                 if name not in VOID and not attrs.endswith("/"):
-                    stack.append((name, over, over and not names.isdisjoint(_COMMENTS)))
-                    passed += over
-                    unseen += name in _UNSEEN
-                    main += name in _MAIN
-                    links += name == "a"
-                any_main |= name in _MAIN and not passed
-            if not passed and name not in _UNSEEN:
+                    open_.push(name, over, over and not names.isdisjoint(_COMMENTS), weak)
+                any_main |= name in _MAIN and not open_.passed
+            if not open_.passed and name not in _UNSEEN:
                 self.items.append(("t", name))
                 self.labels.append(inside_label)
         if not any_main:
@@ -188,6 +246,15 @@ LABELLED = (
     <p>Its larva feeds on willow. It winters as a pupa in the soil, close to the roots of the tree.</p><p>Records come from every county but two.</p><blockquote>It came to the lamp in numbers.</blockquote><!--/main--></div><div><a href="/x">Next</a> <a href="/y">Previous</a></div><ul><li><a href="/z">Imprint</a></li></ul></body></html>""",
     """<html><body><table><tr><td><a href="/1">Index</a></td><td><a href="/2">Search</a></td></tr></table><!--main--><h3>Report of the meeting</h3><p>The meeting opened at nine with all members present, and the minutes were read.</p><div>The treasurer spoke of the new roof, which will cost more than was thought.</div>
     <p>It was agreed to ask for three more offers.</p><!--/main--><div><a href="/f">Feedback</a></div></body></html>""",
+    """<html><body><div><div><a href="/">Journal</a></div><div><a href="/1">Issues</a> <a href="/2">Authors</a></div></div><div class="social-profiles"><a href="/m">Mail</a> <a href="/r">Feed of posts</a></div><article><!--main--><h1>A mill and its people</h1><div class="social-history"><p>The mill gave work to
+    forty families, and its school was open to all of them.</p><p>In the winter of that year the river froze and the wheel stood still.</p></div><h2>After the fire</h2><p>It was built again in brick, <a href="/w">with a wheel of iron</a>.</p><dl><dt>Floors</dt><dd>Five, and a loft</dd></dl><!--/main--></article>
+    <div class="related-reading"><a href="/a">Mills of the north</a> <a href="/b">Wheels and weirs</a></div></body></html>""",
+    """<html><body><center><a href="/">Up</a> | <a href="/c">Contents</a></center><div class="entry"><!--main--><h3>Fixing a leaking tap</h3><div>Turn the water off first, at the valve below the sink, and open the tap until nothing comes.</div><div>Take off the cap, then the screw under it. The washer is at the bottom of the stem.</div><ol><li>Pull the old washer out.</li><li>Clean the seat with a cloth.</li>
+    <li>Press the new one in by hand.</li></ol><pre>washer 12 mm, stem M20</pre><div>If it still drips, the seat is worn and must be ground.</div><!--/main--></div><div><a href="/n">Next tip</a></div><div>Tips are given without any promise. <a href="/l">Legal</a></div></body></html>""",
+    """<html><body><div class="menu-of-the-day"><a href="/soup">Soup</a> <a href="/fish">Fish</a></div><main><!--main--><h1>Notice of the meeting</h1><section class="notice-of-meeting"><p>All members are asked to come to the hall at six, as the vote on the new rules can't be put off.</p><p>Whoever can't come may write to the chair by Friday.</p></section>
+    <table><tr><th>Item</th><th>Speaker</th></tr><tr><td>Accounts</td><td>The treasurer</td></tr></table><blockquote>We need every voice, said the chair.</blockquote><!--/main--></main><div class="share-this-story"><a href="/s1">Send</a> <a href="/s2">Print</a></div><p>Page made in May</p></body></html>""",
+    """<html><body><ul><li><a href="/1">Forum</a><li><a href="/2">Rules</a></ul><div><div><div><!--main--><h1>Walking the ridge in one day</h1>It took us eleven hours from the car park to the hut, with two long stops.<p>Start before sunrise: there is no water after the second spring, and the last ladder lies in full sun.<p>We met nobody until noon.<!--/main--></div></div></div>
+    <div class="comment-policy-page"><a href="/p">How we moderate</a></div><div><a href="/top">Back up</a></div></body></html>""",
 )
 
 
@@ -195,6 +262,12 @@ def _count(item: tuple) -> int:
     return len(item[3].split())
 
 
+def _backoff(place: tuple) -> tuple[tuple, ...]:
+    """The place, and wider ones to go by where it wasn't seen."""
+    where, _, link, weak = place
+    return place, (where, "", link, weak), (where, "", None, weak), (where, "", link, None), (where, "", None, None)
+
+
 @lru_cache(4)
 def fit(pages: tuple[str, ...] = LABELLED) -> tuple[dict, dict]:
     """Scores of words by place, and of tags (never above -0.02), from pages with marks."""
@@ -207,34 +280,47 @@ def fit(pages: tuple[str, ...] = LABELLED) -> tuple[dict, dict]:
                 tags[inside][item[1]] += 1
             elif item[1]:
                 n = _count(item)
-                for place in (item[1], (item[1][0], "", item[1][2]), (item[1][0], "", None)):
+                for place in _backoff(item[1]):
                     words[inside][place] += n
     odds = lambda c, k: math.log((c[True][k] + 0.5) / (c[False][k] + 0.5))
     scores = {k: max(-3.0, min(3.0, odds(words, k))) for k in {*words[True], *words[False]}}
     return scores, {k: max(-0.3, min(-0.02, odds(tags, k) / 10)) for k in {*tags[True], *tags[False]}}
 
 
+def scored(items: list[tuple], weights: tuple[dict, dict]) -> list[float]:
+    """What each item adds to the sum of a region."""
+    scores, tags = weights
+    out = []
+    for item in items:
+        if item[0] == "t":
+            out.append(tags.get(item[1], -0.05))
+        elif item[1]:
+            out.append(next((scores[k] for k in _backoff(item[1]) if k in scores), 0.0) * _count(item))
+        else:
+            out.append(0.0)
+    return out
+
+
+def region(values: list[float]) -> tuple[int, int]:
+    """[begin, end) of the contiguous run with the greatest sum, (0, 0) if none is above 0; found in one pass."""
+    best, total, begin, found = 0.0, 0.0, 0, (0, 0)
+    for i, v in enumerate(values):
+        total += v
+        if total <= 0:
+            total, begin = 0.0, i + 1
+        elif total > best:
+            best, found = total, (begin, i + 1)
+    return found
+
+
 def extract(source: str | None, weights: tuple[dict, dict] | None = None) -> str:
     """Blocks of the best region, joined by two newlines; empty if no word scores above 0."""
     if not source:
         return ""
-    scores, tags = weights or fit()
     items = Page(source).items
-    best, total = (0.0, 0, 0), 0.0
-    begin = 0
-    for i, item in enumerate(items):
-        if item[0] == "t":
-            total += tags.get(item[1], -0.05)
-        elif item[1]:
-            where, _, link = item[1]
-            s = scores.get(item[1], scores.get((where, "", link), scores.get((where, "", None), 0.0)))
-            total += s * _count(item)
-        if total <= 0:
-            total, begin = 0.0, i + 1
-        elif total > best[0]:
-            best = (total, begin, i + 1)
+    begin, end = region(scored(items, weights or fit()))
     out: dict[int, list[str]] = {}
-    for item in items[best[1] : best[2]]:
+    for item in items[begin:end]:
         if item[0] == "w":
             out.setdefault(item[2], []).append(item[3])
     blocks = (" ".join("".join(x).split()) for x in out.values())

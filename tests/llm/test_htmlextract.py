@@ -68,3 +68,67 @@ def test_every_page_of_the_table(spark):
 
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1|div)\b[^>]*>", body))
         assert x.text == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("name", ["social-history", "notice-of-meeting", "menu_review", "ad-astra", "related-work", "tags-and-labels-explained", "page comment-threading-howto"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_class_names_that_say_something_else(name, tag):
+    page = f"<body><{tag}><h1>Of moths</h1><div class='{name}'><p>Moths fly by night and rest by day.</p></div><p>They feed on leaves.</p></{tag}></body>"
+    assert htmlextract.extract(page) == TEXT
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "site-footer", "sidebar-left", "comment-list", "cookie_banner", "related-posts", "share-buttons", "x newsletter-box", "ad 12", "ad-12"])
+def test_class_names_that_say_nothing_else(name):
+    page = f"<body><article><h1>Of moths</h1><p>Moths fly by night and rest by day.</p><div class='{name}'><p>Some other words stand here for once.</p></div><p>They feed on leaves.</p></article></body>"
+    assert htmlextract.extract(page) == TEXT
+
+
+@pytest.mark.parametrize("before", ["<object data=x>", "<audio src=x>", "<canvas>", "<iframe src=x>", "<datalist>", "<p><b><i>"])
+def test_more_end_tags_left_out(before):
+    assert htmlextract.extract(f"<body><article>{BODY.replace('<p>They', '<p>' + before + 'They')}</article></body>") == TEXT
+
+
+def test_region_against_all_regions():
+    from tests.llm.fixtures import rng
+
+    r = rng(41)
+    for _ in range(400):
+        values = [r.choice([-3.0, -0.5, -0.02, 0.0, 0.25, 1.0, 4.0]) for _ in range(r.randrange(0, 25))]
+        begin, end = htmlextract.region(values)
+        most = max([sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)], default=0.0)
+        assert abs(sum(values[begin:end]) - max(0.0, most)) < 1e-9 and (most > 0 or (begin, end) == (0, 0))
+
+
+def test_labelled_pages_and_pages_left_out():
+    """On each labelled page the best of all regions, by the weights of the others, is the marked one or nearly so."""
+    import html
+    import re
+
+    for i, page in enumerate(htmlextract.LABELLED):
+        weights = htmlextract.fit(tuple(p for j, p in enumerate(htmlextract.LABELLED) if j != i))
+        items = htmlextract.Page(page).items
+        values = htmlextract.scored(items, weights)
+        begin, end = htmlextract.region(values)
+        sums = [0.0]
+        for v in values:
+            sums.append(sums[-1] + v)
+        assert abs(sums[end] - sums[begin] - max(sums[b] - sums[a] for a in range(len(sums)) for b in range(a, len(sums)))) < 1e-9
+        want = html.unescape(re.sub(r"<[^>]*>", " ", page.split("<!--main-->")[1].split("<!--/main-->")[0])).split()
+        got = htmlextract.extract(page, weights).split()
+        both = len(set(want) & set(got))
+        assert both >= 0.95 * len(set(want)) and both >= 0.85 * len(set(got)), (i, set(want) - set(got), set(got) - set(want))
+        assert "".join(htmlextract.extract(page).split()) == "".join(want), i
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<p><b>", "<article><nav>", "<ul><li>", "<table><tr><td>", "<button>", "<section class=ad><main>"])
+def test_deep_nesting_takes_time_in_proportion(opened):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        htmlextract.extract(opened * n + "word here " * 50)
+        return time.perf_counter() - began
+
+    seconds(100)
+    small, large = seconds(2000), seconds(16000)
+    assert large < 24 * small + 0.3
