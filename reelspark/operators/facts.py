@@ -19,7 +19,7 @@ def measure(packets: DataFrame, drift: float = policy.THRESHOLDS.drift_frame_per
     dealt out by file once; both orders, by decoding and by time, are windows over that.
     """
     dealt = packets.select("file_id", "decode_order", "time", "size", "keyframe", "discard").repartition("file_id")
-    out = decode_facts(dealt).join(timing(dealt, drift), "file_id", "left")
+    out = decode_facts(dealt).join(timing(dealt, drift, dealt=True), "file_id", "left")
     out = out.withColumn("source", F.lit("pts")) if sources is None else out.join(sources, "file_id")
     none, pick = F.col("source") == "none", lambda untimed, c: F.when(none, untimed).otherwise(F.col(c))
     leading = pick(F.when(F.col("keyframes") > 0, F.col("before")).otherwise(0), "leading")

@@ -41,7 +41,8 @@ def leading_frames(packets: DataFrame, sources: DataFrame | None = None) -> Data
     """
     w = Window.partitionBy("file_id")
     first = F.min(F.when(F.col("keyframe"), F.col("time"))).over(w)
-    timed = frames(packets).withColumn("first", first).groupBy("file_id").agg(F.count_if(F.col("time") < F.col("first")).alias("timed"))
+    packets = packets.select("file_id", "decode_order", "time", "keyframe").repartition("file_id") if sources is not None else packets
+    timed = frames(packets, dealt=sources is not None).withColumn("first", first).groupBy("file_id").agg(F.count_if(F.col("time") < F.col("first")).alias("timed"))
     if sources is None:
         return timed.select("file_id", F.col("timed").alias("leading_non_keyframe_frames"))
     n = gop_ids(packets).groupBy("file_id").agg(F.count_if(F.col("gop") == 0).alias("before"), F.max("gop").alias("keyframes"))

@@ -8,29 +8,34 @@ from pyspark.sql import functions as F
 from .. import policy
 
 
-def frames(packets: DataFrame) -> DataFrame:
-    """(file_id, time, keyframe): the distinct times; one is a keyframe if any packet there is."""
-    return packets.where("time IS NOT NULL").groupBy("file_id", "time").agg(F.coalesce(F.bool_or("keyframe"), F.lit(False)).alias("keyframe"))
+def frames(packets: DataFrame, dealt: bool = False) -> DataFrame:
+    """(file_id, time, keyframe): the distinct times; one is a keyframe if any packet there is.
+
+    Times rarely repeat, so sums in each task before the packets are dealt out would save
+    nothing: they are dealt out by file (unless ``dealt`` says they are), and windows by file need no further shuffle.
+    """
+    rows = packets.where("time IS NOT NULL").select("file_id", "time", "keyframe")
+    return (rows if dealt else rows.repartition("file_id")).groupBy("file_id", "time").agg(F.coalesce(F.bool_or("keyframe"), F.lit(False)).alias("keyframe"))
 
 
-def ranked(packets: DataFrame) -> DataFrame:
+def ranked(packets: DataFrame, dealt: bool = False) -> DataFrame:
     """frames() with rank, previous time, and count, first, last and first keyframe's time of the file."""
     w = Window.partitionBy("file_id")
     o = w.orderBy("time")
-    return frames(packets).select(
+    return frames(packets, dealt).select(
         "*", (F.row_number().over(o) - 1).cast("long").alias("rank"), F.lag("time").over(o).alias("previous"), F.count("*").over(w).alias("n"), F.min("time").over(w).alias("t0"), F.max("time").over(w).alias("t1"),
         F.min(F.when(F.col("keyframe"), F.col("time"))).over(w).alias("k0"),
     )
 
 
-def timing(packets: DataFrame, drift: float = policy.THRESHOLDS.drift_frame_periods) -> DataFrame:
+def timing(packets: DataFrame, drift: float = policy.THRESHOLDS.drift_frame_periods, dealt: bool = False) -> DataFrame:
     """One row for each file: frame_count, span, fps, duration, max_drift, constant_frame_rate, max_gap, max_instantaneous_fps, leading (frames before the first keyframe's time), error.
 
     With fewer than two times only frame_count and error are told. Nothing is told of a
     file without times.
     """
     n, span = F.col("n"), F.col("t1") - F.col("t0")
-    rows = ranked(packets).withColumn("fps", F.when(n > 1, (n - 1) / span))
+    rows = ranked(packets, dealt).withColumn("fps", F.when(n > 1, (n - 1) / span))
     fps = F.col("fps")
     out = rows.groupBy("file_id").agg(
         F.max("n").alias("frame_count"),
