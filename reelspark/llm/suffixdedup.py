@@ -1,21 +1,26 @@
 """Removal of long repeated byte strings, by prefix-free parsing.
 
-Texts are cut into phrases where the hash of a window of 16 bytes triggers. A trigger
-depends on these bytes only, so equal strings are cut alike, and where a string of
-``length`` bytes starts inside a phrase says how far its first trigger is. Starts are
-therefore grouped into blocks of up to 128 (a third of ``length`` if that is less) at fixed
-distances before a trigger:
-
-1. the ``core`` is what all strings that start in a block share. A block with a core of
+Texts are parsed into phrases that end where the rolling hash of a window of 16 bytes
+triggers. A trigger depends on these bytes only, so equal strings are parsed alike, and where a
+string of ``length`` bytes starts inside a phrase says how far its first trigger is. So a start is
+the end of a phrase (a suffix of the dictionary's) followed by what the parse goes on with, and the
+order of all starts is the order of these two together:
+
+1. starts are taken in blocks, mostly one for each phrase (up to 128 starts, a third of ``length`` if that is
+   less). The ``core`` is what all strings that start in a block share of the parse. A block with a core of
    its own repeats nothing; most text ends here;
-2. if the block's whole reach occurs again, all its starts repeat;
-3. else it's at the edge of a repeat, and its starts are compared one by one.
-
-Each step counts 64-bit hashes under the core's 64-bit hash, with partial sums before any
-shuffle, so one passage in a third of all rows costs one row a task. The order of all
-suffixes, which the dictionary's and the parse's suffix arrays would give, isn't built:
-the rule asks only which starts agree for ``length`` bytes, and the order would bring a
-hot phrase's suffixes together in one place.
+2. if phrase and parse agree with another block's for all its strings, all its starts repeat. One block
+   stands for all that are so equal, so highly repetitive text comes down to its distinct phrases in
+   their distinct surroundings: the dictionary;
+3. what is left is at the edges of repeats. For each core the phrase ends are sorted from the core
+   backwards (the suffix array of the dictionary) and what follows the core forwards (that of the parse), each with the
+   lengths that neighbours agree for. Two starts with the same distance to the core are neighbours in
+   corpus order for ``length`` bytes if their phrase ends and their rests are, and all their
+   distances are told from the two arrays.
+
+Cores are counted with partial sums before any shuffle, so a passage in a third of all rows costs one
+row a task. A hot core, with more than ``MOST`` different blocks at edges, isn't sorted in one task:
+there each start is a group of its own, counted by hash with partial sums.
 
 Where no trigger comes within ``length`` bytes a start is a block of its own. Such stretches are
 mostly runs of a short period: what repeats inside one text is told there and then, and only one start
@@ -36,7 +41,9 @@ from pyspark.sql import types as T
 from .util import Scratch, typed
 
 GRAM = 16
-_BLOCKS = "doc_id long, fp int, first int, last int, core long, reach long"
+#: More blocks than these at edges of one core are compared start by start; so many are sorted at a time.
+MOST, SORTED = 4096, 20_000
+_BLOCKS = "doc_id long, fp int, first int, last int, lead int, core long, reach long"
 
 
 def _block(length: int) -> int:
@@ -100,8 +107,8 @@ def ranges(places: list[int]) -> Iterator[tuple[int, int]]:
             yield first, p
 
 
-def parse(data: bytes, length: int) -> Iterator[tuple[int, int, int | None, int | None]]:
-    """(first, last, core, reach) of each block. core is None where starts are known to repeat inside the text."""
+def parse(data: bytes, length: int) -> Iterator[tuple[int, int, int, int | None, int | None]]:
+    """(first, last, lead, core, reach) of each block; the core begins lead bytes after first. core is None where starts are known to repeat inside the text."""
     from xxhash import xxh3_64_intdigest as digest
 
     core_n, view = length - _block(length) + 1, memoryview(data)
@@ -110,16 +117,16 @@ def parse(data: bytes, length: int) -> Iterator[tuple[int, int, int | None, int
         if q < 0:
             alone.setdefault(_signed(digest(view[first : first + length])), []).append(first)
         else:
-            yield first, last, _signed(digest(view[q : q + core_n], 1)), _signed(digest(view[first : last + length], ((q - first) << 8) + q - last + 2))
+            yield first, last, q - first, _signed(digest(view[q : q + core_n], 1)), _signed(digest(view[first : last + length], ((q - first) << 8) + q - last + 2))
     for hashed, places in alone.items():
-        yield places[0], places[0], hashed, hashed
+        yield places[0], places[0], 0, hashed, hashed
     for first, last in ranges(sorted(p for places in alone.values() if len(places) > 1 for p in places)):
-        yield first, last, None, None
+        yield first, last, 0, None, None
 
 
 def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for b in batches:
         out: list[tuple] = []
         for doc, fp, text in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -131,23 +138,105 @@ def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
-_STARTS = "doc_id long, fp int, first int, core long, starts array<long>"
+_EDGES = "doc_id long, fp int, at int, low int, high int, core long, left binary, right binary"
+_SPANS = "doc_id long, fp int, start int, end int"
 
 
-def _starts(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash for each start in the blocks at edges."""
-    from xxhash import xxh3_64_intdigest as digest
-
-    names = [x.split()[0] for x in _STARTS.split(", ")]
+def _edges(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block at an edge: where its core is, the least and most bytes from a start to it, the bytes before the core and after it."""
+    core_n = length - _block(length) + 1
+    names = [x.split()[0] for x in _EDGES.split(", ")]
+    types = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary(), pa.binary()]
     for b in batches:
         out = []
         for doc, fp, edges, text in zip(*(b.column(i).to_pylist() for i in range(4))):
-            data = memoryview(text.encode("utf-8", "replace"))
+            data = text.encode("utf-8", "replace")
             for e in edges:
-                out.append((doc, fp, e["first"], e["core"], [_signed(digest(data[p : p + length])) for p in range(e["first"], e["last"] + 1)]))
+                at = e["first"] + e["lead"]
+                out.append((doc, fp, at, at - e["last"], e["lead"], e["core"], data[e["first"] : at], data[at + core_n : e["last"] + length]))
         if out:
-            cols = zip(zip(*out), [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+
+def _order(cores, strings: list[bytes], width: int):
+    """(order, agree): the order by core and bytes, and for how many bytes each agrees with the one before; -1 where the core changes."""
+    import numpy as np
+
+    table = np.full((len(strings), width), 255, np.uint8)  # no byte of UTF-8, so a string that has ended agrees with none
+    for i, x in enumerate(strings):
+        table[i, : len(x)] = np.frombuffer(x, np.uint8)
+    keys = np.concatenate([cores.astype(">i8").view(np.uint8).reshape(-1, 8), table], 1)
+    order = np.argsort(np.ascontiguousarray(keys).view(f"S{8 + width}").ravel(), kind="stable")
+    same = table[order[1:]] == table[order[:-1]]
+    agree = np.where(same.all(1), width, same.argmin(1))
+    agree[cores[order[1:]] != cores[order[:-1]]] = -1
+    return order, np.concatenate([[-1], agree])
+
+
+def repeated_in_order(cores, lefts: list[bytes], rights: list[bytes], low, high, width: int):
+    """A row for each block and a column for each distance 0..width to its core: whether the string there starts in another block too."""
+    import numpy as np
+
+    n = len(cores)
+    by_left, left_agree = _order(cores, [x[::-1] for x in lefts], width)
+    by_right, right_agree = _order(cores, rights, width)
+    flags, left, right = np.zeros((n, width + 1), bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for d in range(width + 1):
+        some = np.flatnonzero((low <= d) & (d <= high))
+        if len(some) < 2:
+            continue
+        # the stretches of the two arrays that agree for the d bytes before the core and the rest after it
+        left[by_left] = np.cumsum(left_agree < d)
+        right[by_right] = np.cumsum(right_agree < width - d)
+        _, which, count = np.unique(left[some] * (n + 1) + right[some], return_inverse=True, return_counts=True)
+        flags[some, d] = count[which] > 1
+    return flags
+
+
+def _sort(length: int, at_once: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the starts that repeat, of blocks that come in the order of their cores."""
+    import numpy as np
+
+    width = _block(length) - 1
+    names, types = [x.split()[0] for x in _SPANS.split(", ")], [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def told(rows: pa.Table) -> pa.RecordBatch:
+        doc, fp, at, low, high, cores = (rows.column(i).to_numpy() for i in range(6))
+        flags = repeated_in_order(cores, rows.column(6).to_pylist(), rows.column(7).to_pylist(), low, high, width)
+        edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, near), (_, beyond) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        cols = doc[row], fp[row], at[row] - beyond + 1, at[row] - near + length
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, types)], names)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= at_once:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            cores = rows.column(5).to_numpy()
+            cut = int(np.searchsorted(cores, cores[-1]))  # the last core may go on
+            if cut:
+                yield told(rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+    if held:
+        yield told(pa.Table.from_batches(held).combine_chunks())
+
+
+_STARTS = "doc_id long, fp int, core long, start int, start_hash long"
+
+
+def _each(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash for each start in the blocks of hot cores."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    width = _block(length) - 1
+    names, types = [x.split()[0] for x in _STARTS.split(", ")], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    for b in batches:
+        for i in range(0, b.num_rows, 500):
+            out = []
+            for doc, fp, at, low, high, core, left, right in zip(*(c.to_pylist() for c in b.slice(i, 500).columns)):
+                out += [(doc, fp, core, at - d, _signed(digest(left[len(left) - d :] + right[: width - d], d))) for d in range(low, high + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -176,26 +265,30 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     again = scratch.save(parsed.join(cores, "core", "left_semi"))
     known = scratch.save(parsed.where("core IS NULL").select("doc_id", "fp", F.col("first").alias("start"), (F.col("last") + length).alias("end")))
     scratch.drop(parsed, cores)
-    places = F.struct("doc_id", "fp", "first", "last")
+    places = F.struct("doc_id", "fp", "first", "last", "lead")
     whole = again.groupBy("core", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(places).alias("at")).where("n > 1")
     whole = scratch.save(whole.select("core", "reach", "at", F.lit(True).alias("whole")))
     told = scratch.save(again.join(whole.drop("at"), ["core", "reach"], "left"))
     scratch.drop(again)
     inside = told.where("whole").select("doc_id", "fp", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    edges = told.where("whole IS NULL").select("doc_id", "fp", "first", "last", "core")
+    edges = told.where("whole IS NULL").select("doc_id", "fp", "first", "last", "lead", "core")
     # an edge may repeat a start of blocks that repeat as a whole: one block stands for each of these
     sides = scratch.save(edges.select("core").distinct())
     stand = whole.join(sides, "core").select("at.*", "core")
-    edges = scratch.save(edges.unionByName(stand).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("first", "last", "core")).alias("edges")))
-    tried = scratch.save(edges.join(texts.select("doc_id", "fp", "text"), ["doc_id", "fp"]).select("doc_id", "fp", "edges", "text").mapInArrow(partial(_starts, length), _STARTS))
+    edges = scratch.save(edges.unionByName(stand).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("first", "last", "lead", "core")).alias("edges")))
+    rows = edges.join(texts.select("doc_id", "fp", "text"), ["doc_id", "fp"]).select("doc_id", "fp", "edges", "text")
+    tried = scratch.save(rows.mapInArrow(partial(_edges, length), _EDGES))
     scratch.drop(edges, sides, whole)
-    each = tried.select("doc_id", "fp", "core", "first", F.posexplode("starts").alias("i", "start_hash"))
-    met = scratch.save(each.groupBy("core", "start_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "start_hash"))
-    hits = each.join(met, ["core", "start_hash"], "left_semi").select("doc_id", "fp", (F.col("first") + F.col("i")).alias("start"))
-    single = hits.select("doc_id", "fp", "start", (F.col("start") + length).cast("int").alias("end"))
-    spans = inside.unionByName(single).unionByName(known).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    sizes = scratch.save(tried.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    few = tried.join(sizes.where(F.col("n") <= MOST).select("core"), "core", "left_semi").select(*tried.columns)
+    ordered = few.repartition("core").sortWithinPartitions("core").mapInArrow(partial(_sort, length, SORTED), _SPANS)
+    hot = tried.join(sizes.where(F.col("n") > MOST).select("core"), "core", "left_semi").select(*tried.columns)
+    each = scratch.save(hot.mapInArrow(partial(_each, length), _STARTS))
+    met = each.groupBy("core", "start_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "start_hash")
+    single = each.join(met, ["core", "start_hash"], "left_semi").select("doc_id", "fp", "start", (F.col("start") + length).cast("int").alias("end"))
+    spans = inside.unionByName(ordered).unionByName(single).unionByName(known).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = scratch.save(spans)
-    scratch.drop(told, tried, met, known)
+    scratch.drop(told, tried, sizes, each, known)
     return spans
 
 

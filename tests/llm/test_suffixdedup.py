@@ -98,3 +98,37 @@ def test_any_column_names(spark):
     assert out.schema == docs.schema and {(x.doc_id, x.text, x["a.b"]) for x in out.collect()} == {(1, "", 3), (2, "own text", 6)}
     assert suffixdedup.drop_repeats(docs.drop("text")).columns == docs.drop("text").columns
     assert suffixdedup.drop_repeats(docs.drop("doc_id")).count() == 2
+
+
+@pytest.mark.parametrize("most, at_once", [(0, 20_000), (3, 20_000), (4096, 5)])
+def test_hot_cores_and_small_portions(spark, monkeypatch, most, at_once):
+    """Start by start, or sorted, or some of each: the same spans."""
+    monkeypatch.setattr(suffixdedup, "MOST", most)
+    monkeypatch.setattr(suffixdedup, "SORTED", at_once)
+    texts = corpus(rng(77), 240, "abcdefgh é")
+    make = lambda r, n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    r = rng(78)
+    core = make(r, 225)  # a passage shorter than the length in many surroundings, some of which agree
+    texts += [make(r, 40)[: r.randrange(40)] + x[: r.randrange(1, 60)][::-1] + core + y[: r.randrange(60)] + make(r, 40) for x, y in [(make(rng(79 + i % 3), 60), make(rng(89 + i % 4), 60)) for i in range(40)]]
+    rows = suffixdedup.cut_repeats(frame(spark, texts), 240).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows} == dict(enumerate(plain(texts, 240)))
+
+
+def test_orders_against_plain_comparison():
+    import numpy as np
+
+    r = rng(16)
+    for _ in range(60):
+        width, n = r.randrange(1, 9), r.randrange(1, 30)
+        cores = np.array([r.randrange(-2, 2) for _ in range(n)], np.int64)
+        high = np.array([r.randrange(width + 1) for _ in range(n)])
+        low = np.array([r.randrange(h + 1) for h in high])
+        byte = lambda k: bytes(r.choice(b"\0ab") for _ in range(k))
+        lefts, rights = [byte(h) for h in high], [byte(width - x) for x in low]
+        got = suffixdedup.repeated_in_order(cores, lefts, rights, low, high, width)
+        all_ = [(c, d, left[len(left) - d :], right[: width - d]) for c, lo, hi, left, right in zip(cores.tolist(), low, high, lefts, rights) for d in range(lo, hi + 1)]
+        seen = Counter(all_)
+        for i in range(n):
+            for d in range(width + 1):
+                there = low[i] <= d <= high[i]
+                assert got[i, d] == (there and seen[cores[i].item(), d, lefts[i][len(lefts[i]) - d :], rights[i][: width - d]] > 1)
