@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import Scratch, typed
+from .util import Scratch, beside, column, typed, unpacked
 
 WINDOW, EQUAL = 12, 10
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11))
@@ -100,10 +100,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose own text holds no item, with all their columns."""
+    """The rows whose own text holds no item, with all their columns.
+
+    Null and empty texts hold nothing; ids may repeat or be null; other columns may have any names.
+    An empty table gives an empty result, an empty benchmark leaves all rows.
+    """
     scratch = Scratch(docs.sparkSession)
     found = overlaps(scratch, _texts(typed(docs, doc_id="long", text="string")), benchmark).select("_id", "_fp").distinct()
-    by = {c.lower(): c for c in docs.columns}
-    key = F.coalesce(F.col(f"`{by['doc_id']}`").cast("long"), F.lit(-(2**63)))
-    fp = F.crc32(F.coalesce(F.col(f"`{by['text']}`").cast("string"), F.lit("")))
-    return docs.join(found, (key == found["_id"]) & (fp == found["_fp"]), "left_anti")
+    key = F.coalesce(column(docs, "doc_id", "long"), F.lit(-(2**63)))
+    fp = F.crc32(F.coalesce(column(docs, "text", "string"), F.lit("")))
+    return unpacked(beside(docs, _id=key, _fp=fp).join(found, ["_id", "_fp"], "left_anti"), docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .util import Scratch, fingerprint, gapless, typed
+from .util import Scratch, beside, column, fingerprint, gapless, typed, unpacked
 
 K, MATCHES = 64, 33
 #: Longs of a parity sketch.
@@ -277,31 +277,30 @@ def _own_ids(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame | None, DataF
 
 
 def _with_own(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
-    """``docs`` and each row's _own, see _own_ids()."""
-    by = {c.lower(): f"`{c}`" for c in docs.columns}
-    id_ = F.col(by["doc_id"]).cast("long")
+    """Each row of ``docs`` (see beside()) with its text and own, see _own_ids()."""
+    id_, text = column(docs, "doc_id", "long"), column(docs, "text", "string")
     if odd is None:
-        return docs.withColumn("_own", id_)
-    h1, h2 = fingerprint(by["text"])
-    left = docs.select("*", id_.alias("_own_id"), h1.alias("_own_h1"), h2.alias("_own_h2"))
-    right = odd.select(F.col("id").alias("_odd_id"), F.col("h1").alias("_odd_h1"), F.col("h2").alias("_odd_h2"), F.col("own").alias("_odd_own"))
-    same = [F.col(f"_own_{k}").eqNullSafe(F.col(f"_odd_{k}")) for k in ("id", "h1", "h2")]
-    return left.join(right, same, "left").select(*[f"`{c}`" for c in docs.columns], F.coalesce("_odd_own", "_own_id").alias("_own"))
+        return beside(docs, own=id_, text=text)
+    h1, h2 = fingerprint(text)
+    left, right = beside(docs, id=id_, text=text, h1=h1, h2=h2).alias("l"), odd.alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ("id", "h1", "h2")]
+    return left.join(right, same, "left").select("l.row", F.coalesce("r.own", "l.id").alias("own"), "l.text")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, with all its columns.
 
     Here each text is a document of its own: ids may be null or name several texts, and of
-    rows with equal ids and texts one stays.
+    rows with equal ids and texts one stays. Null texts, texts without words and rows of a table
+    without a text are linked with nothing. Other columns may have any names. An empty table gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession)
     odd, many = _own_ids(scratch, docs)
     rows = _with_own(docs, odd)
-    texts = rows.select(F.col("_own").alias("doc_id"), F.col("`" + next(c for c in docs.columns if c.lower() == "text") + "`").cast("string").alias("text"))
-    kept = near_duplicates(scratch.save(texts) if odd is not None else texts, **options).where("kept").select(F.col("doc_id").alias("_own")).distinct()
-    left = rows.join(kept, "_own", "left_semi")
+    texts = rows.select(F.col("own").alias("doc_id"), "text")
+    kept = near_duplicates(scratch.save(texts) if odd is not None else texts, **options).where("kept").select(F.col("doc_id").alias("own")).distinct()
+    left = rows.join(kept, "own", "left_semi")
     if many is not None:
-        twice = many.withColumnRenamed("own", "_own")
-        left = left.join(twice, "_own", "left_anti").unionByName(left.join(twice, "_own", "left_semi").dropDuplicates(["_own"]))
-    return left.select(*[f"`{c}`" for c in docs.columns])
+        left = left.join(many, "own", "left_anti").unionByName(left.join(many, "own", "left_semi").dropDuplicates(["own"]))
+    return unpacked(left, docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Scratch, fingerprint, typed
+from .util import Scratch, beside, column, fingerprint, typed, unpacked
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -93,15 +93,15 @@ def host_verdicts(measured: DataFrame, max_rate: float = 0.5) -> DataFrame:
     return hosts.withColumn("rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_rate)
 
 
-def _host(name: str):
-    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("-"))
+def _host(name):
+    return F.coalesce(F.concat(F.lit("="), name), F.lit("-"))
 
 
 def _judged(docs: DataFrame, host: str, max_rate: float, *more) -> DataFrame:
     """doc_id, host, the counts, the rules, host_rejected, kept and ``more``, columns of longs: one row for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     rows = typed(docs, doc_id="long", **{host: "string"}, text="string")
-    rows = rows.select("doc_id", _host(host).alias("host"), "text", *more)
+    rows = rows.select("doc_id", _host(F.col(host)).alias("host"), "text", *more)
     measured = with_rules(scratch.save(rows.mapInArrow(_measure, ", ".join([_OUT, *(f"{c} long" for c in rows.columns[3:])]))))
     verdicts = scratch.save(host_verdicts(measured, max_rate).select("host", F.col("rejected").alias("host_rejected")))
     return measured.join(verdicts, "host", "left").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
@@ -121,12 +121,13 @@ def reject_low_quality(docs: DataFrame, host: str = "source", max_rate: float =
     """The rows that pass, with all their columns.
 
     Each row is judged by its own text and host, whatever its id: ids may repeat or be null.
+    Null and empty texts fail as short, so a table without a text has no row that passes. Repeated
+    rows pass or fail together; other columns may have any names. An empty table gives an empty result.
     """
-    by = {c.lower(): f"`{c}`" for c in docs.columns}
     judged = _judged(docs, host, max_rate, *fingerprint("text"))
     # text and host tell the verdict; the id only deals copies of a text over the tasks
-    passed = judged.where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_pass_id"), F.col("host").alias("_pass_host"), F.col("h1").alias("_pass_h1"), F.col("h2").alias("_pass_h2")).distinct()
-    h1, h2 = fingerprint(by["text"])
-    own = docs.select("*", F.coalesce(F.col(by["doc_id"]).cast("long"), F.lit(0)).alias("_own_id"), _host(by[host.lower()]).alias("_own_host") if host.lower() in by else F.lit("-").alias("_own_host"), h1.alias("_own_h1"), h2.alias("_own_h2"))
-    same = [F.col(f"_own_{k}") == F.col(f"_pass_{k}") for k in ("id", "host", "h1", "h2")]
-    return own.join(passed, same, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    keys = ["id", "host", "h1", "h2"]
+    passed = judged.where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("id"), "host", "h1", "h2").distinct()
+    h1, h2 = fingerprint(column(docs, "text", "string"))
+    own = beside(docs, id=F.coalesce(column(docs, "doc_id", "long"), F.lit(0)), host=_host(column(docs, host, "string")), h1=h1, h2=h2)
+    return unpacked(own.join(passed, keys, "left_semi"), docs.columns)

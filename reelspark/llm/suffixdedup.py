@@ -34,11 +34,11 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import Scratch, typed
+from .util import Scratch, beside, column, typed
 
 GRAM = 16
 #: More blocks than these at edges of one core are compared start by start; so many are sorted at a time.
@@ -314,10 +314,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
-def _named(doc_id: str | None, text: str) -> list:
-    """What names a text: _id and fp. A missing id counts as null."""
-    fp = F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))) - F.lit(2**31)
-    return [F.coalesce((F.lit(None) if doc_id is None else F.col(doc_id)).cast("long"), F.lit(-(2**63))).alias("_id"), fp.cast("int").alias("fp")]
+def _named(doc_id: Column, text: Column) -> list[Column]:
+    """What names a text: _id and fp."""
+    fp = F.crc32(F.coalesce(text, F.lit(""))) - F.lit(2**31)
+    return [F.coalesce(doc_id, F.lit(-(2**63))).alias("_id"), fp.cast("int").alias("fp")]
 
 
 def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -328,7 +328,7 @@ def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     row is an occurrence of its own. Other columns are ignored. text is
     what is left, without the characters that a cut splits; kept_sha256 is of the bytes. An empty table gives an empty result.
     """
-    docs = typed(docs, doc_id="long", text="string").select("doc_id", "text", *_named("doc_id", "text"))
+    docs = typed(docs, doc_id="long", text="string").select("doc_id", "text", *_named(F.col("doc_id"), F.col("text")))
     spans = repeated_spans(docs.select(F.col("_id").alias("doc_id"), "fp", "text"), length)
     joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), ["_id", "fp"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
@@ -356,15 +356,12 @@ def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     A character that a cut splits goes. Other columns may have any names. A table without
     a text is returned as it is; an empty one gives an empty result.
     """
-    by = {c.lower(): c for c in docs.columns}
-    if "text" not in by:
+    if "text" not in {c.lower() for c in docs.columns}:
         return docs
-    spans = repeated_spans(typed(docs, doc_id="long", text="string").select(*_named("doc_id", "text"), "text").withColumnRenamed("_id", "doc_id"), length)
-    # what the join needs stands beside the row, in a struct of its own, so that no name can clash
-    row, own = F.struct(*[f"`{c}`" for c in docs.columns]), F.struct(*_named(f"`{by['doc_id']}`" if "doc_id" in by else None, f"`{by['text']}`"))
-    left = docs.select(row.alias("row"), own.alias("own")).alias("l")
-    same = (F.col("l.own._id") == F.col("r.doc_id")) & (F.col("l.own.fp") == F.col("r.fp"))
-    joined = left.join(spans.alias("r"), same, "left").select(*[F.col("l.row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("r.spans"))
+    spans = repeated_spans(typed(docs, doc_id="long", text="string").select(*_named(F.col("doc_id"), F.col("text")), "text").withColumnRenamed("_id", "doc_id"), length)
+    own_id, own_fp = _named(column(docs, "doc_id", "long"), column(docs, "text", "string"))
+    left, right = beside(docs, doc_id=own_id, fp=own_fp), spans
+    joined = left.join(right, ["doc_id", "fp"], "left").select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], "spans")
     at = [c.lower() for c in docs.columns]
     cut = partial(_retext, at.index("text"), at.index("n_chars") if "n_chars" in at else None)
     plain = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema)])

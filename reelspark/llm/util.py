@@ -31,14 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables, written to the shared folder so that any executor can be lost afterwards.
 
-    A table that no later step reads can be dropped at once. The rest stays until the
-    folder is cleaned, as a returned DataFrame may still read it.
+    A table that no later step reads can be dropped at once. The rest stays while the driver
+    runs, as a returned DataFrame may still read it, and goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.top = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.top)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.top}/{uuid.uuid4().hex}"
@@ -60,9 +65,25 @@ def typed(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
-def fingerprint(text: str) -> list[Column]:
+def column(df: DataFrame, name: str, kind: str) -> Column:
+    """The column of this name in any case, as a type; null if there is none."""
+    have = {c.lower(): c for c in df.columns}
+    return (F.col(f"`{have[name.lower()]}`") if name.lower() in have else F.lit(None)).cast(kind)
+
+
+def beside(df: DataFrame, **own: Column) -> DataFrame:
+    """Each row as a struct ``row`` beside columns of one's own, so that no name can clash."""
+    return df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), *[v.alias(k) for k, v in own.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that beside() packed."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def fingerprint(text: str | Column) -> list[Column]:
     """h1 and h2, two longs that together stand for a text; null differs from the empty text."""
-    value = F.col(text).cast("string")
+    value = (F.col(text) if isinstance(text, str) else text).cast("string")
     return [F.xxhash64(value).alias("h1"), F.coalesce(F.crc32(value), F.lit(-1)).cast("long").alias("h2")]
 
 

@@ -1,4 +1,5 @@
 import corpus_pipeline
+import pytest
 
 from reelspark.llm import minhash
 from tests.llm.fixtures import frame, rng, words
@@ -54,3 +55,34 @@ def test_rows_without_an_id_of_their_own(spark, tmp_path):
                 assert len(got) == len(set(got)) == len(set(good)) - 2, name
                 assert set(good) - {t[1], t[8], t[1] + " more", t[8] + " more"} < set(got), name
                 assert len({t[1], t[1] + " more"} & set(got)) == len({t[8], t[8] + " more"} & set(got)) == 1
+
+
+@pytest.mark.parametrize("columns", [["doc_id", "text", "_own", "own", "id", "host"], ["text", "row", "h1", "_id", "_fp"], ["doc_id", "TEXT", "source", "n_chars", "spans", "rep"]])
+def test_stages_with_odd_columns_and_without_rows(spark, tmp_path, columns):
+    r = rng(17)
+    good = [words(r, 120, 10**5) for _ in range(4)]
+    rows = [tuple(i if c == "doc_id" else t if c.lower() == "text" else "s" if c == "source" else 9 for c in columns) for i, t in enumerate([*good, None, ""])]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'string' if c.lower() in ('text', 'source') else 'long'}" for c in columns))
+    spark.createDataFrame([(1, words(r, 30, 10**5))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some, texts in ((docs, sorted(good)), (docs.limit(0), [])):
+        kept = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == columns and sorted(x[columns.index("TEXT" if "TEXT" in columns else "text")] for x in kept.collect()) == texts, name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
+        assert (pieces.count() > 0) == bool(texts)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    frame(spark, ["x"]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_is_named_by_the_session(spark):
+    from reelspark.llm.util import Scratch, shared_dir
+
+    scratch = Scratch(spark)
+    saved = scratch.save(spark.range(3))
+    assert scratch.top.startswith(shared_dir(spark)) and saved.count() == 3
+    scratch.drop(saved)
