@@ -264,3 +264,65 @@ def test_frames(spark):
     assert all(r.png[:4] == b"\x89PNG" for r in pixels.as_png(pixels.to_grey(df)).collect())
     bad = df.unionByName(spark.createDataFrame([(1, 6, 4, 5, 3, b"x")], frames.OUT))
     assert {r.file_id: (r.frames_written, r.first_refused) for r in pixels.written(bad, 4, 6).collect()} == {1: (2, 6), 2: (3, None)}
+
+
+def y4m(path, rng, n, h, w, kind="420", extra=""):
+    """A file of random frames, and its planes."""
+    ch, cw = {"420": (2, 2), "444": (1, 1), "422": (1, 2), "mono": (0, 0)}[kind]
+    shape = (-(-h // ch), -(-w // cw)) if ch else (0, 0)
+    planes = [(rng.integers(0, 256, (h, w), dtype=np.uint8), rng.integers(0, 256, shape, dtype=np.uint8), rng.integers(0, 256, shape, dtype=np.uint8)) for _ in range(n)]
+    with open(path, "wb") as f:
+        f.write(f"YUV4MPEG2 W{w} H{h} F30000:1001 Ip A1:1 C{kind}{extra}\n".encode())
+        for p in planes:
+            f.write(b"FRAME\n" + b"".join(x.tobytes() for x in p))
+    return planes, (ch, cw)
+
+
+@pytest.mark.parametrize("kind, extra", [("420", ""), ("444", " XCOLORRANGE=FULL"), ("422", ""), ("mono", "")])
+def test_raw_pictures_against_plain_loops(tmp_path, kind, extra):
+    from reelspark.frames import raw
+
+    planes, (ch, cw) = y4m(tmp_path / "v", np.random.default_rng(6), 2, 5, 7, kind, extra)
+    own = raw.layout(str(tmp_path / "v"))
+    assert (own.width, own.height, own.count, round(own.fps, 3)) == (7, 5, 2, 29.97)
+    y, u, v = planes[1]
+    got = raw.picture(b"".join(x.tobytes() for x in planes[1]), own, False)
+    for i in range(5):
+        for j in range(7):
+            a, b, c = float(y[i, j]), *((float(p[i // ch, j // cw]) - 128 if ch else 0.0) for p in (u, v))
+            if not extra:
+                a, b, c = (a - 16) * 255 / 219, b * 255 / 224, c * 255 / 224
+            r, bl = a + 1.402 * c, a + 1.772 * b
+            g = (a - 0.299 * r - 0.114 * bl) / 0.587
+            assert all(abs(int(got[i, j, k]) - min(255, max(0, x))) <= 0.5 + 1e-6 for k, x in enumerate((bl, g, r)))
+    assert np.array_equal(raw.picture(planes[0][0].tobytes() + planes[0][1].tobytes() + planes[0][2].tobytes(), own, True)[:, :, 0], planes[0][0])
+
+
+def test_raw_video_source_and_picture_sink(spark, tmp_path):
+    from reelspark.frames import raw
+
+    rng = np.random.default_rng(7)
+    planes = [y4m(tmp_path / f"{i}.y4m", rng, n, 4, 6)[0] for i, n in enumerate((9, 5))]
+    paths = json.dumps([f"{tmp_path}/{i}.y4m" for i in range(2)])
+    for s in (raw.RawVideo, raw.Pictures):
+        spark.dataSource.register(s)
+    load = lambda **o: spark.read.format("raw_video").options(paths=paths, **o).load()
+    every = {(r.file_id, r.frame_index): bytes(r.data) for r in load(grey="true").collect()}
+    assert every == {(i, k): p[0].tobytes() for i, own in enumerate(planes) for k, p in enumerate(own)}
+    part = load(grey="true", start="1", end="8", step="3", split="2")
+    assert part.rdd.getNumPartitions() == 3
+    assert {(r.file_id, r.frame_index): bytes(r.data) for r in part.collect()} == {k: v for k, v in every.items() if k[1] in (1, 4, 7)}
+    assert sorted((r.file_id, r.frame_index) for r in load(targets="[4, 0, 4]").collect()) == [(0, 0), (0, 4), (1, 0), (1, 4)]
+    for bad, says in (({"targets": "[5]"}, "out of range"), ({"step": "0"}, "step must be positive")):
+        with pytest.raises(Exception, match=says):
+            load(**bad).collect()
+    (tmp_path / "cut.y4m").write_bytes((tmp_path / "0.y4m").read_bytes()[:-3])
+    with pytest.raises(Exception, match="ends inside a frame"):
+        spark.read.format("raw_video").option("paths", json.dumps([f"{tmp_path}/cut.y4m"])).load().collect()
+    # the first picture of each file, as a file
+    pixels.first_frames(load()).write.format("pictures").option("path", f"{tmp_path}/out").mode("append").save()
+    assert sorted(os.listdir(tmp_path / "out")) == ["0", "1"] and os.listdir(tmp_path / "out" / "0") == ["0.png"]
+    shown = raw.picture(b"".join(x.tobytes() for x in planes[0][0]), raw.layout(f"{tmp_path}/0.y4m"), False)
+    assert (tmp_path / "out" / "0" / "0.png").read_bytes() == pixels.png(shown)
+    with pytest.raises(Exception, match="doesn't fit"):
+        load().write.format("pictures").options(path=f"{tmp_path}/bad", height="5").mode("append").save()
