@@ -58,4 +58,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.QUALITY, "op6_decontamination": sql.DECONTAMINATION, "op8_url_filters": sql.URL_FILTERS}
+    return {
+        "op1_quality_rules": sql.QUALITY,
+        "op4_html_extraction": sql.MAIN_TEXT,
+        "op6_decontamination": sql.DECONTAMINATION,
+        "op8_url_filters": sql.URL_FILTERS,
+        "op9_minhash_near_dedup": sql.NEAR_DUPLICATES,
+    }

@@ -89,3 +89,27 @@ hits AS (
 SELECT p.page_id, p.url, p.host, epoch(p.fetched)::BIGINT AS fetched, coalesce(action = 'block', false) AS blocked, kind AS rule_kind, value AS rule_value, action AS rule_action, epoch(since)::BIGINT AS rule_since
 FROM parsed p LEFT JOIN (SELECT * FROM hits WHERE r = 1) USING (page_id)
 """
+
+#: Every pair of sets that share a shingle, then all that can be reached over links.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN list_distinct(w) ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets) GROUP BY s),
+shingles AS (SELECT rep, n, unnest(s) AS h FROM classes WHERE n > 0),
+common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM shingles a JOIN shingles b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= 80 * (na + nb - shared)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT rep, rep FROM classes UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+least_of AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE l.component END AS component_id, d.doc_id = CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE l.component END AS kept
+FROM sets d JOIN classes c ON c.s = list_sort(d.s) JOIN least_of l USING (rep)
+"""
+
+#: For pages of one layout, whose article is one element with paragraphs and a heading, by cutting it up.
+MAIN_TEXT = r"""
+WITH cut AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') AS parts FROM pages),
+plain AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS parts FROM cut),
+decoded AS (SELECT page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) AS parts FROM plain),
+texts AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '[[:space:]]+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM decoded)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM texts
+"""
