@@ -214,6 +214,9 @@ SELECT run_id, block, us / 1e6 AS out_time, fps, speed, CASE WHEN d > 0 THEN us
     "grey_raw": _FRAMES + f"SELECT file_id, frame_index, height, width, 1 AS channels, upper(array_to_string(list_transform(range(6), lambda k: lpad(to_hex((114 * {_BYTE.format('6 * k')} + 587 * {_BYTE.format('6 * k + 2')} + 299 * {_BYTE.format('6 * k + 4')} + 500) // 1000), 2, '0')), '')) AS data FROM fit",
     "first_frames": _FRAMES + "SELECT file_id, min(frame_index) AS frame_index, upper(min_by(hexed, frame_index)) AS data FROM fit GROUP BY file_id",
     "frame_batches": _FRAMES + ", n AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY frame_index) - 1) // 16 AS batch FROM fit) SELECT file_id, batch, count(*) AS frames, string_agg(frame_index::VARCHAR, ',' ORDER BY frame_index) AS indices, upper(string_agg(hexed, '' ORDER BY frame_index)) AS data FROM n GROUP BY ALL",
+    "rotate_raw": f"""WITH {FACTS}, f AS (SELECT file_id, rotation_degrees // 90 AS q, substr(md5(file_id::VARCHAR), 1, 12) AS d FROM facts WHERE rotation_degrees % 90 = 0)
+SELECT file_id, 0::BIGINT AS frame_index, CASE WHEN q % 2 = 1 THEN 4 ELSE 3 END AS height, CASE WHEN q % 2 = 1 THEN 3 ELSE 4 END AS width, 1 AS channels,
+ hex(array_to_string(list_transform(range(12), lambda k: d[(CASE q WHEN 0 THEN k WHEN 1 THEN (2 - k % 3) * 4 + k // 3 WHEN 2 THEN 11 - k ELSE (k % 3) * 4 + 3 - k // 3 END + 1)::INT]), '')) AS data FROM f""",
     "writer_counts": _FRAMES + ", b AS (SELECT file_id, min(frame_index) FILTER (length(hexed) <> 36) AS first_refused FROM fr GROUP BY file_id) SELECT fr.file_id, count(*) FILTER (first_refused IS NULL OR frame_index < first_refused) AS frames_written, max(first_refused) AS first_refused FROM fr JOIN b USING (file_id) GROUP BY fr.file_id",
     "zipped_sequences": f"WITH {SEG}, p AS ({I.ZIPPED}), f AS (SELECT sequence_id, ordinal, frame_count FROM seg WHERE sequence_id % 3 > 0 OR ordinal % 5 > 0), n AS (SELECT sequence_id, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT sequence_id, count(*) AS m FROM f GROUP BY ALL), e AS (SELECT sequence_id, CASE WHEN n <> coalesce(m, 0) THEN coalesce(m, 0) || ' facts for ' || n || ' paths' END AS error FROM n LEFT JOIN m USING (sequence_id)) SELECT p.sequence_id, p.ordinal, path, error, CASE WHEN error IS NULL THEN frame_count END AS frame_count FROM p JOIN e USING (sequence_id) LEFT JOIN f ON f.sequence_id = p.sequence_id AND f.ordinal = p.ordinal",
     "encoder_listed": f"WITH ln AS ({I.ENCODER_LINES}), n AS (SELECT unnest(['av1', 'av1_nvenc', 'libsvtav1', 'h264_nvenc', 'encoder3']) AS name) SELECT name, EXISTS (SELECT 1 FROM ln WHERE regexp_split_to_array(trim(line), '\\s+')[2] = name) AS listed FROM n",
