@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .. import policy
 from ..sources import driver_tables as D
 from . import inputs as I
 
@@ -27,17 +28,23 @@ gg AS (SELECT file_id, gop, sum(size) AS b, count(*) AS c FROM g GROUP BY ALL),
 gop AS (SELECT file_id, max(b)::BIGINT AS max_gop_bytes, max(c)::BIGINT AS max_keyframe_interval_frames FROM gg GROUP BY file_id)"""
 _LEAD = "lead_t AS (SELECT file_id, count(*) FILTER (time < (SELECT min(time) FROM t b WHERE b.file_id = t.file_id AND is_keyframe)) AS timed FROM t GROUP BY file_id)"
 
+
+
+def _in(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
 _LIES = "CASE WHEN frame_count <= 0 OR fps <= 0 THEN false ELSE (declared_frame_count > 0 AND abs(declared_frame_count - frame_count) / frame_count > 0.01e0) OR (declared_fps > 0 AND abs(declared_fps - fps) / fps > 0.05e0) END"
 _TRUNC = "CASE WHEN declared_duration > 0 THEN duration / declared_duration < 0.95e0 ELSE false END"
 _RULES = [
-    ("unsupported_container", "container NOT IN ('mov,mp4,m4a,3gp,3g2,mj2', 'matroska,webm')", "SH"),
-    ("unsupported_codec", "codec_name NOT IN ('h264', 'hevc', 'av1', 'vp9', 'vp8')", "SHR"),
+    ("unsupported_container", f"container NOT IN {_in(policy.BROWSER_CONTAINERS)}", "SH"),
+    ("unsupported_codec", f"codec_name NOT IN {_in(policy.BROWSER_CODECS)}", "SHR"),
     ("variable_frame_rate", "timing_source IN ('presentation', 'decode') AND NOT constant_frame_rate", "SHRAQ"),
     ("rotated", "rotation_degrees <> 0", "SHRAQ"),
     ("non_square_pixels", "NOT square_pixels", "SHRAQ"),
     ("non_zero_start_time", "fps > 0 AND abs(start_time) > 0.5e0 / CASE WHEN fps > 0 THEN fps END", "SHR"),
     ("interlaced", "NOT progressive", "SRAQ"),
-    ("unverified_frame_correspondence", "codec_name NOT IN ('h264', 'hevc', 'av1', 'vp9', 'vp8')", "AQ"),
+    ("unverified_frame_correspondence", f"codec_name NOT IN {_in(policy.FRAME_EXACT_CODECS)}", "AQ"),
     ("client_dependent_decode", "codec_name = 'hevc' OR pixel_format NOT IN ('yuv420p', 'yuvj420p')", "SR"),
     ("moov_not_at_start", "moov_at_start IS NOT NULL AND NOT moov_at_start", "S"),
     ("large_seek_payload", "max_gop_bytes > 524288", "SR"),
@@ -61,7 +68,7 @@ VERDICT = (
 d AS (SELECT *, CASE WHEN hard THEN 'required' WHEN s_reasons <> '' THEN 'recommended' END AS stream_transcode, CASE WHEN a_reasons <> '' THEN 'required' END AS analysis_transcode FROM v),
 m AS (SELECT *, CASE WHEN a_reencode THEN 'reencode_av1' WHEN contains(a_reasons, 'unreliable_timing_metadata') THEN 'remux_timebase' END AS a_least,
       CASE WHEN s_reencode THEN 'reencode_av1' WHEN contains(s_reasons, 'unsupported_container') THEN 'remux_container' WHEN contains(s_reasons, 'moov_not_at_start') THEN 'remux_faststart' END AS s_least,
-      codec_name NOT IN ('h264', 'hevc', 'av1', 'vp9', 'mpeg4', 'mjpeg', 'mpeg2video', 'mpeg1video') OR discard_flagged_packets > 0 OR leading_non_keyframe_frames > 0 AS stuck FROM d),
+      codec_name NOT IN {_in(policy.MP4_COPY_CODECS)} OR discard_flagged_packets > 0 OR leading_non_keyframe_frames > 0 AS stuck FROM d),
 o AS (SELECT *, CASE WHEN a_least IS NOT NULL AND stuck THEN 'reencode_av1' ELSE a_least END AS a_op, CASE WHEN s_least IS NOT NULL AND stuck THEN 'reencode_av1' ELSE s_least END AS s_op FROM m)"""
 )
 
@@ -188,7 +195,7 @@ SELECT l_id AS left_file_id, file_id AS right_file_id, CASE WHEN l_src NOT IN ('
     "duplicate_groups": "SELECT conv_id * 1000 + turn AS id, md5(role) AS digest, f AS first_id, n AS copies FROM (SELECT *, min(conv_id * 1000 + turn) OVER (PARTITION BY role) AS f, count(*) OVER (PARTITION BY role) AS n FROM conversations) WHERE n > 1 AND conv_id * 1000 + turn <> f",
     "parse_fraction": f"WITH x AS ({I.FRACTIONS}) SELECT id, CASE WHEN v IN ('', 'N/A') OR string_split(v, '/')[1] IN ('', 'N/A') THEN 0e0 WHEN NOT contains(v, '/') THEN v::DOUBLE WHEN string_split(v, '/')[2]::DOUBLE = 0 THEN 0e0 ELSE string_split(v, '/')[1]::DOUBLE / string_split(v, '/')[2]::DOUBLE END AS value FROM x",
     "elementary_fps": f"WITH x AS ({I.RATES}), y AS (SELECT *, num::DOUBLE / den / CASE WHEN container = 'h264' AND codec = 'h264' THEN 2 WHEN container = 'hevc' AND codec = 'hevc' THEN 1 END AS f FROM x) SELECT id, CASE WHEN f > 0 AND f <= 1000 THEN f ELSE 0e0 END AS fps FROM y",
-    "timing_source": f"WITH x AS ({I.SOURCES}), y AS (SELECT *, CASE WHEN src = 'none' THEN 'absent' WHEN container IN ('obu', 'mpegvideo', 'yuv4mpegpipe', 'h263', 'jpeg_pipe') THEN 'synthesized' WHEN src = 'pts' THEN 'presentation' ELSE 'decode' END AS s FROM x) SELECT id, s AS timing_source, s IN ('presentation', 'decode') AS supplied FROM y",
+    "timing_source": f"WITH x AS ({I.SOURCES}), y AS (SELECT *, CASE WHEN src = 'none' THEN 'absent' WHEN container IN {_in(policy.INVENTED_TIMING_CONTAINERS)} THEN 'synthesized' WHEN src = 'pts' THEN 'presentation' ELSE 'decode' END AS s FROM x) SELECT id, s AS timing_source, s IN ('presentation', 'decode') AS supplied FROM y",
     "rotation_normalize": f"WITH x AS ({I.ANGLES}) SELECT id, ((round_even(angle, 0)::INT % 360) + 360) % 360 AS rotation_degrees FROM x",
     "displayed_dims": f"WITH {FACTS} SELECT file_id, CASE WHEN rotation_degrees % 180 = 90 THEN height ELSE width END AS width, CASE WHEN rotation_degrees % 180 = 90 THEN width ELSE height END AS height FROM facts",
     "thumbnail_dims": "WITH d AS (SELECT p_partkey AS id, (p_size * 37 + 1)::INT AS w, floor(p_retailprice)::INT AS h FROM part), l AS (SELECT *, greatest(w, h) AS m FROM d) SELECT id, (CASE WHEN m <= 320 THEN w ELSE greatest(1, round_even(w * (320e0 / m), 0)::INT) END)::INT AS width, (CASE WHEN m <= 320 THEN h ELSE greatest(1, round_even(h * (320e0 / m), 0)::INT) END)::INT AS height FROM l",
@@ -198,7 +205,7 @@ SELECT l_id AS left_file_id, file_id AS right_file_id, CASE WHEN l_src NOT IN ('
     "quality_map": f"WITH x AS ({I.QUALITY}) SELECT id, least(63, greatest(0, crf + 7)) AS av1_crf, {_PRESET} AS av1_preset FROM x",
     "quality_errors": f"WITH x AS ({I.QUALITY}), y AS (SELECT id, CASE WHEN id % 3 > 0 THEN crf END AS crf, CASE WHEN id % 4 > 0 THEN preset END AS preset, own, CASE WHEN id % 11 = 0 THEN 5 ELSE 8 END AS ownp FROM x), e AS (SELECT *, CASE WHEN (crf IS NOT NULL AND own <> 30) OR (preset IS NOT NULL AND ownp <> 8) THEN 'both scales' WHEN preset = 'odd' THEN 'unknown preset' END AS error FROM y) SELECT id, CASE WHEN error IS NULL THEN coalesce(least(63, greatest(0, crf + 7)), own) END AS av1_crf, CASE WHEN error IS NULL THEN coalesce({_PRESET}, ownp) END AS av1_preset, error FROM e",
     "stream_offset": f"WITH {PA} SELECT file_id, decode_order, round_even((time - 1704067200e0) / (1e0 / 90000), 0)::BIGINT AS \"offset\" FROM pa",
-    "candidate_filter": f"WITH x AS ({I.PATHS}) SELECT id, path, regexp_matches(lower(path), '[^/]\\.(mp4|m4v|mov|avi|mkv|webm|mts|m2ts|mpg|mpeg|wmv|h26l|h264|264|avc|hevc|h265|265|ogv)$') AS candidate FROM x",
+    "candidate_filter": f"WITH x AS ({I.PATHS}) SELECT id, path, regexp_matches(lower(path), '[^/]\\.({'|'.join(x[1:] for x in policy.VIDEO_SUFFIXES)})$') AS candidate FROM x",
     "moov_order": SQL_MOOV,
     "packet_scan": f"WITH {_LINES}, {_SCAN} SELECT * FROM scan",
     "timestamp_source": f"WITH {_LINES}, {_SCAN}, w AS (SELECT *, CASE WHEN count(pts) OVER (PARTITION BY file_id) > 0 THEN 'pts' WHEN count(dts) OVER (PARTITION BY file_id) > 0 THEN 'dts' ELSE 'none' END AS source FROM scan), z AS (SELECT file_id, decode_order, source, CASE source WHEN 'pts' THEN pts WHEN 'dts' THEN dts ELSE 0e0 END AS time FROM w) SELECT * FROM z WHERE time IS NOT NULL",

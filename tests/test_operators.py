@@ -110,6 +110,26 @@ def test_commands(spark):
     assert got[4].operation == "reencode_av1"
 
 
+def test_policy_of_the_callers_own(spark):
+    v = derived(spark, {}, {"codec_name": "theora"}).drop("stream_reasons", "analysis_reasons")
+    own = policy.PlaybackProfile(containers=("ogg",), codecs=("theora",), baseline_pixel_formats=())
+    limits = policy.Thresholds(max_gop_bytes=999, max_keyframe_interval_frames=49, frame_exact_codecs=("theora",))
+    got = {r.file_id: r for r in verdict.derive(v, own, limits).collect()}
+    assert got[0].stream_reasons == ["client_dependent_decode", "large_seek_payload", "sparse_keyframes", "unsupported_codec", "unsupported_container"]
+    assert got[0].analysis_reasons == ["unverified_frame_correspondence"] and got[1].analysis_reasons == [] and "unsupported_codec" not in got[1].stream_reasons
+    assert policy.THRESHOLDS.max_gop_bytes == 524288 and policy.PLAYBACK.keyframe_interval == 50 and policy.ANALYSIS.encoder is None
+
+
+def test_encoders(spark):
+    from pyspark.sql import functions as F
+
+    v = derived(spark, {"progressive": False})
+    argv = lambda e, *more: " ".join(planner.build_command(v, "playback", e, *more).first().argv)
+    assert "-c:v av1_nvenc -preset p5 -cq 26 -pix_fmt yuv420p -g 50" in argv(policy.PLAYBACK, True, F.lit(True))
+    assert "-c:v libsvtav1" in argv(policy.PLAYBACK, True, F.lit(False)) and "-c:v libsvtav1" in argv(policy.PLAYBACK, False, F.lit(True))
+    assert "-c:v x265 -preset 6 -crf 20" in argv(policy.Encoding(encoder="x265", quality=20))
+
+
 def test_golden_identity():
     head = dict(codec_name="h264", pixel_format="yuv420p", color_range="tv", color_primaries="bt709", color_transfer="bt709", width=640, height=480, rotation_degrees=0, square_pixels=True, progressive=True)
     content = identity.content_input(head, [(10, True, "MD5:aa"), (20, False, "MD5:bb")], b"t")
