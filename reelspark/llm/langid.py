@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .util import typed
+from .util import Scratch, typed
 
 GRAMS = (1, 2, 3)
 #: n-grams have ids of so many bits.
@@ -161,13 +161,11 @@ def identify(docs: DataFrame, per_language: int = 300, most: int = 3000, longest
     rows = typed(docs, doc_id="long", text="string", lang="string")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     usable = rows.where(~held & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    each = min(per_language, max(1, most // max(1, len(counts))))
+    counts = Scratch(docs.sparkSession).save(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    each = min(per_language, max(1, most // max(1, counts.count())))
     # hashes below a language's limit leave about twice as many texts as are wanted, so only few are sorted
-    limits = [(g, min(1.0, (2 * each + 40) / n)) for g, n in sorted(counts.items())]
-    limits = docs.sparkSession.createDataFrame(limits, "lang string, part double")
-    low = (F.col("hash") / F.lit(2.0**64) + F.lit(0.5)) < F.col("part")
-    near = usable.withColumn("hash", F.xxhash64("doc_id")).join(F.broadcast(limits), "lang").where(low)
+    low = (F.col("hash") / F.lit(2.0**64) + F.lit(0.5)) < F.lit(2.0 * each + 40) / F.col("n")
+    near = usable.withColumn("hash", F.xxhash64("doc_id")).join(counts, "lang").where(low)
     order = Window.partitionBy("lang").orderBy("hash", "doc_id", "text")
     picked = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).select("doc_id", "lang", "text").collect()
     train = sorted({(r["doc_id"] if r["doc_id"] is not None else -(2**63), r["lang"], r["text"]) for r in picked})
