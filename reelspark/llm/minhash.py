@@ -202,7 +202,7 @@ def links(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int, perc
         heads = placed.groupBy("pair").agg(F.min(head).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         met = scratch.save(placed.join(heads.where("lo <> hi").select("pair", "h.to", "h.lb"), "pair"))
         hits = met.where("label <> lb").groupBy("id", "to").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("la"), F.min("lb").alias("lb"))
-        best = F.max(F.struct("c", (-F.col("to")).alias("o"), F.struct("to", "la", "lb").alias("t"))).alias("m")
+        best = F.max(F.struct("c", F.bitwise_not("to").alias("o"), F.struct("to", "la", "lb").alias("t"))).alias("m")
         tries = hits.groupBy("id").agg(best).select(F.col("id").alias("a"), F.col("m.t.to").alias("b"), "m.t.la", "m.t.lb")
         tries = tries.join(signs.alias("x"), F.col("a") == F.col("x.id")).join(signs.alias("y"), (F.col("b") == F.col("y.id")) & likely)
         new = _confirmed(scratch, docs, tries.select("a", "b", "la", "lb"), width, percent)

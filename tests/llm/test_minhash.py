@@ -102,3 +102,11 @@ def test_hot_group_of_edited_copies(spark):
         texts.append(" ".join(w))
     got = minhash.near_duplicates(frame(spark, texts), width=2).collect()
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == plain(list(enumerate(texts)), 2)
+
+
+def test_ids_at_both_ends(spark):
+    r = rng(12)
+    a = words(r, 80, 10**5)
+    rows = [(-(2**63), a), (2**63 - 1, a + " one"), (-5, a + " one two"), (7, a + " one two three"), (8, words(r, 80, 10**5))]
+    got = minhash.near_duplicates(frame(spark, rows), width=2).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == plain(rows, 2)
