@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
+from array import array
+from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +26,19 @@ def _sized(value: bytes) -> bytes:
     return struct.pack("<I", len(value)) + value
 
 
-def content_input(header: dict, packets: list[tuple[int, bool, str]], tag: bytes) -> bytes:
-    """Tag, five strings, three integers, two flags, the count, then size, flag and hash of each packet in decode order."""
+def content_head(header: dict, packets: int, tag: bytes) -> bytes:
+    """Tag, five strings, three integers, two flags, the count of packets."""
     head = [_sized(tag), *(_sized(header[c].encode()) for c in STRINGS), *(struct.pack("<q", header[c]) for c in INTEGERS), *(struct.pack("<?", header[c]) for c in FLAGS)]
-    body = (struct.pack("<q?", size, bool(key)) + _sized(digest.encode()) for size, key, digest in packets)
-    return b"".join([*head, struct.pack("<q", len(packets)), *body])
+    return b"".join([*head, struct.pack("<q", packets)])
+
+
+def packet_bytes(size: int, keyframe: bool, data_hash: str) -> bytes:
+    return struct.pack("<q?", size, bool(keyframe)) + _sized(data_hash.encode())
+
+
+def content_input(header: dict, packets: list[tuple[int, bool, str]], tag: bytes) -> bytes:
+    """The head, then size, flag and hash of each packet in decode order."""
+    return content_head(header, len(packets), tag) + b"".join(packet_bytes(*p) for p in packets)
 
 
 def video_input(content: bytes, supplied: bool, times: list[float], tag: bytes) -> bytes:
@@ -44,25 +56,50 @@ def as_uuid8(value: bytes) -> str:
     return str(uuid.UUID(int=n & ~(3 << 62) | 2 << 62))
 
 
+_MINTED = "file_id long, video_uuid string, content_digest string"
+
+
+def _mint(content_tag: bytes, video_tag: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by file: its header, then its packets in decode order. Of a file only the times are held."""
+    held: tuple | None = None
+
+    def told(file_id: int, supplied: bool, content, times: array) -> tuple:
+        own = content.digest()
+        return file_id, as_uuid8(digest(video_input(own, supplied, times, video_tag))), own.hex()
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], ["file_id", "video_uuid", "content_digest"])
+
+    for b in batches:
+        out = []
+        for file_id, head, size, keyframe, data_hash, time in zip(*(c.to_pylist() for c in b.columns)):
+            if head is not None:
+                if held:
+                    out.append(told(*held))
+                header = json.loads(head)
+                held = file_id, header["supplied"], hashlib.blake2b(content_head(header, header["packets"], content_tag), digest_size=16), array("d")
+            elif held and held[0] == file_id:  # a file without a header is passed over
+                held[2].update(packet_bytes(size, keyframe, data_hash))
+                held[3].append(time)
+        yield as_batch(out)
+    if held:
+        yield as_batch([told(*held)])
+
+
 def mint(packets: DataFrame, headers: DataFrame, tags: policy.Tags = policy.Tags()) -> DataFrame:
-    """file_id, video_uuid, content_digest. headers: file_id, the hashed columns, timing_source.
+    """file_id, video_uuid, content_digest of the files that have packets and a header. headers: file_id (once), the hashed columns, timing_source.
 
-    A hash over ordered rows takes one file at a time; a file's packets are in memory together.
+    A file's header goes before its packets in one sorted stream, so a file of any length is hashed
+    as it passes; its times are held until its content is known.
     """
-    content_tag, video_tag = tags.content, tags.video
-    cols = [*STRINGS, *INTEGERS, *FLAGS]
-
-    def one(key: tuple, rows: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or head.empty:
-            return pd.DataFrame({"file_id": [0], "video_uuid": [""], "content_digest": [""]}).iloc[:0]
-        rows = rows.sort_values("decode_order")
-        content = digest(content_input(head.iloc[0].to_dict(), list(zip(rows["size"], rows["keyframe"], rows["data_hash"])), content_tag))
-        video = digest(video_input(content, head["supplied"].iloc[0], rows["time"].tolist(), video_tag))
-        return pd.DataFrame({"file_id": [key[0]], "video_uuid": [as_uuid8(video)], "content_digest": [content.hex()]})
-
-    heads = headers.select("file_id", *cols, scalar.supplied(F.col("timing_source")).alias("supplied"))
-    rows = packets.select("file_id", "decode_order", "size", "keyframe", F.coalesce("data_hash", F.lit("")).alias("data_hash"), F.coalesce("time", F.lit(0.0)).alias("time"))
-    return rows.groupBy("file_id").cogroup(heads.groupBy("file_id")).applyInPandas(one, "file_id long, video_uuid string, content_digest string")
+    n = packets.groupBy("file_id").agg(F.count("*").alias("packets"))
+    head = F.to_json(F.struct(*STRINGS, *INTEGERS, *FLAGS, scalar.supplied(F.col("timing_source")).alias("supplied"), "packets"), {"ignoreNullFields": "false"})
+    none = lambda t: F.lit(None).cast(t)
+    heads = headers.join(n, "file_id").select("file_id", head.alias("head"), none("long").alias("decode_order"), none("long").alias("size"), none("boolean").alias("keyframe"), none("string").alias("data_hash"), none("double").alias("time"))
+    rows = packets.select("file_id", none("string").alias("head"), F.col("decode_order").cast("long").alias("decode_order"), F.col("size").cast("long").alias("size"), F.coalesce("keyframe", F.lit(False)).alias("keyframe"), F.coalesce("data_hash", F.lit("")).alias("data_hash"), F.coalesce("time", F.lit(0.0)).cast("double").alias("time"))
+    stream = heads.unionByName(rows).repartition("file_id").sortWithinPartitions("file_id", F.col("head").isNull(), "decode_order")
+    return stream.select("file_id", "head", "size", "keyframe", "data_hash", "time").mapInArrow(partial(_mint, tags.content, tags.video), _MINTED)
 
 
 def content_md5(packets: DataFrame) -> DataFrame:

@@ -140,6 +140,26 @@ def test_golden_identity():
     assert u[14] == "8" and u[19] in "89ab"
 
 
+def test_minted_as_the_bytes_say(spark):
+    """Against the whole inputs hashed at once; files without a header or without packets aren't minted."""
+    import random
+
+    rng = random.Random(6)
+    files = [[(rng.random() * 9, rng.randrange(1, 10**6), rng.random() < 0.3) for _ in range(n)] for n in (1, 7, 300, 5)]
+    p = packets(spark, *files).repartition(5)
+    cols = "file_id long, codec_name string, pixel_format string, color_range string, color_primaries string, color_transfer string, width long, height long, rotation_degrees long, square_pixels boolean, progressive boolean, timing_source string"
+    heads = [(i, "h264", "é\"x", "tv", "", "y", i, -2, 90, i % 2 == 0, True, "absent" if i == 1 else "presentation") for i in (0, 1, 2, 9)]
+    got = {r.file_id: r for r in identity.mint(p, spark.createDataFrame(heads, cols)).collect()}
+    assert set(got) == {0, 1, 2}
+    tags = policy.Tags()
+    for h in heads[:3]:
+        rows = sorted(p.where(f"file_id = {h[0]}").collect(), key=lambda r: r.decode_order)
+        head = dict(zip([c.split()[0] for c in cols.split(", ")], h))
+        content = identity.digest(identity.content_input(head, [(r["size"], r.keyframe, r.data_hash) for r in rows], tags.content))
+        video = identity.digest(identity.video_input(content, h[-1] == "presentation", [r.time for r in rows], tags.video))
+        assert (got[h[0]].content_digest, got[h[0]].video_uuid) == (content.hex(), identity.as_uuid8(video))
+
+
 def test_identity_of_rewrites(spark):
     rows = [(i / 25, 10 + i, i % 5 == 0) for i in range(20)]
     p = packets(spark, rows, [(t + 1, n, k) for t, n, k in rows], rows, rows[:-1])
