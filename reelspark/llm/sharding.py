@@ -59,11 +59,15 @@ def granted(flow: list[list[int]], room: list[int]) -> list[list[int]]:
 
 
 _GROUP = ["g1", "g2", "size"]
+#: So many cells are moved in one task, as shuffles would cost more than the work; more over all tasks.
+FEW = 200_000
 
 
-def propagate(scratch: Scratch, cells: DataFrame, shards: int, quotas: list[int], rows: int) -> tuple[DataFrame, int]:
-    """One round over cells (g1, g2, size, start, shard, n): the cells after it, and how many documents moved."""
-    there = scratch.save(cells.groupBy(*_GROUP, "shard").agg(F.sum("n").alias("n")))
+def propagate(scratch: Scratch, cells: DataFrame, shards: int, quotas: list[int], rows: int, few: bool = False) -> tuple[DataFrame, int]:
+    """One round over cells (g1, g2, size, start, shard, n): the cells after it, and how many documents moved. few: they fit one task."""
+    save = lambda df: scratch.save(df).coalesce(1) if few else scratch.save(df)
+    saved, cells = cells, cells.coalesce(1) if few else cells
+    there = save(cells.groupBy(*_GROUP, "shard").agg(F.sum("n").alias("n")))
     now = {r["shard"]: r["n"] for r in there.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     room = [quotas[s] - now.get(s, 0) for s in range(shards)]
     open_ = [s for s in range(shards) if room[s] > 0]
@@ -74,24 +78,24 @@ def propagate(scratch: Scratch, cells: DataFrame, shards: int, quotas: list[int]
     to = F.coalesce("room", "best")
     goals = goals.select(*_GROUP, to["s"].alias("_to"), to["n"].alias("_to_n"))
     want = there.join(goals, _GROUP).where("shard <> _to AND n <= _to_n")
-    want = scratch.save(want.select(*_GROUP, "shard", "_to", "n"))
+    want = save(want.select(*_GROUP, "shard", "_to", "n"))
     flow = [[0] * shards for _ in range(shards)]
     for r in want.groupBy("shard", "_to").agg(F.sum("n").alias("n")).collect():
         flow[r["shard"]][r["_to"]] = r["n"]
     go = granted(flow, room)
     moving = sum(map(sum, go))
     if not moving:
-        scratch.drop(there, want)
-        return cells, 0
-    movers = scratch.save(cells.join(want.drop("n"), [*_GROUP, "shard"]))
+        return saved, 0
+    movers = save(cells.join(want.drop("n"), [*_GROUP, "shard"]))
     ahead = gapless(scratch, movers, ["shard", "_to"], [], [*_GROUP, "start"], rows, "_ahead", "n")
     may = _pick([x for line in go for x in line], F.col("shard") * shards + F.col("_to"))
     cut = ahead.withColumn("_k", F.greatest(F.lit(0).cast("long"), F.least("n", may - F.col("_ahead"))))
     split = cut.select(*_GROUP, "start", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("_k")).alias("n")), F.struct(F.col("_to").alias("shard"), F.col("_k").alias("n")))).alias("c"))
     stay = cells.join(want.select(*_GROUP, "shard"), [*_GROUP, "shard"], "left_anti")
     out = stay.select(*_GROUP, "start", "shard", "n").unionByName(split.select(*_GROUP, "start", "c.shard", "c.n").where("n > 0"))
+    out = out.coalesce(1) if few else out
     out = scratch.save(out.groupBy(*_GROUP, "start", "shard").agg(F.sum("n").alias("n")))
-    scratch.drop(there, want, movers, cells)
+    scratch.drop(saved)
     return out, moving
 
 
@@ -126,13 +130,13 @@ def even_out(scratch: Scratch, placed: DataFrame, shards: int, quotas: list[int]
     return scratch.save(stay.drop("_rank", "_to").select(*placed.columns).unionByName(spread.select(*placed.columns)))
 
 
-def shard(docs: DataFrame, shards: int = 24, rounds: int | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, rounds: int | None = None, few: int = FEW) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row for each row of ``docs``.
 
     The law is ``rows``: the shards' row counts differ by at most one. size is the UTF-8
     bytes of the text plus 8; a null text has no bytes and the checksum 0, and is linked
     with nothing. ``rounds`` is the most rounds of moves; without it they go on until no
-    document moves. Rows may repeat, ids too. An empty table gives an empty result.
+    document moves. Up to ``few`` cells are moved in one task. Rows may repeat, ids too. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -149,9 +153,9 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int | None = None) -> DataF
     placed = scratch.save(placed)
     quotas = [rows // shards + (s < rows % shards) for s in range(shards)]
     cells = scratch.save(placed.where("linked").groupBy(*_GROUP, F.col("shard").alias("start"), "shard").agg(F.count(F.lit(1)).alias("n")))
-    moved, done = 1, 0
+    moved, done, small = 1, 0, cells.count() <= few  # no round makes more than shards times as many
     while moved and (rounds is None or done < rounds):
-        cells, moved = propagate(scratch, cells, shards, quotas, rows)
+        cells, moved = propagate(scratch, cells, shards, quotas, rows, small)
         done += 1
     placed = follow(scratch, placed, cells, rows)
     placed = even_out(scratch, placed, shards, quotas, rows)

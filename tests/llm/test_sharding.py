@@ -15,12 +15,13 @@ def held(rows, shards, n):
         assert sorted(x.slot for x in rows if x.shard == s) == list(range(sizes[s]))
 
 
-def test_even_gapless_and_together(spark):
+@pytest.mark.parametrize("few", [0, sharding.FEW])
+def test_even_gapless_and_together(spark, few):
     r = rng(3)
     texts = [*ODD, *(words(r, 20) for _ in range(300))]
     for size in (2, 3, 8, 8, 30):
         texts += [words(r, 20)] * size
-    rows = sharding.shard(frame(spark, texts), shards=8).collect()
+    rows = sharding.shard(frame(spark, texts), shards=8, few=few).collect()
     held(rows, 8, len(texts))
     for x in rows:
         data = (texts[x.doc_id] or "").encode()
