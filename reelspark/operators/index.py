@@ -15,8 +15,11 @@ def seek_index(packets: DataFrame) -> DataFrame:
 
 
 def preceding_keyframe(index: DataFrame) -> DataFrame:
-    """index with keyframe_rank and keyframe_time: the last keyframe up to each rank, else rank 0."""
-    w = Window.partitionBy("file_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    """index with keyframe_rank and keyframe_time: the last keyframe up to each rank, else rank 0.
+
+    Ranks ascend with time, and by time the rows of seek_index() are sorted already.
+    """
+    w = Window.partitionBy("file_id").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     at = F.last(F.when(F.col("is_keyframe"), F.struct("rank", "time")), ignorenulls=True).over(w)
     at = F.coalesce(at, F.first(F.struct("rank", "time")).over(w))
     return index.withColumn("_at", at).select("file_id", "rank", "time", "is_keyframe", F.col("_at.rank").alias("keyframe_rank"), F.col("_at.time").alias("keyframe_time"))

@@ -11,11 +11,15 @@ from .. import policy
 def frames(packets: DataFrame, dealt: bool = False) -> DataFrame:
     """(file_id, time, keyframe): the distinct times; one is a keyframe if any packet there is.
 
-    Times rarely repeat, so sums in each task before the packets are dealt out would save
-    nothing: they are dealt out by file (unless ``dealt`` says they are), and windows by file need no further shuffle.
+    The packets are dealt out by file (unless ``dealt`` says they are) and sorted by time once. Of equal
+    times the first row is kept, a keyframe if there is one, so nothing is held in a hash table, and
+    windows by file, or by file and time, need neither a further shuffle nor a further sort.
     """
-    rows = packets.where("time IS NOT NULL").select("file_id", "time", "keyframe")
-    return (rows if dealt else rows.repartition("file_id")).groupBy("file_id", "time").agg(F.coalesce(F.bool_or("keyframe"), F.lit(False)).alias("keyframe"))
+    time = F.when(F.col("time") == 0, F.abs("time")).otherwise(F.col("time")).alias("time")  # -0.0 is 0.0
+    rows = packets.where("time IS NOT NULL").select("file_id", time, F.coalesce("keyframe", F.lit(False)).alias("keyframe"))
+    o = Window.partitionBy("file_id").orderBy("time", F.desc("keyframe"))
+    rows = (rows if dealt else rows.repartition("file_id")).withColumn("_before", F.lag("time").over(o))
+    return rows.where("_before IS NULL OR _before <> time").drop("_before")
 
 
 def ranked(packets: DataFrame, dealt: bool = False) -> DataFrame:

@@ -231,3 +231,15 @@ def test_random_packets(spark, seed):
         if len(t) > 1:
             assert fit[i].fps == (len(t) - 1) / (t[-1] - t[0])
             assert fit[i].max_gap == max((b - a) * fit[i].fps for a, b in zip(t, t[1:]))
+
+
+def test_preceding_keyframes_hold_one_sort(spark):
+    """Each row stands once in a task's memory: in one sort, in no hash table."""
+    nan = float("nan")
+    p = packets(spark, [(0.5, 1, False), (-0.0, 1, None), (0.0, 1, True), (0.5, 1, True), (nan, 1, False), (nan, 1, None), (None, 1, True), (1.5, 1, None)], [(2.0, 1, None), (2.0, 1, False), (1.0, 1, False)])
+    got = index.preceding_keyframe(index.seek_index(p))
+    assert sorted((r.file_id, r["rank"], str(r.time), r.is_keyframe, r.keyframe_rank, str(r.keyframe_time)) for r in got.collect()) == [
+        (0, 0, "0.0", True, 0, "0.0"), (0, 1, "0.5", True, 1, "0.5"), (0, 2, "1.5", False, 1, "0.5"), (0, 3, "nan", False, 1, "0.5"), (1, 0, "1.0", False, 0, "1.0"), (1, 1, "2.0", False, 0, "1.0"),
+    ]
+    steps = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Aggregate" not in steps and steps.count("Sort [") == 1
