@@ -243,3 +243,15 @@ def test_preceding_keyframes_hold_one_sort(spark):
     ]
     steps = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "Aggregate" not in steps and steps.count("Sort [") == 1
+
+
+def hashed(df):
+    """The hash tables of the plan that are keyed by time or interval."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate(keys=[" in x and ("time#" in x.split("]")[0] or "gop#" in x.split("]")[0])]
+
+
+def test_sparse_reads_hold_no_times_in_hash_tables(spark):
+    p = packets(spark, [(i % 20 / 10, 1, i % 12 == 0) for i in range(40)])
+    got = index.sparse_read(index.seek_index(p), spark.createDataFrame([(0, 15), (0, 15), (0, 3), (0, 20)], "file_id long, rank long"))
+    assert not hashed(got)
+    assert sorted((r["rank"], r.time, r.keyframe_rank) for r in got.collect()) == [(3, 0.3, 0), (15, 1.5, 12)]
