@@ -255,3 +255,10 @@ def test_sparse_reads_hold_no_times_in_hash_tables(spark):
     got = index.sparse_read(index.seek_index(p), spark.createDataFrame([(0, 15), (0, 15), (0, 3), (0, 20)], "file_id long, rank long"))
     assert not hashed(got)
     assert sorted((r["rank"], r.time, r.keyframe_rank) for r in got.collect()) == [(3, 0.3, 0), (15, 1.5, 12)]
+
+
+def test_groups_by_keyframe_hold_no_times_in_hash_tables(spark):
+    p = packets(spark, [(i % 20 / 10, 1, i % 12 == 0) for i in range(40)])
+    got = index.group_by_gop(index.seek_index(p), spark.createDataFrame([(0, 15), (0, 15), (0, 13), (0, 3), (0, 20)], "file_id long, rank long"))
+    assert not hashed(got)
+    assert {r.keyframe_rank: r.targets for r in got.collect()} == {0: [3], 12: [13, 15]}
