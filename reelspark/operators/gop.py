@@ -14,16 +14,30 @@ def gop_ids(packets: DataFrame) -> DataFrame:
     return packets.withColumn("gop", F.sum(F.col("keyframe").cast("long")).over(w))
 
 
+def intervals(packets: DataFrame) -> DataFrame:
+    """file_id, gop, bytes, frames, discarded of each keyframe interval; packets before the first keyframe are one.
+
+    The packets are sorted by decode order once and summed up from the file's start; an interval's
+    sums are what its last packet's are more than those of the interval before. No hash table by interval is held.
+    """
+    o = Window.partitionBy("file_id").orderBy("decode_order")
+    w = o.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"gop": F.sum(F.col("keyframe").cast("long")), "bytes": F.sum("size"), "_sized": F.count("size"), "frames": F.count("*"), "discarded": F.count_if("discard")}
+    rows = packets.select("file_id", "decode_order", *[x.over(w).alias(k) for k, x in sums.items()])
+    ends = rows.withColumns({"_next": F.lead("gop").over(o), "_more": F.lead("frames").over(o)}).where("_more IS NULL OR NOT _next <=> gop")
+    own = {k: F.col(k) - F.coalesce(F.lag(k).over(o), F.lit(0)) for k in ("bytes", "_sized", "frames", "discarded")}
+    each = ends.select("file_id", "gop", *[x.alias(k) for k, x in own.items()])
+    return each.select("file_id", "gop", F.when(F.col("_sized") > 0, F.col("bytes")).alias("bytes"), "frames", "discarded")
+
+
 def gop_stats(packets: DataFrame) -> DataFrame:
     """file_id, max_gop_bytes, max_keyframe_interval_frames; packets before the first keyframe count as an interval."""
-    each = gop_ids(packets).groupBy("file_id", "gop").agg(F.sum("size").alias("bytes"), F.count("*").alias("frames"))
-    return each.groupBy("file_id").agg(F.max("bytes").alias("max_gop_bytes"), F.max("frames").alias("max_keyframe_interval_frames"))
+    return intervals(packets).groupBy("file_id").agg(F.max("bytes").alias("max_gop_bytes"), F.max("frames").alias("max_keyframe_interval_frames"))
 
 
 def decode_facts(packets: DataFrame) -> DataFrame:
-    """What decode order tells of each file, by one window: gop_stats() and packets, discarded, before (its first keyframe), keyframes."""
-    each = gop_ids(packets).groupBy("file_id", "gop").agg(F.sum("size").alias("bytes"), F.count("*").alias("frames"), F.count_if("discard").alias("discarded"))
-    return each.groupBy("file_id").agg(
+    """What decode order tells of each file, by one sort: gop_stats() and packets, discarded, before (its first keyframe), keyframes."""
+    return intervals(packets).groupBy("file_id").agg(
         F.max("bytes").alias("max_gop_bytes"), F.max("frames").alias("max_keyframe_interval_frames"), F.sum("frames").alias("packets"),
         F.sum("discarded").alias("discarded"), F.sum(F.when(F.col("gop") == 0, F.col("frames")).otherwise(0)).alias("before"), F.max("gop").alias("keyframes"),
     )

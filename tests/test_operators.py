@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from reelspark import frames as raw_frames
 from reelspark import policy
@@ -262,3 +263,11 @@ def test_groups_by_keyframe_hold_no_times_in_hash_tables(spark):
     got = index.group_by_gop(index.seek_index(p), spark.createDataFrame([(0, 15), (0, 15), (0, 13), (0, 3), (0, 20)], "file_id long, rank long"))
     assert not hashed(got)
     assert {r.keyframe_rank: r.targets for r in got.collect()} == {0: [3], 12: [13, 15]}
+
+
+def test_facts_hold_no_times_or_intervals_in_hash_tables(spark):
+    rng = random.Random(7)
+    p = packets(spark, *[[(rng.choice([None, *map(float, range(12))]), rng.choice([None, *range(9)]), rng.choice([None, True, False, False])) for _ in range(rng.randrange(1, 30))] for _ in range(60)]).withColumn("discard", F.col("size") % 2 == 1)
+    assert not hashed(facts.measure(p)) and not hashed(gop.gop_stats(p))
+    plain = "SELECT file_id, gop, sum(size), count(*), count_if(discard) FROM {g} GROUP BY file_id, gop"
+    assert sorted(map(repr, gop.intervals(p).collect())) == sorted(map(repr, spark.sql(plain, g=gop.gop_ids(p)).toDF("file_id", "gop", "bytes", "frames", "discarded").collect()))
