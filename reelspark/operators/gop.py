@@ -55,11 +55,16 @@ def leading_frames(packets: DataFrame, sources: DataFrame | None = None) -> Data
     """
     w = Window.partitionBy("file_id")
     first = F.min(F.when(F.col("keyframe"), F.col("time"))).over(w)
-    packets = packets.select("file_id", "decode_order", "time", "keyframe").repartition("file_id") if sources is not None else packets
-    timed = frames(packets, dealt=sources is not None).withColumn("first", first).groupBy("file_id").agg(F.count_if(F.col("time") < F.col("first")).alias("timed"))
     if sources is None:
+        timed = frames(packets).withColumn("first", first).groupBy("file_id").agg(F.count_if(F.col("time") < F.col("first")).alias("timed"))
         return timed.select("file_id", F.col("timed").alias("leading_non_keyframe_frames"))
-    n = gop_ids(packets).groupBy("file_id").agg(F.count_if(F.col("gop") == 0).alias("before"), F.max("gop").alias("keyframes"))
-    both = n.join(sources, "file_id").join(timed, "file_id", "left")
-    untimed = F.when(F.col("keyframes") > 0, F.col("before")).otherwise(0)
-    return both.select("file_id", F.when(F.col("source") == "none", untimed).otherwise(F.coalesce("timed", F.lit(0))).cast("long").alias("leading_non_keyframe_frames"))
+    # one sort, by time, serves both: which packets come before the first keyframe in decode order follows from its place
+    place = lambda keys: F.min(F.when(keys, F.col("decode_order"))).over(w)
+    dealt = packets.select("file_id", "decode_order", "time", "keyframe").repartition("file_id")
+    rows = dealt.withColumn("_before", F.lag("time").over(w.orderBy("time"))).withColumns({"first": first, "_told": place(F.col("keyframe").isNotNull()), "_key": place(F.col("keyframe"))})
+    new = F.col("time").isNotNull() & (F.col("_before").isNull() | (F.col("_before") != F.col("time")))
+    n = rows.groupBy("file_id").agg(
+        F.count_if(new & (F.col("time") < F.col("first"))).alias("timed"),
+        F.count_if((F.col("decode_order") >= F.col("_told")) & (F.col("decode_order") < F.col("_key"))).alias("untimed"),
+    )
+    return n.join(sources, "file_id").select("file_id", F.when(F.col("source") == "none", F.col("untimed")).otherwise(F.col("timed")).alias("leading_non_keyframe_frames"))

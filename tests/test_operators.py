@@ -271,3 +271,22 @@ def test_facts_hold_no_times_or_intervals_in_hash_tables(spark):
     assert not hashed(facts.measure(p)) and not hashed(gop.gop_stats(p))
     plain = "SELECT file_id, gop, sum(size), count(*), count_if(discard) FROM {g} GROUP BY file_id, gop"
     assert sorted(map(repr, gop.intervals(p).collect())) == sorted(map(repr, spark.sql(plain, g=gop.gop_ids(p)).toDF("file_id", "gop", "bytes", "frames", "discarded").collect()))
+
+
+def test_leading_frames_hold_one_sort(spark):
+    rng = random.Random(11)
+    p = packets(spark, *[[(rng.choice([None, 0.0, -0.0, *map(float, range(1, 9))]), 1, rng.choice([None, True, *[False] * 5])) for _ in range(rng.randrange(1, 15))] for _ in range(80)])
+    for source in ("none", "pts"):
+        got = gop.leading_frames(p, spark.createDataFrame([(i, source) for i in range(80)], "file_id long, source string"))
+        steps = got._jdf.queryExecution().executedPlan().toString()
+        assert sum("Sort [" in x and ("time#" in x or "decode_order#" in x) for x in steps.splitlines()) == 1 and not hashed(got)
+        lead = {r.file_id: r.leading_non_keyframe_frames for r in got.collect()}
+        rows = {}
+        for r in p.orderBy("file_id", "decode_order").collect():
+            rows.setdefault(r.file_id, []).append(r)
+        for f, own in rows.items():
+            keys = [r.time for r in own if r.keyframe and r.time is not None]
+            timed = len({r.time for r in own if keys and r.time is not None and r.time < min(keys)})
+            flags = [r.keyframe for r in own]
+            untold = next((i for i, k in enumerate(flags) if k is not None), 0)
+            assert lead[f] == (timed if source == "pts" else flags.index(True) - untold if True in flags else 0), (f, source)
