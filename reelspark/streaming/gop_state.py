@@ -12,8 +12,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 OUT = "file_id long, max_gop_bytes long, max_keyframe_interval_frames long, runs long"
+#: Files share a state if their ids are equal without so many last bits; at most 64 do.
+NEAR = 6
 
 
 def summary(seq: int, size: int, keyframe: bool) -> list:
@@ -51,13 +54,16 @@ def totals(runs: list[list]) -> tuple[int, int]:
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    runs = json.loads(state.get[0]) if state.exists else []
+    """The files of one state: what came of each is merged, and those that got packets are told."""
+    files, came = json.loads(state.get[0]) if state.exists else {}, {}
     for b in batches:
-        runs += [summary(int(s), int(n), bool(k)) for s, n, k in zip(b["seq"], b["size"], b["keyframe"])]
-    runs = merge(runs)
-    state.update((json.dumps(runs),))
-    most = totals(runs)
-    yield pd.DataFrame({"file_id": [key[0]], "max_gop_bytes": [most[0]], "max_keyframe_interval_frames": [most[1]], "runs": [len(runs)]})
+        for f, s, n, k in zip(*(b[c].tolist() for c in ("file_id", "seq", "size", "keyframe"))):
+            came.setdefault(None if pd.isna(f) else int(f), []).append(summary(int(s), int(n), bool(k)))
+    for f, runs in came.items():
+        files[str(f)] = merge(files.get(str(f), []) + runs)
+    state.update((json.dumps(files),))
+    rows = [(f, *totals(files[str(f)]), len(files[str(f)])) for f in came]
+    yield pd.DataFrame(rows, columns=["file_id", "max_gop_bytes", "max_keyframe_interval_frames", "runs"])
 
 
 def gop_stream(packets: DataFrame) -> DataFrame:
@@ -65,23 +71,25 @@ def gop_stream(packets: DataFrame) -> DataFrame:
 
     seq counts a file's packets from 0 in decode order. A packet that comes twice counts once.
     The result equals the batch operator's when runs is 1, in whatever order packets came.
+    A call into Python costs far more than a packet does, so files of neighbouring ids share a state and a call.
     """
-    return packets.select("file_id", "seq", "size", "keyframe").groupBy("file_id").applyInPandasWithState(_update, OUT, "runs string", "update", "NoTimeout")
+    near = F.shiftright(F.col("file_id").cast("long"), NEAR)
+    return packets.select("file_id", "seq", "size", "keyframe", near.alias("near")).groupBy("near").applyInPandasWithState(_update, OUT, "runs string", "update", "NoTimeout")
 
 
 def replayed(packets: DataFrame, files: int = 4) -> DataFrame:
-    """Packets (file_id, seq, size, keyframe) of a table sent through gop_stream() in several batches: what it tells at the end.
+    """Packets (file_id, seq, size, keyframe) of a table sent through gop_stream() in at most so many batches as ``files``: what it tells at the end.
 
+    Each batch asks for the state of all its files, so their number mustn't grow with the tasks that wrote the packets.
     The batches, the query's state and its output are in the folder named in spark.checkpoint.dir.
     """
-    from pyspark.sql import functions as F
-
     from ..live.shared import shared_folder
 
     spark = packets.sparkSession
     top = shared_folder(spark, "gop-stream")
     packets.withColumn("part", F.pmod(F.xxhash64("file_id", "seq"), F.lit(files)).cast("int")).write.partitionBy("part").parquet(f"{top}/in")
-    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", max(1, files)).option("recursiveFileLookup", "true").parquet(f"{top}/in")
+    each = -(-len(spark.read.schema(packets.schema).option("recursiveFileLookup", "true").parquet(f"{top}/in").inputFiles()) // max(1, files))
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", max(1, each)).option("recursiveFileLookup", "true").parquet(f"{top}/in")
     writer = gop_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{top}/state").trigger(availableNow=True)
     # each batch's rows are written as they are; a file's last row is the one whose runs have all been joined
     query = writer.foreachBatch(lambda rows, n: rows.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{top}/out/{n}")).start()
